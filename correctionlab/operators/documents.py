@@ -254,11 +254,11 @@ def extract_parts(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> Da
 
 # --- metadata and validation ------------------------------------------------------
 
-_METADATA_SCHEMA = """
-    `work` array<struct<`work-title`: array<string>, `work-number`: array<string>>>,
-    `movement-title` array<string>,
-    `identification` array<struct<`creator`: array<struct<_type: string, _VALUE: string>>>>
-"""
+_METADATA_FIELDS = (
+    "`work`:array<struct<`work-title`:array<string>,`work-number`:array<string>>>,"
+    "`movement-title`:array<string>,"
+    "`identification`:array<struct<`creator`:array<struct<_type:string,_VALUE:string>>>>"
+)
 
 
 def document_metadata(documents: DataFrame) -> DataFrame:
@@ -266,13 +266,8 @@ def document_metadata(documents: DataFrame) -> DataFrame:
 
     Of several creators of a kind the last one with a text counts.
     """
-    parsed = documents.where(X.is_document(F.col("xml"))).select(
-        "score_id",
-        F.from_xml(
-            F.regexp_replace("xml", r"\A\x{FEFF}?\s*", ""), _METADATA_SCHEMA,
-            {"mode": "PERMISSIVE", "ignoreNamespace": "true"},
-        ).alias("m"),
-    )
+    parsed = documents.select("score_id", X.read_document(F.col("xml"), _METADATA_FIELDS).alias("m"))
+
     def first(array: Column) -> Column:
         return blank_to_null(strip(F.get(array, F.lit(0))))
 
@@ -286,7 +281,7 @@ def document_metadata(documents: DataFrame) -> DataFrame:
         return strip(F.try_element_at(of_kind, F.lit(-1))["_VALUE"])
 
     work = F.get("m.work", F.lit(0))
-    found = parsed.select(
+    return parsed.select(
         "score_id",
         first(work["work-title"]).alias("title"),
         first(work["work-number"]).alias("opus"),
@@ -294,10 +289,6 @@ def document_metadata(documents: DataFrame) -> DataFrame:
         creator("composer").alias("composer"),
         creator("arranger").alias("arranger"),
     )
-    malformed = documents.where(~X.is_document(F.col("xml"))).select(
-        "score_id", *[F.lit(None).cast("string").alias(c) for c in found.columns[1:]]
-    )
-    return found.unionByName(malformed)
 
 
 def validate_documents(documents: DataFrame) -> DataFrame:

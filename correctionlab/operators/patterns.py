@@ -11,18 +11,38 @@ from correctionlab.functions.expressions import percent_text, ratio, round_half_
 PATTERN_KEY = ("instrument", "difference_type", "pattern_type")
 
 
-def correction_patterns(diffs: DataFrame) -> DataFrame:
-    """Decision counts and rates per instrument and difference type.
+def decision_counts(diffs: DataFrame) -> DataFrame:
+    """Decisions per instrument and difference type.
 
-    One shuffle of partial counts: a hot group costs one row per map task.
+    One shuffle of partial counts: a hot group costs one row per map task. A `weight` column, when
+    there is one, counts each row that many times; -1 takes an earlier decision back.
     """
-    decided = diffs.where(F.col("human_decision").isNotNull())
-    counts = decided.groupBy("instrument", "difference_type").agg(
-        F.count(F.lit(1)).alias("occurrence_count"),
-        F.count_if(F.col("human_decision") == "accept").alias("accepts"),
-        F.count_if(F.col("human_decision") == "reject").alias("rejects"),
-        F.count_if(F.col("human_decision") == "edit").alias("edits"),
+    weight = F.col("weight") if "weight" in diffs.columns else F.lit(1)
+    decision = F.col("human_decision")
+
+    def count_of(value: str) -> Column:
+        return F.sum(F.when(decision == value, weight).otherwise(0))
+
+    return diffs.where(decision.isNotNull()).groupBy("instrument", "difference_type").agg(
+        F.sum(weight).alias("occurrence_count"),
+        count_of("accept").alias("accepts"),
+        count_of("reject").alias("rejects"),
+        count_of("edit").alias("edits"),
+    )
+
+
+def add_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Sum of two count tables; groups that fell to nothing go."""
+    return (
+        stored.unionByName(new)
+        .groupBy("instrument", "difference_type")
+        .agg(*[F.sum(c).alias(c) for c in ("occurrence_count", "accepts", "rejects", "edits")])
+        .where(F.col("occurrence_count") > 0)
     )
+
+
+def rate_counts(counts: DataFrame) -> DataFrame:
+    """Rates, pattern type and suggested rule of counted decisions."""
     n = F.col("occurrence_count")
     rated = counts.withColumns({
         "accept_rate": F.col("accepts") / n,
@@ -37,6 +57,11 @@ def correction_patterns(diffs: DataFrame) -> DataFrame:
     return rated.withColumn("suggested_rule", F.when(qualifies, rule_text))
 
 
+def correction_patterns(diffs: DataFrame) -> DataFrame:
+    """Decision counts and rates per instrument and difference type."""
+    return rate_counts(decision_counts(diffs))
+
+
 def _pattern_id() -> Column:
     key = F.concat_ws("|", F.coalesce("instrument", F.lit("")), "difference_type", "pattern_type")
     return F.sha2(key, 256)

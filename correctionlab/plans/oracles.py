@@ -730,4 +730,27 @@ BODIES["inject_headers"] = r"""
         from documents))
 """
 
+BODIES["stream_latest_decisions"] = BODIES["apply_decisions"]
+BODIES["stream_auto_accept"] = BODIES["auto_accept_semi"]
+CTES["all_patterns"] = _as_patterns("select * from analysis_all", AS_OF)
+BODIES["stream_learning"] = f"""
+    select sha256(concat('rule|', id)) as id, id as pattern_id, pattern_description as rule_description, instrument,
+      difference_type, 0.7::double as min_omr_confidence, 0.7::double as min_vision_confidence,
+      10::bigint as min_confirmations, occurrence_count as current_confirmations, true as is_active, {AS_OF} as created_at
+    from all_patterns where occurrence_count >= 10 and accept_count / occurrence_count >= 0.8
+"""
+BODIES["stream_settlement"] = f"""
+    select 'payment' as kind, user_id, score_id, status, payment_intent from ({BODIES['reconcile_payments']})
+    union all
+    select 'grant', user_id, score_id, 'granted', null from ({BODIES['grant_access']})
+"""
+# only windows the watermark has closed come out of the stream
+BODIES["stream_rate_limits"] = """
+    select * from (
+      select user_id as client, date_trunc('hour', ts)::timestamp as window_start,
+        date_trunc('hour', ts)::timestamp + interval 1 hour as window_end, count(*) as requests
+      from events group by all having count(*) > 1)
+    where window_end <= (select max(ts) from events) - interval 10 minute
+"""
+
 ORACLES: dict[str, str] = {name: _with(body) for name, body in BODIES.items()}

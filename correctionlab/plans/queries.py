@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
-from correctionlab.plans.sizing import broadcast_within, cut_lineage
+from correctionlab.plans.sizing import broadcast_within, cut_lineage, scratch_path
 from correctionlab.sources import fixtures as fx
-from correctionlab.sources import readers
+from correctionlab.sources import readers, writers
+from correctionlab.streaming import access as access_streams
+from correctionlab.streaming import decisions as decision_streams
+from correctionlab.streaming import learning as learning_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,3 +448,76 @@ def inject_headers(spark, sf_dir):
         fx.engraving_sources(spark, sf_dir), fx.engraving_metadata(spark, sf_dir), "doc_id"
     )
     return injected.select("doc_id", "injected", F.md5("content").alias("content_md5"))
+
+
+# --- streams: each runs over the whole table until nothing is left ------------------------------
+
+
+@query
+def stream_latest_decisions(spark, sf_dir):
+    root = scratch_path(spark, "stream-decisions")
+    log = fx.decision_log(spark, sf_dir, fx.table_stream(spark, sf_dir, "events"))
+    decision_streams.start_latest_decisions(log, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    latest = decision_streams.read_latest_decisions(spark, f"{root}/out")
+    return decisions.with_latest(fx.diffs(spark, sf_dir), latest).select(
+        "id", "human_decision", "human_edit_value", "human_reviewed_at"
+    )
+
+
+@query
+def stream_learning(spark, sf_dir):
+    root = scratch_path(spark, "stream-learning")
+    reviewed = fx.diffs(spark, sf_dir, fx.table_stream(spark, sf_dir, "lineitem")).select(
+        "instrument", "difference_type", "human_decision"
+    )
+    learning_streams.start_learning(
+        reviewed, f"{root}/state", f"{root}/checkpoint", lambda batch_id: fx.as_of()
+    ).awaitTermination()
+    return writers.read_snapshot(spark, f"{root}/state/rules")
+
+
+@query
+def stream_auto_accept(spark, sf_dir):
+    root = scratch_path(spark, "stream-accept")
+    arriving = fx.diffs(spark, sf_dir, fx.table_stream(spark, sf_dir, "lineitem"))
+    waiting = arriving.where("human_decision is null").select(
+        "id", "instrument", "difference_type", "omr_confidence", "vision_confidence"
+    )
+    learning_streams.start_auto_accept(
+        waiting, _candidates(spark, sf_dir), f"{root}/out", f"{root}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/out").where("auto_accepted").select(
+        "id", "instrument", "difference_type"
+    )
+
+
+@query
+def stream_settlement(spark, sf_dir):
+    root = scratch_path(spark, "stream-settlement")
+    writers.write_snapshot(fx.payments(spark, sf_dir), f"{root}/state/payments", 0)
+    writers.write_snapshot(fx.score_access(spark, sf_dir), f"{root}/state/score_access", 0)
+    bodies = fx.webhook_payloads(fx.table_stream(spark, sf_dir, "events"))
+    access_streams.start_settlement(bodies, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    paid = writers.read_snapshot(spark, f"{root}/state/payments")
+    granted = writers.read_snapshot(spark, f"{root}/state/score_access")
+    return paid.select(
+        F.lit("payment").alias("kind"), "user_id", "score_id", "status", "payment_intent"
+    ).unionByName(granted.select(
+        F.lit("grant").alias("kind"), "user_id", "score_id", F.lit("granted").alias("status"),
+        F.lit(None).cast("string").alias("payment_intent"),
+    ))
+
+
+@query
+def stream_rate_limits(spark, sf_dir):
+    root = scratch_path(spark, "stream-limits")
+    requests = fx.table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts")
+    access_streams.start_over_limit(
+        requests, 1, "1 hour", "10 minutes", f"{root}/out", f"{root}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        "client",
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+        "requests",
+    )

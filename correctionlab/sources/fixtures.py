@@ -34,8 +34,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(tasks, key)
 
 
-def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def diffs(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """Flagged differences made of line items; `line` may be a stream of them."""
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = line.join(part, line.l_partkey == part.p_partkey)
     types = F.array(*[F.lit(t) for t in V.DIFFERENCE_TYPES])
@@ -184,9 +191,10 @@ _CUT = (
 )
 
 
-def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decision_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Two events per score; each decides every diff of its score. Views are invalid decisions."""
-    ev = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    ev = events.select(
         F.expr("cast(event_id div 2 as string)").alias("score_id"),
         "event_id",
         "ts",

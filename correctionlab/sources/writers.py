@@ -76,9 +76,13 @@ def latest_version(spark: SparkSession, table_path: str) -> int | None:
     return max(_versions(spark, table_path), default=None)
 
 
-def read_snapshot(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame | None:
-    """A version of a table, the latest by default; None when there is none yet."""
-    known = _versions(spark, table_path)
-    if not known:
-        return None
-    return spark.read.parquet(known[max(known) if version is None else version])
+def read_snapshot(
+    spark: SparkSession, table_path: str, version: int | None = None, below: int | None = None
+) -> DataFrame | None:
+    """A version of a table: the given one, or the latest, or the latest before `below`.
+
+    None when there is no such version.
+    """
+    known = {v: p for v, p in _versions(spark, table_path).items() if below is None or v < below}
+    wanted = max(known, default=None) if version is None else version
+    return spark.read.parquet(known[wanted]) if wanted in known else None
