@@ -117,11 +117,13 @@ def delete_scores(
     Training rows are found through the diffs that go, not the ones that stay: the small side.
     """
     gone = ids.select("score_id").distinct()
-    gone_diffs = diffs.join(gone, "score_id", "left_semi").select(F.col("id").alias("flagged_diff_id"))
+    gone_diffs = diffs.join(gone, diffs.score_id == gone.score_id, "left_semi").select(
+        F.col("id").alias("flagged_diff_id")
+    )
     return (
         scores.join(gone, scores.id == gone.score_id, "left_anti"),
-        diffs.join(gone, "score_id", "left_anti"),
-        training.join(gone_diffs, "flagged_diff_id", "left_anti"),
+        diffs.join(gone, diffs.score_id == gone.score_id, "left_anti"),
+        training.join(gone_diffs, training.flagged_diff_id == gone_diffs.flagged_diff_id, "left_anti"),
     )
 
 

@@ -8,10 +8,9 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from correctionlab import schemas
 from correctionlab.functions import fixed_values as V
@@ -79,11 +78,8 @@ def ingest_files(spark: SparkSession, glob: str, on_unknown: str = "keep") -> Da
     return describe_files(unpack_archives(raw), on_unknown)
 
 
-ARCHIVE_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("content", T.BinaryType()),
-    T.StructField("error", T.StringType()),
-])
+ARCHIVE_SCHEMA = "path string, content binary, error string"
+ARCHIVE_ARROW = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
 
 def _unpack(content: bytes) -> tuple[bytes | None, str | None]:
@@ -116,36 +112,30 @@ def unpack_archives(files: DataFrame) -> DataFrame:
 
     Only archives pass through Python workers; other files keep their content inside the JVM.
     """
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unpacked = [_unpack(bytes(c)) for c in batch["content"]]
-            yield pd.DataFrame({
-                "path": batch["path"],
-                "content": [c for c, _ in unpacked],
-                "error": [e for _, e in unpacked],
-            })
+            for path, content in zip(batch["path"], batch["content"]):
+                document, error = _unpack(content.as_py())
+                row = {"path": path.as_py(), "content": document, "error": error}
+                yield pa.RecordBatch.from_pylist([row], ARCHIVE_ARROW)
 
     archive = F.coalesce(is_archive(F.col("content"), F.col("path")), F.lit(False))
     plain = files.where(~archive).select("path", "content", F.lit(None).cast("string").alias("error"))
-    packed = files.where(archive).select("path", "content").mapInPandas(unpack, ARCHIVE_SCHEMA)
+    packed = files.where(archive).select("path", "content").mapInArrow(unpack, ARCHIVE_SCHEMA)
     return plain.unionByName(packed)
 
 
 # --- score documents ------------------------------------------------------------
 
-PIECE_SCHEMA = T.StructType([
-    T.StructField("score_id", T.StringType()),
-    T.StructField("kind", T.StringType()),  # head, part, measure or error
-    T.StructField("part_seq", T.IntegerType()),
-    T.StructField("part_id", T.StringType()),
-    T.StructField("part_name", T.StringType()),
-    T.StructField("body_seq", T.IntegerType()),
-    T.StructField("measure_seq", T.IntegerType()),
-    T.StructField("measure_number", T.StringType()),
-    T.StructField("xml", T.StringType()),  # measure, list entry of the part, or head of the document
-    T.StructField("root_open", T.StringType()),
-    T.StructField("root_close", T.StringType()),
-    T.StructField("layout", T.StringType()),
+# kind is head, part, measure or error; xml holds a measure, the list entry of a part, or the head
+PIECE_SCHEMA = (
+    "score_id string, kind string, part_seq int, part_id string, part_name string, body_seq int,"
+    " measure_seq int, measure_number string, xml string, root_open string, root_close string,"
+    " layout string, part_groups_xml string"
+)
+PIECE_ARROW = pa.schema([
+    (name, pa.int32() if kind == "int" else pa.string())
+    for name, kind in (column.split() for column in PIECE_SCHEMA.split(", "))
 ])
 
 PIECES_PER_BATCH = 5_000
@@ -212,7 +202,7 @@ def _pieces(score_id: str, xml: str) -> list[dict]:
         "score_id": score_id, "kind": "head", "layout": "timewise" if timewise else "partwise",
         "root_open": _open_tag(root, tag, space), "root_close": f"</{tag}>",
         "xml": "".join(_raw(c) for c in root if c.tag not in skipped),
-        "part_name": "" if timewise else "".join(_raw(g) for g in groups),
+        "part_groups_xml": "" if timewise else "".join(_raw(g) for g in groups),
     }]
     order = {part_id: i for i, part_id in enumerate(body)}
     sequence = {part_id: i for i, part_id in enumerate(listed)}
@@ -239,28 +229,24 @@ def shred(documents: DataFrame) -> DataFrame:
     A document is parsed by the task that holds its row, so the biggest file, not the table, sets
     the memory a task needs.
     """
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        pieces = pd.DataFrame(rows, columns=PIECE_SCHEMA.fieldNames())
-        return pieces.astype({c: "Int32" for c in ("part_seq", "body_seq", "measure_seq")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
             for score_id, xml in zip(batch["score_id"], batch["xml"]):
-                rows.extend(_pieces(score_id, xml))
+                rows.extend(_pieces(score_id.as_py(), xml.as_py()))
                 if len(rows) >= PIECES_PER_BATCH:
-                    yield frame(rows)
+                    yield pa.RecordBatch.from_pylist(rows, PIECE_ARROW)
                     rows = []
         if rows:
-            yield frame(rows)
+            yield pa.RecordBatch.from_pylist(rows, PIECE_ARROW)
 
-    return documents.select("score_id", "xml").mapInPandas(run, PIECE_SCHEMA)
+    return documents.select("score_id", "xml").mapInArrow(run, PIECE_SCHEMA)
 
 
 def heads_of(pieces: DataFrame) -> DataFrame:
     return pieces.where("kind = 'head'").select(
         "score_id", "layout", "root_open", "root_close", F.col("xml").alias("head_xml"),
-        F.col("part_name").alias("part_groups_xml"),
+        "part_groups_xml",
     )
 
 

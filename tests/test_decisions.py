@@ -1,0 +1,71 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from correctionlab.operators import decisions as D
+
+DIFF = "id string, score_id string, human_decision string, human_edit_value string, human_reviewed_at timestamp, auto_accepted boolean"
+LOG = "diff_id string, score_id string, decision string, edit_value string, kind string, ts timestamp, event_id bigint"
+
+
+def at(n):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+
+
+def diffs(spark, *rows):
+    return spark.createDataFrame([(i, s, d, e, None, auto) for i, s, d, e, auto in rows], DIFF)
+
+
+def test_buckets_overlap(spark):
+    df = diffs(spark, ("1", "s", None, None, False), ("2", "s", None, None, True), ("3", "s", "reject", None, True),
+               ("4", "s", "edit", "x", False))
+    got = {}
+    for r in D.review_buckets(df).collect():
+        got.setdefault(r.bucket, set()).add(r.id)
+    assert got == {"all": {"1", "2", "3", "4"}, "pending": {"1"}, "accepted": {"2", "3"}, "rejected": {"3"}, "edited": {"4"}}
+    for bucket, ids in got.items():
+        assert {r.id for r in D.review_bucket(df, bucket).collect()} == ids
+
+
+def test_validation(spark):
+    rows = [("accept", None, "single"), ("edit", "x", "single"), ("edit", "", "single"), ("edit", None, "single"),
+            ("view", None, "single"), (None, None, "single"), ("edit", "x", "bulk"), ("reject", None, "bulk"), (None, None, "bulk")]
+    log = spark.createDataFrame([(str(i), "s", d, e, k, at(i), i) for i, (d, e, k) in enumerate(rows)], LOG)
+    good, bad = D.validate_decisions(log)
+    assert {int(r.diff_id) for r in good.collect()} == {0, 1, 7}
+    assert good.count() + bad.count() == len(rows)
+
+
+def test_latest_decision_and_edit_value(spark):
+    df = diffs(spark, ("1", "s", None, "kept", False), ("2", "s", None, "old", False), ("3", "s", "edit", "mine", False))
+    log = spark.createDataFrame([
+        ("1", "s", "accept", None, "bulk", at(1), 1),
+        ("2", "s", "edit", "new", "single", at(1), 2), ("2", "s", "reject", None, "bulk", at(2), 3),
+        ("2", "s", "view", None, "single", at(9), 4),
+        ("3", "s", "edit", "a", "single", at(1), 5), ("3", "s", "accept", None, "single", at(1), 6),
+    ], LOG)
+    got = {r.id: (r.human_decision, r.human_edit_value, r.human_reviewed_at) for r in D.apply_decisions(df, log).collect()}
+    assert got == {"1": ("accept", "kept", at(1)), "2": ("reject", "new", at(2)), "3": ("accept", None, at(1))}
+
+
+def test_bulk_counts_repeats_and_keeps_edit_values(spark):
+    df = diffs(spark, ("1", "s", None, "kept", False), ("2", "t", None, None, False))
+    asked = spark.createDataFrame([("s", "1", "accept"), ("s", "1", "accept"), ("s", "2", "accept"), ("s", "9", "accept")],
+                                  "score_id string, diff_id string, decision string")
+    assert [tuple(r) for r in D.bulk_updated_counts(df, asked).collect()] == [("s", 2)]
+    got = {r.id: r for r in D.bulk_decide(df, asked, F.lit(at(5))).collect()}
+    assert (got["1"].human_decision, got["1"].human_edit_value, got["1"].human_reviewed_at) == ("accept", "kept", at(5))
+    assert got["2"].human_decision is None
+
+
+def test_cascade(spark):
+    scores = spark.createDataFrame([("s",), ("t",)], "id string")
+    df = diffs(spark, ("1", "s", None, None, False), ("2", "t", None, None, False))
+    training = spark.createDataFrame([("1",), ("2",), ("gone",)], "flagged_diff_id string")
+    kept = D.delete_scores(scores, df, training, spark.createDataFrame([("s",)], "score_id string"))
+    assert [sorted(r[0] for r in k.collect()) for k in kept] == [["t"], ["2"], ["2", "gone"]]
+
+
+def test_scores_without_diffs(spark):
+    scores = spark.createDataFrame([("s",), ("t",)], "id string")
+    assert [r.id for r in D.scores_without_diffs(scores, diffs(spark, ("1", "s", None, None, False))).collect()] == ["t"]
