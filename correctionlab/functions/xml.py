@@ -38,57 +38,6 @@ def is_fragment(text: Column) -> Column:
     return F.coalesce(~closes_itself & _parses(wrapped) & _prefixes_declared(text), F.lit(False))
 
 
-# what a document may have before its root element
-_PROLOG = r"(?s)\A\x{FEFF}?\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)\s*)*"
-_OPAQUE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
-
-
-def root_tag(document: Column) -> Column:
-    """Qualified name of the root element."""
-    return F.regexp_extract(F.regexp_replace(document, _PROLOG, ""), r"^<([\w.:\-]+)", 1)
-
-
-def root_name(document: Column) -> Column:
-    """Local name of the root element, lower case."""
-    return F.lower(F.substring_index(root_tag(document), ":", -1))
-
-
-def _is_one_element(document: Column) -> Column:
-    """Whether nothing but prolog, comments and space surrounds a single root element.
-
-    The parser stops at the end of the root element, so it cannot tell. The text has to end with
-    the root's end tag, which may occur only once (score roots do not nest), or consist of a
-    single empty root; and its prefixes have to be declared.
-    """
-    content = F.regexp_replace(F.regexp_replace(document, _PROLOG, ""), _OPAQUE, "")
-    content = F.regexp_replace(content, r"(?:\s|<\?[^?]*\?>)+\z", "")
-    root = root_tag(document)
-    end_tag = F.concat(F.lit("</"), root, F.lit(">"))
-    tight = F.regexp_replace(content, r"(</[\w.:\-]+)\s+>\z", "$1>")
-    once = F.instr(tight, end_tag) == F.length(tight) - F.length(end_tag) + 1
-    single_empty = ~F.endswith(tight, end_tag) & content.rlike(
-        r"""^<[\w.:\-]+(?:[^<>"']|"[^"]*"|'[^']*')*/>$"""
-    )
-    return (root != "") & (once | single_empty) & _prefixes_declared(content)
-
-
-def read_document(document: Column, fields: str) -> Column:
-    """One parse of a document: a struct of `fields`, null unless it is one well-formed document.
-
-    `fields` declares elements below the root as Spark's XML source does.
-    """
-    # a leading byte order mark is fine in a file, but not in a string given to the parser
-    text = F.regexp_replace(document, r"\A\x{FEFF}?\s*", "")
-    parsed = F.from_xml(text, f"struct<{fields},_corrupt:string>", {**_OPTIONS, "ignoreNamespace": "true"})
-    good = (text != "") & parsed.getField("_corrupt").isNull() & _is_one_element(document)
-    return F.when(F.coalesce(good, F.lit(False)), parsed)
-
-
-def is_document(document: Column) -> Column:
-    """Whether the text is one well-formed document."""
-    return read_document(document, "_none:string").isNotNull()
-
-
 def element_parts(xml: Column) -> tuple[Column, Column, Column]:
     """(open tag without its end, inner XML, end tag) of a serialised element."""
     head = F.regexp_extract(xml, r"^(<[^>]*?)\s*/?>", 1)

@@ -77,15 +77,12 @@ def edits_of(diffs: DataFrame) -> DataFrame:
     )
 
 
-def locate_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
-    """Target part and measure of every edit.
-
-    The part is the first listed one, present in the document, whose name contains the instrument,
-    else the first part of the document. The measure is the part's first with the edit's number;
-    `measure_seq` is null where there is none, and such edits change nothing.
-    """
-    edits = edits_of(diffs).withColumn("needle", F.lower("instrument"))
-    present = parts.where(F.col("body_seq").isNotNull())
+def place_edits(edits: DataFrame, parts: DataFrame) -> DataFrame:
+    """Target part of every edit: the first listed one, present in the document, whose name contains
+    the instrument, else the first part of the document."""
+    edits = edits.withColumn("needle", F.lower("instrument"))
+    asked = edits.select("score_id").distinct()
+    present = parts.where(F.col("body_seq").isNotNull()).join(asked, "score_id", "left_semi")
     named = present.where(F.col("part_name").isNotNull()).select(
         "score_id", "part_seq", "part_id", F.lower("part_name").alias("name")
     )
@@ -95,26 +92,43 @@ def locate_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> Dat
         .agg(F.min_by("part_id", "part_seq").alias("named_part"))
     )
     first = present.groupBy("score_id").agg(F.min_by("part_id", "body_seq").alias("first_part"))
-    placed = (
+    return (
         edits.join(by_name, ["score_id", "needle"], "left")
         .join(first, "score_id", "left")
-        .withColumn("part_id", F.coalesce("named_part", "first_part"))
-        .withColumn("matched_by_name", F.col("named_part").isNotNull())
-        .withColumn("number", F.col("measure_number").cast("string"))
+        .select(
+            "id", "score_id", "instrument", "measure_number", "human_edit_value", "human_reviewed_at",
+            F.coalesce("named_part", "first_part").alias("part_id"),
+            F.col("named_part").isNotNull().alias("matched_by_name"),
+        )
     )
-    targets = placed.select("score_id", "part_id", "number").distinct()
+
+
+def find_measures(placed: DataFrame, measures: DataFrame) -> DataFrame:
+    """Target measure of every placed edit: the part's first with the edit's number.
+
+    `measure_seq` is null where there is none, and such edits change nothing. Of the measures only
+    keys are read, and only those some edit names are grouped.
+    """
+    key = ["score_id", "part_id", "number"]
+    placed = placed.withColumn("number", F.col("measure_number").cast("string"))
     numbered = measures.select(
         "score_id", "part_id", F.col("measure_number").alias("number"), "measure_seq"
     )
     positions = (
-        numbered.join(targets, ["score_id", "part_id", "number"], "left_semi")
-        .groupBy("score_id", "part_id", "number")
+        numbered.join(placed.select(*key).distinct(), key, "left_semi")
+        .groupBy(*key)
         .agg(F.min("measure_seq").alias("measure_seq"))
     )
-    return placed.join(positions, ["score_id", "part_id", "number"], "left").select(
-        "id", "score_id", "instrument", "measure_number", "human_edit_value", "human_reviewed_at",
-        "part_id", "matched_by_name", "measure_seq",
-    )
+    return placed.join(positions, key, "left").drop("number")
+
+
+def locate_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
+    """Target part and measure of every edit among the diffs, as one lazy plan.
+
+    The plan reads the edits several times; `plans.export.located_edits` writes them out between
+    the steps instead.
+    """
+    return find_measures(place_edits(edits_of(diffs), parts), measures)
 
 
 def measure_changes(located: DataFrame, comment_label: str = "edit") -> DataFrame:
@@ -136,23 +150,20 @@ def measure_changes(located: DataFrame, comment_label: str = "edit") -> DataFram
         F.when(value.startswith("<") & value.endswith(">"), X.is_fragment(value))
         .otherwise(F.lit(False)).alias("is_xml"),
     )
-    last = edits.where("is_xml").groupBy(*MEASURE_KEY).agg(
-        F.max(F.struct("rank", "value")).alias("replacement")
+    last = edits.where("is_xml").groupBy(*MEASURE_KEY).agg(F.max("rank").alias("since"))
+    comment = F.when(~F.col("is_xml"), F.struct("rank", "value"))
+    rendered = F.transform(
+        F.array_sort(F.collect_list(comment)),
+        lambda c: F.concat(F.lit(f"<!-- {comment_label}: "), c.value, F.lit(" -->")),
     )
-    comments = (
-        edits.where(~F.col("is_xml"))
-        .join(last.select(*MEASURE_KEY, F.col("replacement.rank").alias("since")), list(MEASURE_KEY), "left")
-        .where(F.col("since").isNull() | (F.col("rank") > F.col("since")))
+    return (
+        edits.join(last, list(MEASURE_KEY), "left")
+        .where(F.col("since").isNull() | (F.col("rank") >= F.col("since")))
         .groupBy(*MEASURE_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("items"))
-    )
-    rendered = F.array_join(
-        F.transform("items", lambda c: F.concat(F.lit(f"<!-- {comment_label}: "), c.value, F.lit(" -->"))), ""
-    )
-    return last.join(comments, list(MEASURE_KEY), "full_outer").select(
-        *MEASURE_KEY,
-        F.col("replacement.value").alias("new_content"),
-        F.coalesce(rendered, F.lit("")).alias("comments"),
+        .agg(
+            F.max(F.when(F.col("is_xml"), F.col("value"))).alias("new_content"),
+            F.array_join(rendered, "").alias("comments"),
+        )
     )
 
 
@@ -175,20 +186,29 @@ def apply_edits(measures: DataFrame, located: DataFrame, comment_label: str = "e
 # --- documents as ordered lines -----------------------------------------------------
 
 
-def _lines_of_parts(parts: DataFrame, measures: DataFrame) -> DataFrame:
-    """Start tag, measures and end tag of every part; the keys sort them into document order."""
-    tags = parts.where(F.col("body_seq").isNotNull()).select(
-        "score_id", "part_id", "body_seq",
-        F.explode(F.array(
-            F.struct(F.lit(-1).alias("seq"), F.concat(F.lit('<part id="'), "part_id", F.lit('">')).alias("line")),
-            F.struct(F.lit(2**31 - 1).alias("seq"), F.lit("</part>").alias("line")),
-        )).alias("l"),
-    ).select("score_id", "part_id", "body_seq", "l.seq", "l.line")
-    order = parts.where(F.col("body_seq").isNotNull()).select("score_id", "part_id", "body_seq")
-    body = measures.join(order, ["score_id", "part_id"]).select(
-        "score_id", "part_id", "body_seq", F.col("measure_seq").alias("seq"), F.col("xml").alias("line")
+def _tag_lines(heads: DataFrame, parts: DataFrame) -> DataFrame:
+    """Start and end tag of every part that is present in its document, around its measures."""
+    escaped = F.replace(F.replace("part_id", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    start = F.concat(F.lit("<"), "prefix", F.lit('part id="'), escaped, F.lit('">'))
+    end = F.concat(F.lit("</"), "prefix", F.lit("part>"))
+    return (
+        parts.where(F.col("body_seq").isNotNull())
+        .join(heads.select("score_id", "prefix"), "score_id")
+        .select(
+            "score_id", "part_id", "part_seq", "part_name", "body_seq",
+            F.inline(F.array(
+                F.struct(F.lit(-1).alias("seq"), start.alias("line")),
+                F.struct(F.lit(2**31 - 1).alias("seq"), end.alias("line")),
+            )),
+        )
+    )
+
+
+def _measure_lines(measures: DataFrame) -> DataFrame:
+    return measures.select(
+        "score_id", "part_id", "part_seq", "part_name", "body_seq",
+        F.col("measure_seq").alias("seq"), F.col("xml").alias("line"),
     )
-    return tags.unionByName(body)
 
 
 XML_DECLARATION = "<?xml version='1.0' encoding='utf-8'?>"
@@ -197,23 +217,25 @@ XML_DECLARATION = "<?xml version='1.0' encoding='utf-8'?>"
 def document_lines(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
     """Whole documents as rows (score_id, section, seq, line); sorted by the keys they read as XML.
 
-    A document is never gathered into one value, so a score of any length can be written.
+    Measures carry their part's place in the document, so they are only projected here, not joined
+    or shuffled, and a document is never gathered into one value.
     """
     def fixed(section: int, line: Column) -> DataFrame:
         return heads.select("score_id", F.lit(section).alias("section"), F.lit(0).alias("seq"), line.alias("line"))
 
     # sections: 0 declaration to head, 1 list start, 2 list entries, 3 list end, from 4 the parts, last the root end
+    groups = F.coalesce("part_groups_xml", F.lit(""))
     entries = parts.where(F.col("part_xml").isNotNull()).select(
         "score_id", F.lit(2).alias("section"), F.col("part_seq").alias("seq"), F.col("part_xml").alias("line")
     )
-    body = _lines_of_parts(parts, measures).select(
+    body = _tag_lines(heads, parts).unionByName(_measure_lines(measures)).select(
         "score_id", (F.col("body_seq") + 4).alias("section"), "seq", "line"
     )
     return (
         fixed(0, F.concat(F.lit(XML_DECLARATION), "root_open", "head_xml"))
-        .unionByName(fixed(1, F.concat(F.lit("<part-list>"), F.coalesce("part_groups_xml", F.lit("")))))
+        .unionByName(fixed(1, F.concat(F.lit("<"), "prefix", F.lit("part-list>"), groups)))
         .unionByName(entries)
-        .unionByName(fixed(3, F.lit("</part-list>")))
+        .unionByName(fixed(3, F.concat(F.lit("</"), "prefix", F.lit("part-list>"))))
         .unionByName(body)
         .unionByName(fixed(2**31 - 1, F.col("root_close")))
     )
@@ -225,81 +247,48 @@ def extract_parts(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> Da
     The documents are partwise whatever the source was. Equal part names get apart by the part id
     in the file name.
     """
-    name = F.coalesce("part_name", "part_id")
-    listed = parts.where(F.col("part_xml").isNotNull()).select(
-        "score_id", "part_id", name.alias("part_name"), "part_xml",
-        F.concat(safe_file_name(name), F.lit("_"), "part_id", F.lit(".xml")).alias("file_name"),
+    listed = parts.where(F.col("part_xml").isNotNull())
+    before = F.concat(
+        F.lit(XML_DECLARATION), "root_open", "head_xml", F.lit("<"), "prefix", F.lit("part-list>"),
+        F.coalesce("part_groups_xml", F.lit("")), "part_xml", F.lit("</"), "prefix", F.lit("part-list>"),
     )
-    top = listed.join(heads, "score_id")
-    frame = top.select(
-        "score_id", "part_id",
-        F.explode(F.array(
-            F.struct(
-                F.lit(0).alias("section"),
-                F.concat(
-                    F.lit(XML_DECLARATION), "root_open", "head_xml", F.lit("<part-list>"),
-                    F.coalesce("part_groups_xml", F.lit("")), "part_xml", F.lit("</part-list>"),
-                ).alias("line"),
-            ),
-            F.struct(F.lit(2).alias("section"), F.col("root_close").alias("line")),
-        )).alias("l"),
-    ).select("score_id", "part_id", "l.section", F.lit(0).alias("seq"), "l.line")
-    body = _lines_of_parts(parts, measures).select(
-        "score_id", "part_id", F.lit(1).alias("section"), "seq", "line"
+    frame = listed.join(heads, "score_id").select(
+        "score_id", "part_id", "part_name",
+        F.inline(F.array(
+            F.struct(F.lit(0).alias("section"), F.lit(0).alias("seq"), before.alias("line")),
+            F.struct(F.lit(2).alias("section"), F.lit(0).alias("seq"), F.col("root_close").alias("line")),
+        )),
     )
-    return frame.unionByName(body).join(
-        listed.select("score_id", "part_id", "part_name", "file_name"), ["score_id", "part_id"]
+    body = (
+        _tag_lines(heads, listed).unionByName(_measure_lines(measures.where(F.col("part_seq").isNotNull())))
+        .select("score_id", "part_id", "part_name", F.lit(1).alias("section"), "seq", "line")
+    )
+    name = F.coalesce("part_name", "part_id")
+    return frame.unionByName(body).select(
+        "score_id", "part_id", name.alias("part_name"),
+        F.concat(safe_file_name(name), F.lit("_"), "part_id", F.lit(".xml")).alias("file_name"),
+        "section", "seq", "line",
     )
 
 
 # --- metadata and validation ------------------------------------------------------
 
-_METADATA_FIELDS = (
-    "`work`:array<struct<`work-title`:array<string>,`work-number`:array<string>>>,"
-    "`movement-title`:array<string>,"
-    "`identification`:array<struct<`creator`:array<struct<_type:string,_VALUE:string>>>>"
-)
-
-
-def document_metadata(documents: DataFrame) -> DataFrame:
-    """title, opus, subtitle, composer and arranger of (score_id, xml); all null when malformed.
+def document_metadata(inspected: DataFrame) -> DataFrame:
+    """title, opus, subtitle, composer and arranger; all null when malformed.
 
     Of several creators of a kind the last one with a text counts.
     """
-    parsed = documents.select("score_id", X.read_document(F.col("xml"), _METADATA_FIELDS).alias("m"))
-
-    def first(array: Column) -> Column:
-        return blank_to_null(strip(F.get(array, F.lit(0))))
-
-    creators = F.get("m.identification", F.lit(0)).getField("creator")
-
-    def creator(kind: str) -> Column:
-        of_kind = F.filter(
-            creators,
-            lambda c: (F.lower(c["_type"]) == kind) & (F.coalesce(c["_VALUE"], F.lit("")) != ""),
-        )
-        return strip(F.try_element_at(of_kind, F.lit(-1))["_VALUE"])
-
-    work = F.get("m.work", F.lit(0))
-    return parsed.select(
-        "score_id",
-        first(work["work-title"]).alias("title"),
-        first(work["work-number"]).alias("opus"),
-        first(F.col("m")["movement-title"]).alias("subtitle"),
-        creator("composer").alias("composer"),
-        creator("arranger").alias("arranger"),
-    )
+    return inspected.select("score_id", "title", "opus", "subtitle", "composer", "arranger")
 
 
-def validate_documents(documents: DataFrame) -> DataFrame:
-    """Well-formedness, and the lenient and strict root checks, of (score_id, xml)."""
-    well_formed, root = X.is_document(F.col("xml")), X.root_name(F.col("xml"))
-    qualified = F.lower(X.root_tag(F.col("xml")))
-    return documents.select(
-        "score_id",
-        well_formed.alias("well_formed"),
-        (well_formed & F.contains(qualified, F.lit("score"))).alias("lenient"),
-        (well_formed & root.isin(*V.STRICT_ROOTS)).alias("strict"),
+def validate_documents(inspected: DataFrame) -> DataFrame:
+    """Well-formedness, and the lenient and strict root checks."""
+    tag = F.lower("root_tag")
+    local = F.substring_index(tag, "}", -1)
+    return inspected.select(
+        "score_id", "well_formed",
+        F.coalesce(tag.contains("score"), F.lit(False)).alias("lenient"),
+        F.coalesce(local.isin(*V.STRICT_ROOTS), F.lit(False)).alias("strict"),
     )
 
 

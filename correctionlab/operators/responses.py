@@ -39,17 +39,42 @@ def comparison_prompts(pages: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.select(*pages.columns, text.alias("prompt"))
 
 
-def _truthy(v: str) -> str:
+def _truthy(v: Column) -> Column:
     """Whether a JSON value counts as true: no zero, no blank, nothing empty."""
-    text, kind = f"cast({v} as string)", f"schema_of_variant({v})"
-    return f"""
-        case when {v} is null or {kind} = 'VOID' then false
-          when {kind} = 'BOOLEAN' then cast({v} as boolean)
-          when {kind} = 'STRING' then {text} <> ''
-          when startswith({kind}, 'ARRAY') then {text} <> '[]'
-          when startswith({kind}, 'OBJECT') then {text} <> '{{}}'
-          else cast({v} as double) <> 0 end
+    kind, text = F.schema_of_variant(v), v.cast("string")
+    return (
+        F.when(v.isNull() | (kind == "VOID"), F.lit(False))
+        .when(kind == "BOOLEAN", text == "true")
+        .when(kind == "STRING", text != "")
+        .when(kind.startswith("ARRAY"), text != "[]")
+        .when(kind.startswith("OBJECT"), text != "{}")
+        .otherwise(text.cast("double") != 0)
+    )
+
+
+def _differences(text: Column) -> Column:
+    """Array with the difference the answer reports, or an empty one.
+
+    Written as steps over one-element arrays: each step's value is computed once and then used by
+    name, where plain columns would repeat the JSON parse for every use.
     """
+    def field(json: Column, name: str) -> Column:
+        return F.try_variant_get(json, f"$.{name}", "variant").alias(name)
+
+    parsed = F.transform(
+        F.array(text),
+        lambda t: F.coalesce(F.try_parse_json(t), F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0))),
+    )
+    fields = F.transform(parsed, lambda j: F.struct(*[
+        field(j, name) for name in ("has_difference", "difference_type", "description", "confidence")
+    ]))
+    wanted = F.transform(F.filter(fields, lambda f: _truthy(f.has_difference)), lambda f: F.struct(
+        F.coalesce(f.difference_type.cast("string"), F.lit("other")).alias("difference_type"),
+        F.coalesce(f.description.cast("string"), F.lit("")).alias("description"),
+        F.when(f.confidence.isNull(), F.lit(V.DEFAULT_VISION_CONFIDENCE))
+        .otherwise(F.try_variant_get(f.confidence, "$", "double")).alias("vision_confidence"),
+    ))
+    return F.filter(wanted, lambda f: f.vision_confidence.isNotNull())
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -60,29 +85,8 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """
     text = strip(F.col("response_text"))
     unfenced = F.regexp_replace(text, r"(?s)\A```[^\n]*\n(.*)\n[^\n]*\z", "$1")
-    parsed = responses.withColumn("_text", unfenced).withColumn(
-        "_json",
-        F.coalesce(
-            F.try_parse_json("_text"),
-            F.try_parse_json(F.regexp_extract("_text", r"(?s)\{.*\}", 0)),
-        ),
-    ).withColumns({
-        name: F.expr(f"try_variant_get(_json, '$.{name}', 'variant')")
-        for name in ("has_difference", "difference_type", "description", "confidence")
-    })
-    confidence = F.expr("try_variant_get(confidence, '$', 'double')")
-    return (
-        parsed.where(F.expr(_truthy("has_difference")))
-        .select(
-            "score_id",
-            F.col("page_no").alias("measure_number"),
-            "instrument",
-            F.coalesce(F.expr("cast(difference_type as string)"), F.lit("other")).alias("difference_type"),
-            F.coalesce(F.expr("cast(description as string)"), F.lit("")).alias("description"),
-            F.when(F.col("confidence").isNull(), F.lit(V.DEFAULT_VISION_CONFIDENCE))
-            .otherwise(confidence).alias("vision_confidence"),
-        )
-        .where(F.col("vision_confidence").isNotNull())
+    return responses.select(
+        "score_id", F.col("page_no").alias("measure_number"), "instrument", F.inline(_differences(unfenced))
     )
 
 

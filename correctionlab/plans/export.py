@@ -9,6 +9,14 @@ from correctionlab.plans.sizing import cut_lineage
 from correctionlab.sources import readers, writers
 
 
+def located_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
+    """`locate_edits` with its steps written out: the edits, a small share of the diffs, are read
+    from the diffs once, and the plans stay short."""
+    edits = cut_lineage(D.edits_of(diffs), "edits")
+    placed = cut_lineage(D.place_edits(edits, parts), "placed")
+    return cut_lineage(D.find_measures(placed, measures), "located")
+
+
 def export_scores(
     documents: DataFrame, diffs: DataFrame, path: str, with_parts: bool = False, comment_label: str = "edit"
 ) -> DataFrame:
@@ -19,7 +27,7 @@ def export_scores(
     """
     pieces = cut_lineage(readers.shred(documents), "pieces")
     heads, parts, measures = readers.heads_of(pieces), readers.parts_of(pieces), readers.measures_of(pieces)
-    located = cut_lineage(D.locate_edits(diffs, parts, measures), "located")
+    located = located_edits(diffs, parts, measures)
     corrected = D.apply_edits(measures, located, comment_label)
     if with_parts:
         corrected = cut_lineage(corrected, "corrected")

@@ -120,7 +120,7 @@ CTES: dict[str, str] = {
         from orders, range(3) r(k)
     """,
     "measures": """
-        select score_id, part_id, part_seq, (n - 1)::int as measure_seq, n::varchar as measure_number,
+        select score_id, part_id, part_seq, part_name, (n - 1)::int as measure_seq, n::varchar as measure_number,
           concat('<measure number="', n, '"><note/></measure>') as xml
         from parts, range(1, 7) r(n)
     """,
@@ -595,8 +595,8 @@ BODIES: dict[str, str] = {
         from parts where score_id::bigint % 11 <> 0
     """,
     "shred_measures": """
-        select score_id, part_id, part_seq, measure_seq, measure_number,
-          replace(xml, '<note/>', '<note />') as xml
+        select score_id, part_id, part_seq, part_name, part_seq as body_seq, measure_seq, measure_number,
+          xml
         from measures where score_id::bigint % 11 <> 0
     """,
     "malformed_documents": "select o_orderkey::varchar as score_id from orders where o_orderkey % 11 = 0",
@@ -621,7 +621,7 @@ BODIES: dict[str, str] = {
 }
 
 _HEAD = """concat('<?xml version=''1.0'' encoding=''utf-8''?><', root,
-    case when o_orderkey % 7 = 0 then ' version="4.0" xmlns="http://example.org/music"' else ' version="4.0"' end, '>',
+    case when o_orderkey % 7 = 0 then ' xmlns="http://example.org/music" version="4.0"' else ' version="4.0"' end, '>',
     '<work><work-title> Order ', o_orderkey, ' </work-title>',
     case when o_orderkey % 2 = 0 then concat('<work-number>Op. ', o_custkey, '</work-number>') else '' end, '</work>',
     case when o_orderkey % 3 = 0 then '<movement-title>Allegro &amp; Coda</movement-title>' else '' end,
@@ -643,7 +643,7 @@ BODIES["corrected_lines"] = """
     union all select score_id, 2, part_seq, entry from listed
     union all select score_id, 3, 0, '</part-list>' from heads
     union all select score_id, part_seq + 4, -1, concat('<part id="', part_id, '">') from listed
-    union all select score_id, part_seq + 4, measure_seq, replace(xml, '<note/>', '<note />') from corrected
+    union all select score_id, part_seq + 4, measure_seq, xml from corrected
       where score_id::bigint % 11 <> 0
     union all select score_id, part_seq + 4, 2147483647, '</part>' from listed
     union all select score_id, 2147483647, 0, tail from heads
@@ -653,7 +653,7 @@ BODIES["part_document_lines"] = """
       select score_id, part_id, 0 as section, 0 as seq, concat(head, '<part-list>', entry, '</part-list>') as line
         from listed join heads using (score_id)
       union all select score_id, part_id, 1, -1, concat('<part id="', part_id, '">') from listed
-      union all select score_id, part_id, 1, measure_seq, replace(xml, '<note/>', '<note />') from measures
+      union all select score_id, part_id, 1, measure_seq, xml from measures
         where score_id::bigint % 11 <> 0
       union all select score_id, part_id, 1, 2147483647, '</part>' from listed
       union all select score_id, part_id, 2, 0, tail from listed join heads using (score_id))

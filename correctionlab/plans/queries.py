@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
+from correctionlab.plans.export import located_edits
 from correctionlab.plans.sizing import broadcast_within, cut_lineage, scratch_path
 from correctionlab.sources import fixtures as fx
 from correctionlab.sources import readers, writers
@@ -379,14 +380,14 @@ def measures_per_part(spark, sf_dir):
 
 @query
 def locate_edits(spark, sf_dir):
-    return documents.locate_edits(
+    return located_edits(
         fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), fx.measures(spark, sf_dir)
     ).select("id", "score_id", "part_id", "matched_by_name", "measure_seq")
 
 
 def _corrected(spark, sf_dir):
     measures = fx.measures(spark, sf_dir)
-    located = documents.locate_edits(fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), measures)
+    located = located_edits(fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), measures)
     return documents.apply_edits(measures, located)
 
 
@@ -419,7 +420,7 @@ def corrected_lines(spark, sf_dir):
     """The whole export: shred, locate, apply, and lay out as document lines."""
     pieces = cut_lineage(_shredded(spark, sf_dir), "pieces")
     parts, measures = readers.parts_of(pieces), readers.measures_of(pieces)
-    located = documents.locate_edits(fx.diffs(spark, sf_dir), parts, measures)
+    located = located_edits(fx.diffs(spark, sf_dir), parts, measures)
     corrected = documents.apply_edits(measures, located)
     return documents.document_lines(readers.heads_of(pieces), parts, corrected)
 
@@ -434,12 +435,12 @@ def part_document_lines(spark, sf_dir):
 
 @query
 def document_metadata(spark, sf_dir):
-    return documents.document_metadata(fx.documents(spark, sf_dir))
+    return documents.document_metadata(readers.inspect(fx.documents(spark, sf_dir)))
 
 
 @query
 def document_validity(spark, sf_dir):
-    return documents.validate_documents(fx.documents(spark, sf_dir))
+    return documents.validate_documents(readers.inspect(fx.documents(spark, sf_dir)))
 
 
 @query

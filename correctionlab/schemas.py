@@ -60,7 +60,8 @@ PARTS = _struct(
     {"score_id": _S, "part_id": _S}, {"part_seq": _I, "part_name": _S, "body_seq": _I, "part_xml": _S}
 )
 MEASURES = _struct(
-    {"score_id": _S, "part_id": _S, "measure_seq": _I, "xml": _S}, {"part_seq": _I, "measure_number": _S}
+    {"score_id": _S, "part_id": _S, "body_seq": _I, "measure_seq": _I, "xml": _S},
+    {"part_seq": _I, "part_name": _S, "measure_number": _S},
 )
 DECISION_LOG = _struct(
     {"diff_id": _S, "score_id": _S, "decision": _S, "kind": _S, "ts": _TS, "event_id": _L},

@@ -117,7 +117,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
         .select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
         .select(
             F.col("o_orderkey").cast("string").alias("score_id"),
@@ -133,9 +133,9 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measure 7 is missing on purpose: edits on it have no target."""
     return (
         parts(spark, sf_dir)
-        .select("score_id", "part_id", "part_seq", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
         .select(
-            "score_id", "part_id", "part_seq",
+            "score_id", "part_id", "part_seq", "part_name", "body_seq",
             (F.col("n") - 1).alias("measure_seq"),
             F.col("n").cast("string").alias("measure_number"),
             F.expr("concat('<measure number=\"', n, '\"><note/></measure>')").alias("xml"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,112 +136,168 @@ PIECE_SCHEMA = (
     " measure_seq int, measure_number string, xml string, root_open string, root_close string,"
     " layout string, part_groups_xml string"
 )
+PIECE_COLUMNS = [column.split()[0] for column in PIECE_SCHEMA.split(", ")]
 PIECE_ARROW = pa.schema([
     (name, pa.int32() if kind == "int" else pa.string())
     for name, kind in (column.split() for column in PIECE_SCHEMA.split(", "))
 ])
-
-PIECES_PER_BATCH = 5_000
-
-
-def _localise(root: ET.Element) -> str:
-    """Drop the root's namespace from all tags in place; return that namespace."""
-    space = root.tag[1:].partition("}")[0] if root.tag.startswith("{") else ""
-    if space:
-        prefix = "{" + space + "}"
-        for element in root.iter():
-            if isinstance(element.tag, str) and element.tag.startswith(prefix):
-                element.tag = element.tag[len(prefix):]
-    return space
-
-
-def _raw(element: ET.Element) -> str:
-    element.tail = None
-    return ET.tostring(element, encoding="unicode")
+PIECES_PER_BATCH = 20_000
+
+# tags that structure a score, and whatever may hold text that only looks like a tag
+_TAGS = re.compile(
+    r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>"""
+    r"""|<(?P<end>/?)(?P<name>(?:[\w.\-]+:)?(?:part-list|part-group|score-part|part-name|part|measure))(?=[\s/>])"""
+    r"""(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>""",
+    re.DOTALL,
+)
+_ROOT = re.compile(
+    r"""\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)\s*)*"""
+    r"""(?P<open><(?P<name>[^\s/>]+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>)""",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""\s([\w.:\-]+)\s*=\s*("[^"]*"|'[^']*')""")
 
 
-def _open_tag(root: ET.Element, tag: str, space: str) -> str:
-    shell = ET.Element(tag, root.attrib)
-    if space:
-        shell.set("xmlns", space)
-    return ET.tostring(shell, encoding="unicode").removesuffix(" />") + ">"
+def _attribute(tag_attributes: str, name: str, default: str | None = None) -> str | None:
+    for key, value in _ATTRIBUTE.findall(tag_attributes):
+        if key == name:
+            return html.unescape(value[1:-1])
+    return default
 
 
-def _pieces(score_id: str, xml: str) -> list[dict]:
-    """Rows of one document: its head, its parts and its measures."""
+def _well_formed(xml: str) -> str | None:
+    """None, or what the parser says is wrong."""
+    parser = expat.ParserCreate("utf-8", " ")
     try:
-        root = ET.fromstring(xml.encode("utf-8"))
-    except ET.ParseError as exc:
-        return [{"score_id": score_id, "kind": "error", "xml": str(exc)}]
-    space = _localise(root)
-    timewise = "timewise" in root.tag.lower()
-    tag = "score-partwise" if timewise else root.tag
-    listed = {}
-    groups = []
-    for entry in root.iterfind("part-list/*"):
-        if entry.tag == "score-part":
-            listed.setdefault(entry.get("id", ""), entry)
+        parser.Parse(xml.encode("utf-8", "surrogatepass"), True)
+    except expat.ExpatError as exc:
+        return str(exc)
+    return None
+
+
+class _Element:
+    """A structuring element and its place in the text; children are structuring elements too."""
+
+    __slots__ = ("name", "attrs", "begin", "inner", "inner_end", "over", "children")
+
+    def __init__(self, name: str, attrs: str, begin: int, inner: int):
+        self.name, self.attrs, self.begin, self.inner = name, attrs, begin, inner
+        self.inner_end = self.over = inner
+        self.children: list[_Element] = []
+
+
+def _structure(xml: str, start: int, end: int) -> list[_Element]:
+    """Structuring elements below the root of a well-formed document whose content is xml[start:end]."""
+    top = _Element("", "", start, start)
+    open_elements = [top]
+    for tag in _TAGS.finditer(xml, start, end):
+        closing, name, attrs, empty = tag.group("end", "name", "attrs", "empty")
+        if name is None:
+            continue
+        if closing:
+            done = open_elements.pop()
+            done.inner_end, done.over = tag.span()
         else:
-            groups.append(entry)
-
-    # part id -> its measures, in the order the parts first appear
+            element = _Element(name.rpartition(":")[2], attrs, *tag.span())
+            open_elements[-1].children.append(element)
+            if not empty:
+                open_elements.append(element)
+    return top.children
+
+
+def _pieces(score_id: str, xml: str) -> list[tuple]:
+    """Rows of one document: its head, its parts and its measures, cut out of the text as they are."""
+    xml = xml.removeprefix("﻿")
+    error = _well_formed(xml.lstrip())
+    if error is not None:
+        return [(score_id, "error", None, None, None, None, None, None, error, None, None, None, None)]
+    root = _ROOT.match(xml)
+    prefix = root["name"].rpartition(":")[0]
+    prefix = prefix + ":" if prefix else ""
+    timewise = "timewise" in root["name"].lower()
+    tag = f"{prefix}score-partwise" if timewise else root["name"]
+    stop = root.end() if root["empty"] else xml.rindex("</")
+
+    listed: dict[str, tuple[str | None, str]] = {}
+    groups: list[str] = []
+    # part id -> its measures as (number, text), in the order the parts first appear
     body: dict[str, list[tuple[str | None, str]]] = {}
-    if timewise:
-        ids = dict.fromkeys(p.get("id", "") for p in root.iterfind("measure/part"))
-        for measure in root.iterfind("measure"):
-            for part_id in ids:
-                shell = ET.Element("measure", measure.attrib)
-                for part in measure.iterfind("part"):
-                    if part.get("id", "") == part_id:
-                        shell.extend(part)
-                body.setdefault(part_id, []).append((measure.get("number"), _raw(shell)))
-    else:
-        for part in root.iterfind("part"):
-            found = [(m.get("number"), _raw(m)) for m in part.iterfind("measure")]
-            body.setdefault(part.get("id", ""), found)
-
-    skipped = {"part-list", "part", "measure"}
-    rows = [{
-        "score_id": score_id, "kind": "head", "layout": "timewise" if timewise else "partwise",
-        "root_open": _open_tag(root, tag, space), "root_close": f"</{tag}>",
-        "xml": "".join(_raw(c) for c in root if c.tag not in skipped),
-        "part_groups_xml": "" if timewise else "".join(_raw(g) for g in groups),
-    }]
+    timed: list[tuple[str, dict[str, list[str]]]] = []
+    head, at = [], root.end()
+    for el in _structure(xml, root.end(), stop):
+        if el.name not in ("part-list", "part", "measure"):
+            continue
+        head.append(xml[at:el.begin])
+        at = el.over
+        if el.name == "part-list":
+            for entry in el.children:
+                text = xml[entry.begin:entry.over]
+                if entry.name == "score-part":
+                    names = (xml[n.inner:n.inner_end] for n in entry.children if n.name == "part-name")
+                    label = html.unescape(next(names, "")).strip() or None
+                    listed.setdefault(_attribute(entry.attrs, "id", ""), (label, text))
+                elif entry.name == "part-group":
+                    groups.append(text)
+        elif el.name == "part" and not timewise:
+            found = [(_attribute(m.attrs, "number"), xml[m.begin:m.over])
+                     for m in el.children if m.name == "measure"]
+            body.setdefault(_attribute(el.attrs, "id", ""), found)
+        elif el.name == "measure" and timewise:
+            inside: dict[str, list[str]] = {}
+            for p in el.children:
+                if p.name == "part":
+                    inside.setdefault(_attribute(p.attrs, "id", ""), []).append(xml[p.inner:p.inner_end])
+            timed.append((el.attrs, inside))
+    head.append(xml[at:stop])
+    for part_id in dict.fromkeys(p for _, inside in timed for p in inside):
+        body[part_id] = [
+            (_attribute(attrs, "number"),
+             f"<{prefix}measure{attrs}>{''.join(inside.get(part_id, ()))}</{prefix}measure>")
+            for attrs, inside in timed
+        ]
+
+    rows = [(
+        score_id, "head", None, None, prefix, None, None, None, "".join(head).strip(),
+        f"<{tag}{root['attrs']}>", f"</{tag}>", "timewise" if timewise else "partwise",
+        "" if timewise else "".join(groups),
+    )]
     order = {part_id: i for i, part_id in enumerate(body)}
     sequence = {part_id: i for i, part_id in enumerate(listed)}
     for part_id in dict.fromkeys([*listed, *body]):
-        entry = listed.get(part_id)
-        name = (entry.findtext("part-name") or "").strip() if entry is not None else ""
-        rows.append({
-            "score_id": score_id, "kind": "part", "part_seq": sequence.get(part_id), "part_id": part_id,
-            "part_name": name or None, "body_seq": order.get(part_id),
-            "xml": _raw(entry) if entry is not None else None,
-        })
+        label, entry = listed.get(part_id, (None, None))
+        rows.append((score_id, "part", sequence.get(part_id), part_id, label, order.get(part_id),
+                     None, None, entry, None, None, None, None))
     for part_id, measures in body.items():
+        seq, body_seq, label = sequence.get(part_id), order[part_id], listed.get(part_id, (None,))[0]
         rows.extend(
-            {"score_id": score_id, "kind": "measure", "part_seq": sequence.get(part_id), "part_id": part_id,
-             "measure_seq": i, "measure_number": number, "xml": text}
+            (score_id, "measure", seq, part_id, label, body_seq, i, number, text, None, None, None, None)
             for i, (number, text) in enumerate(measures)
         )
     return rows
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def shred(documents: DataFrame) -> DataFrame:
     """All pieces of the documents (score_id, xml), one pass of Arrow batches over them.
 
     A document is parsed by the task that holds its row, so the biggest file, not the table, sets
-    the memory a task needs.
+    the memory a task needs. The parser only checks the text; pieces are slices of it, so
+    what an edit does not touch comes out byte for byte.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        rows: list[tuple] = []
         for batch in batches:
             for score_id, xml in zip(batch["score_id"], batch["xml"]):
                 rows.extend(_pieces(score_id.as_py(), xml.as_py()))
                 if len(rows) >= PIECES_PER_BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, PIECE_ARROW)
+                    yield _batch(rows, PIECE_ARROW)
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, PIECE_ARROW)
+            yield _batch(rows, PIECE_ARROW)
 
     return documents.select("score_id", "xml").mapInArrow(run, PIECE_SCHEMA)
 
@@ -246,7 +305,7 @@ def shred(documents: DataFrame) -> DataFrame:
 def heads_of(pieces: DataFrame) -> DataFrame:
     return pieces.where("kind = 'head'").select(
         "score_id", "layout", "root_open", "root_close", F.col("xml").alias("head_xml"),
-        "part_groups_xml",
+        "part_groups_xml", F.col("part_name").alias("prefix"),
     )
 
 
@@ -258,7 +317,7 @@ def parts_of(pieces: DataFrame) -> DataFrame:
 
 def measures_of(pieces: DataFrame) -> DataFrame:
     return pieces.where("kind = 'measure'").select(
-        "score_id", "part_id", "part_seq", "measure_seq", "measure_number", "xml"
+        "score_id", "part_id", "part_seq", "part_name", "body_seq", "measure_seq", "measure_number", "xml"
     )
 
 
@@ -272,6 +331,52 @@ def shred_scores(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts_of(pieces), measures_of(pieces)
 
 
+INSPECTION_SCHEMA = (
+    "score_id string, well_formed boolean, root_tag string, title string, opus string, subtitle string,"
+    " composer string, arranger string"
+)
+INSPECTION_ARROW = pa.schema([
+    (name, pa.bool_() if kind == "boolean" else pa.string())
+    for name, kind in (column.split() for column in INSPECTION_SCHEMA.split(", "))
+])
+
+
+def _inspect(score_id: str, xml: str) -> tuple:
+    """Whether the text is one well-formed document, its root tag, and its descriptive fields."""
+    try:
+        root = ET.fromstring(xml.removeprefix("\ufeff").lstrip().encode("utf-8", "surrogatepass"),
+                             ET.XMLParser(encoding="utf-8"))
+    except ET.ParseError:
+        return (score_id, False, None, None, None, None, None, None)
+
+    def text(path: str) -> str | None:
+        return (root.findtext(path) or "").strip() or None
+
+    creators = {
+        (c.get("type") or "").lower(): c.text.strip()
+        for c in root.iterfind("{*}identification[1]/{*}creator") if c.text
+    }
+    return (
+        score_id, True, root.tag, text("{*}work/{*}work-title"), text("{*}work/{*}work-number"),
+        text("{*}movement-title"), creators.get("composer"), creators.get("arranger"),
+    )
+
+
+def inspect(documents: DataFrame) -> DataFrame:
+    """Validity, root and descriptive fields of the documents (score_id, xml) in one parse.
+
+    Spark's XML functions stop at the end of the root element and accept undeclared prefixes, so
+    they cannot tell a valid document; a real parser in Arrow batches can, and is faster here.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_inspect(i.as_py(), x.as_py()) for i, x in zip(batch["score_id"], batch["xml"])]
+            if rows:
+                yield _batch(rows, INSPECTION_ARROW)
+
+    return documents.select("score_id", "xml").mapInArrow(run, INSPECTION_SCHEMA)
+
+
 # --- answers, logs, pages, webhooks -----------------------------------------------
 
 

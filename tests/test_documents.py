@@ -84,7 +84,7 @@ def test_document_checks_equal_a_parser(spark, text):
         want = (True, "score" in local, local in ("score-partwise", "score-timewise", "score"))
     except ET.ParseError:
         want = (False, False, False)
-    row = D.validate_documents(docs(spark, text)).first()
+    row = D.validate_documents(readers.inspect(docs(spark, text))).first()
     assert (row.well_formed, row.lenient, row.strict) == want
 
 
@@ -92,7 +92,7 @@ def test_document_checks_equal_a_parser(spark, text):
 
 
 def test_metadata(spark):
-    row = D.document_metadata(docs(spark, DOC)).first()
+    row = D.document_metadata(readers.inspect(docs(spark, DOC))).first()
     assert row[1:] == ("Sonata in C", "Op. 1", "Allegro", "Ludwig van Beethoven", "John Smith")
 
 
@@ -101,7 +101,7 @@ def test_metadata_with_namespace_and_of_malformed_text(spark):
     prefixed = ("<m:score xmlns:m='u'><m:work><m:work-title> A &amp; B </m:work-title></m:work><m:identification>"
                 "<m:creator type='Composer'>X</m:creator><m:creator type='composer'>Y</m:creator><m:creator type='composer'/>"
                 "</m:identification></m:score>")
-    got = {r.score_id: r[1:] for r in D.document_metadata(docs(spark, spaced, prefixed, DOC[:-9], "<score/>")).collect()}
+    got = {r.score_id: r[1:] for r in D.document_metadata(readers.inspect(docs(spark, spaced, prefixed, DOC[:-9], "<score/>"))).collect()}
     assert got["s0"] == ("Sonata in C", "Op. 1", "Allegro", "Ludwig van Beethoven", "John Smith")
     assert got["s1"] == ("A & B", None, None, "Y", None)
     assert got["s2"] == got["s3"] == (None,) * 5
@@ -122,8 +122,8 @@ def test_shred_partwise(spark):
 def test_shred_timewise_turns_measures_inside_out(spark):
     _, measures = readers.shred_scores(docs(spark, TIMEWISE))
     got = {(r.part_id, r.measure_number): r.xml for r in measures.collect()}
-    assert got == {("P1", "1"): '<measure number="1"><note a="1" /></measure>', ("P1", "2"): '<measure number="2" />',
-                   ("P2", "1"): '<measure number="1"><rest /></measure>', ("P2", "2"): '<measure number="2"><chord /></measure>'}
+    assert got == {("P1", "1"): '<measure number="1"><note a="1"/></measure>', ("P1", "2"): '<measure number="2"></measure>',
+                   ("P2", "1"): '<measure number="1"><rest/></measure>', ("P2", "2"): '<measure number="2"><chord/></measure>'}
 
 
 def test_shred_parts_without_body_or_entry_and_errors(spark):
@@ -155,8 +155,8 @@ def test_fragment_replaces_content_and_keeps_attributes(spark):
 
 def test_text_becomes_a_comment(spark):
     assert corrected(spark, edit("1", "add forte $1", measure=2), edit("2", "<bad", measure=1), edit("3", "<a><b></a>", measure=2, minute=1)) == {
-        ("P2", "1"): '<measure number="1"><note /><!-- edit: <bad --></measure>',
-        ("P2", "2"): '<measure number="2"><note /><!-- edit: add forte $1 --><!-- edit: <a><b></a> --></measure>'}
+        ("P2", "1"): '<measure number="1"><note/><!-- edit: <bad --></measure>',
+        ("P2", "2"): '<measure number="2"><note/><!-- edit: add forte $1 --><!-- edit: <a><b></a> --></measure>'}
     assert corrected(spark, edit("1", "x", measure=2, instrument="Violin")) == {
         ("P1", "2"): '<measure number="2"><!-- edit: x --></measure>'}
 
@@ -234,14 +234,14 @@ def test_file_names_are_safe_and_distinct(spark):
 
 
 def test_export_writes_readable_documents(spark, tmp_path):
-    rows = (edit("1", "<rest/>"), edit("2", "note this", measure=2, score="s1"), edit("3", "x", measure=9))
+    rows = (edit("1", "<forward/>"), edit("2", "note this", measure=2, score="s1"), edit("3", "x", measure=9))
     lost = export_scores(docs(spark, DOC, TIMEWISE), edits(spark, *rows), str(tmp_path), with_parts=True)
     assert [r.id for r in lost.collect()] == ["3"]
     for score in ("s0", "s1"):
         files = sorted((tmp_path / "scores" / f"score_id={score}").glob("part-*"))
         text = "".join(f.read_text() for f in files)
         ET.fromstring(text.encode())
-        assert ("<rest/>" in text) == (score == "s0") and ("<!-- edit: note this -->" in text) == (score == "s1")
+        assert ("<forward/>" in text) == (score == "s0") and ("<!-- edit: note this -->" in text) == (score == "s1")
     assert len(list((tmp_path / "parts").glob("score_id=*/file_name=*"))) == 4
 
 
