@@ -45,29 +45,26 @@ def measure_counts(measures: DataFrame, heads: DataFrame | None = None) -> DataF
 # --- edits ------------------------------------------------------------------------
 
 
-def _substrings(text: Column) -> Column:
-    """Every distinct substring of the text, the empty one included."""
-    starts = F.sequence(F.lit(1), F.length(text))
-    every = F.flatten(F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n)
-        ),
-    ))
-    return F.array_distinct(F.array_append(every, F.lit("")))
-
-
 def names_containing(names: DataFrame, needles: DataFrame) -> DataFrame:
     """(name, needle) wherever the needle is part of the name.
 
-    An equality join on the substrings of the distinct names: no name is compared with a needle it
-    does not contain, and both inputs are vocabularies, not rows of the big tables.
+    An equality join on substrings of the distinct names: no name is compared with a needle it does
+    not contain, and both inputs are vocabularies, not rows of the big tables. Only substrings as
+    long as some needle are made, those of one name and length at a time.
     """
-    grams = (
+    needles = needles.select("needle").distinct()
+    lengths = needles.select(F.length("needle").alias("n")).distinct()
+    sized = (
         names.select("name").where(F.col("name") != "").distinct()
-        .select("name", F.explode(_substrings(F.col("name"))).alias("needle"))
+        .select("name", F.explode(F.sequence(F.lit(0), F.length("name"))).alias("n"))
+        .join(lengths, "n", "left_semi")
+    )
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    grams = F.transform(starts, lambda i: F.substring(F.col("name"), i, F.col("n")))
+    return (
+        sized.select("name", F.explode(F.array_distinct(grams)).alias("needle"))
+        .join(needles, "needle", "left_semi")
     )
-    return grams.join(needles.select("needle").distinct(), "needle", "left_semi")
 
 
 def edits_of(diffs: DataFrame) -> DataFrame:
@@ -81,8 +78,7 @@ def place_edits(edits: DataFrame, parts: DataFrame) -> DataFrame:
     """Target part of every edit: the first listed one, present in the document, whose name contains
     the instrument, else the first part of the document."""
     edits = edits.withColumn("needle", F.lower("instrument"))
-    asked = edits.select("score_id").distinct()
-    present = parts.where(F.col("body_seq").isNotNull()).join(asked, "score_id", "left_semi")
+    present = parts.where(F.col("body_seq").isNotNull())
     named = present.where(F.col("part_name").isNotNull()).select(
         "score_id", "part_seq", "part_id", F.lower("part_name").alias("name")
     )

@@ -1,0 +1,35 @@
+import datetime as dt
+import json
+
+from correctionlab import schemas
+from correctionlab.operators.access import completions
+from correctionlab.sources import fixtures as fx
+from correctionlab.sources import readers
+
+
+def test_tables_come_with_their_schemas(spark, tmp_path):
+    row = ("p", "instrument_quirk", "note", "text", 1, 1, 0, 0, 0.8, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), "violin", None, ["a"])
+    spark.createDataFrame([row], schemas.PATTERNS).write.parquet(str(tmp_path / "patterns"))
+    spark.createDataFrame([("u", "u@x.org", "user")], schemas.USERS).write.parquet(str(tmp_path / "users"))
+    tables = readers.load_tables(spark, str(tmp_path), ["patterns", "users"])
+    assert tables["patterns"].first().example_ids == ["a"]
+    assert tables["users"].columns == ["id", "email", "role"]
+
+
+def test_jdbc_tables_are_read_in_ranges(spark):
+    url = "jdbc:derby:memory:correctionlab;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("id as K", "id * 2 as V").write.jdbc(url, "T", properties={"driver": driver})
+    df = readers.load_jdbc(spark, url, "T", "K", 0, 100, 4, driver=driver)
+    assert df.rdd.getNumPartitions() == 4
+    assert df.groupBy().sum("V").first()[0] == 9900
+
+
+def test_pages_and_webhooks(spark, sf, tmp_path):
+    pages = readers.read_pages(spark, f"{sf}/pages.parquet")
+    assert pages.columns == ["page_id", "url", "html"] and pages.count() == fx.pages(spark, sf).count()
+    body = json.dumps({"type": "checkout.session.completed", "data": {"object": {
+        "id": "cs_1", "payment_intent": None, "metadata": {"user_id": "u", "score_id": "s", "feature": "x"}}}})
+    (tmp_path / "hooks.json").write_text(json.dumps({"event_id": 1, "ts": "2024-01-01T00:00:00Z", "body": body}) + "\n")
+    (row,) = completions(readers.read_webhooks(spark, str(tmp_path / "hooks.json"))).collect()
+    assert (row.session_id, row.payment_intent, row.user_id, row.ts) == ("cs_1", None, "u", dt.datetime(2024, 1, 1))
