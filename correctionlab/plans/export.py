@@ -25,7 +25,7 @@ def export_scores(
     Returns the edits that had no target measure. The shredded pieces are written out once, because
     parts, measures and heads are all read from them.
     """
-    pieces = cut_lineage(readers.shred(documents), "pieces")
+    pieces = cut_lineage(readers.shred(documents), "pieces", "kind")
     heads, parts, measures = readers.heads_of(pieces), readers.parts_of(pieces), readers.measures_of(pieces)
     located = located_edits(diffs, parts, measures)
     corrected = D.apply_edits(measures, located, comment_label)

@@ -418,7 +418,7 @@ def malformed_documents(spark, sf_dir):
 @query
 def corrected_lines(spark, sf_dir):
     """The whole export: shred, locate, apply, and lay out as document lines."""
-    pieces = cut_lineage(_shredded(spark, sf_dir), "pieces")
+    pieces = cut_lineage(_shredded(spark, sf_dir), "pieces", "kind")
     parts, measures = readers.parts_of(pieces), readers.measures_of(pieces)
     located = located_edits(fx.diffs(spark, sf_dir), parts, measures)
     corrected = documents.apply_edits(measures, located)
@@ -427,7 +427,7 @@ def corrected_lines(spark, sf_dir):
 
 @query
 def part_document_lines(spark, sf_dir):
-    pieces = cut_lineage(_shredded(spark, sf_dir), "pieces")
+    pieces = cut_lineage(_shredded(spark, sf_dir), "pieces", "kind")
     return documents.extract_parts(
         readers.heads_of(pieces), readers.parts_of(pieces), readers.measures_of(pieces)
     )

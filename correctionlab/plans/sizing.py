@@ -34,14 +34,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     A written table survives lost executors, and its file sizes give Catalyst true statistics,
-    so joins to it are planned by size without any hint.
+    so joins to it are planned by size without any hint. With `partition_by`, readers that filter on
+    that column open only their part of the files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -155,14 +155,16 @@ _ROOT = re.compile(
     r"""(?P<open><(?P<name>[^\s/>]+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>)""",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""\s([\w.:\-]+)\s*=\s*("[^"]*"|'[^']*')""")
+_ATTRIBUTES = {
+    name: re.compile(rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""") for name in ("id", "number")
+}
 
 
 def _attribute(tag_attributes: str, name: str, default: str | None = None) -> str | None:
-    for key, value in _ATTRIBUTE.findall(tag_attributes):
-        if key == name:
-            return html.unescape(value[1:-1])
-    return default
+    hit = _ATTRIBUTES[name].search(tag_attributes)
+    if hit is None:
+        return default
+    return html.unescape(hit[1] if hit[1] is not None else hit[2])
 
 
 def _well_formed(xml: str) -> str | None:
