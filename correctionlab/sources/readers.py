@@ -141,7 +141,7 @@ PIECE_ARROW = pa.schema([
     (name, pa.int32() if kind == "int" else pa.string())
     for name, kind in (column.split() for column in PIECE_SCHEMA.split(", "))
 ])
-PIECES_PER_BATCH = 20_000
+PIECES_PER_BATCH, CHARS_PER_BATCH = 20_000, 32_000_000
 
 # tags that structure a score, and whatever may hold text that only looks like a tag
 _TAGS = re.compile(
@@ -209,8 +209,8 @@ def _structure(xml: str, start: int, end: int) -> list[_Element]:
 
 def _pieces(score_id: str, xml: str) -> list[tuple]:
     """Rows of one document: its head, its parts and its measures, cut out of the text as they are."""
-    xml = xml.removeprefix("﻿")
-    error = _well_formed(xml.lstrip())
+    xml = xml.removeprefix("\ufeff")
+    error = _well_formed(xml)
     if error is not None:
         return [(score_id, "error", None, None, None, None, None, None, error, None, None, None, None)]
     root = _ROOT.match(xml)
@@ -291,13 +291,15 @@ def shred(documents: DataFrame) -> DataFrame:
     what an edit does not touch comes out byte for byte.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        rows, chars = [], 0
         for batch in batches:
             for score_id, xml in zip(batch["score_id"], batch["xml"]):
-                rows.extend(_pieces(score_id.as_py(), xml.as_py()))
-                if len(rows) >= PIECES_PER_BATCH:
+                text = xml.as_py() or ""
+                rows.extend(_pieces(score_id.as_py(), text))
+                chars += len(text)
+                if len(rows) >= PIECES_PER_BATCH or chars >= CHARS_PER_BATCH:
                     yield _batch(rows, PIECE_ARROW)
-                    rows = []
+                    rows, chars = [], 0
         if rows:
             yield _batch(rows, PIECE_ARROW)
 
@@ -346,7 +348,7 @@ INSPECTION_ARROW = pa.schema([
 def _inspect(score_id: str, xml: str) -> tuple:
     """Whether the text is one well-formed document, its root tag, and its descriptive fields."""
     try:
-        root = ET.fromstring(xml.removeprefix("\ufeff").lstrip().encode("utf-8", "surrogatepass"),
+        root = ET.fromstring(xml.removeprefix("\ufeff").encode("utf-8", "surrogatepass"),
                              ET.XMLParser(encoding="utf-8"))
     except ET.ParseError:
         return (score_id, False, None, None, None, None, None, None)
@@ -372,7 +374,7 @@ def inspect(documents: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_inspect(i.as_py(), x.as_py()) for i, x in zip(batch["score_id"], batch["xml"])]
+            rows = [_inspect(i.as_py(), x.as_py() or "") for i, x in zip(batch["score_id"], batch["xml"])]
             if rows:
                 yield _batch(rows, INSPECTION_ARROW)
 
