@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from correctionlab.llm import chat, content_sort, license_scan, mixing, token_files
+from correctionlab.llm import chat, content_sort, decontaminate, language_id, license_scan, mixing, simhash, token_files
 from correctionlab.llm.common import table
 
 
@@ -13,6 +13,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -35,6 +39,14 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +61,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_content_sort, op7_token_frames, op8_mixing, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan)}
 
 
 def _sql_text(text: str) -> str:
