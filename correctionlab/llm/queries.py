@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from correctionlab.llm import chat, content_sort, decontaminate, language_id, license_scan, mixing, simhash, token_files
+from correctionlab.llm import chat, content_sort, decontaminate, language_id, license_scan, mixing, pii, simhash, token_files
 from correctionlab.llm.common import table
 
 
@@ -61,7 +61,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan)}
+def _of_kind(kind: str):
+    return F.filter("base", lambda s: s["kind"] == kind)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[F.size(_of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan, op10_personal_data)}
 
 
 def _sql_text(text: str) -> str:
