@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from correctionlab.llm import chat, content_sort, decontaminate, language_id, license_scan, mixing, pii, simhash, token_files
+from correctionlab.llm import chat, content_sort, decontaminate, language_id, license_scan, mixing, pii, secret_scan, simhash, token_files
 from correctionlab.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir))
 
@@ -72,7 +76,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_secret_scan, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan, op10_personal_data)}
 
 
 def _sql_text(text: str) -> str:
