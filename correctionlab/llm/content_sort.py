@@ -4,6 +4,9 @@ Texts without their white space are dealt to ranges between sampled splitters, s
 each is compared in full with its neighbour: a group ends where a text differs from the one before it. Nothing is decided
 by a digest.
 
+Splitters are sampled on the driver, so they must be small: ranges follow the first `PREFIX` characters, and among texts that
+share these a hash of the whole. Equal texts stay adjacent, and texts with a common beginning don't fill one range.
+
 A text with a large share of all rows would fill one range. So copies are counted first by a 64-bit hash, which only
 serves to spread work: a text with more than 1/`PIECES` of all rows is cut into pieces of about that size by a second sort
 key. The first of each piece then meets the firsts of the others in a second content sort, which has at most
@@ -21,6 +24,7 @@ from correctionlab.plans.sizing import cut_lineage
 # Texts with more than 1/PIECES of all rows are split; so at most PIECES texts are, and their list is small (16 bytes each).
 PIECES = 16_384
 LEAST_COPIES = 8
+PREFIX = 32
 
 
 def exact_groups(docs: DataFrame, pieces: int = PIECES, least_copies: int = LEAST_COPIES, name: str = "content") -> DataFrame:
@@ -44,27 +48,28 @@ def exact_groups(docs: DataFrame, pieces: int = PIECES, least_copies: int = LEAS
         "piece", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id", "chars"), F.col("parts")).cast("int"))
     )
     # the range partitioning satisfies the window, so whole texts move once
-    piece = Window.partitionBy("content", "piece")
+    rows = rows.withColumn("prefix", F.left("content", F.lit(PREFIX)))
+    piece = Window.partitionBy("prefix", "hash", "piece", "content")
     in_order = piece.orderBy(F.desc("chars"), "doc_id")
     sorted_rows = (
-        rows.repartitionByRange("content", "piece")
+        rows.repartitionByRange("prefix", "hash", "piece")
         .select(
-            "doc_id", "chars", "piece", "content",
+            "doc_id", "chars", "hash", "piece", "content",
             F.row_number().over(in_order).alias("place"),
             F.first("doc_id").over(in_order).alias("first_id"),
             F.count("*").over(piece).alias("rows"),
         )
         .select(
-            "doc_id", "chars", "piece", "place", "first_id", "rows", F.sha2("content", 256).alias("text_sha256"),
+            "doc_id", "chars", "hash", "piece", "place", "first_id", "rows", F.sha2("content", 256).alias("text_sha256"),
             F.when((F.col("piece") >= 0) & (F.col("place") == 1), F.col("content")).alias("content"),
         )
     )
     placed = cut_lineage(sorted_rows, name)
-    whole = Window.partitionBy("content")
+    whole = Window.partitionBy("hash", "content")
     firsts = (
         placed.where(F.col("content").isNotNull())
-        .select("content", "piece", "doc_id", "chars", "rows", "text_sha256")
-        .repartitionByRange("content")
+        .select("hash", "content", "piece", "doc_id", "chars", "rows", "text_sha256")
+        .repartitionByRange("hash")
         .select(
             "text_sha256", "piece",
             F.row_number().over(whole.orderBy(F.desc("chars"), "doc_id")).alias("piece_place"),
