@@ -32,7 +32,8 @@ from correctionlab.plans.sizing import cut_lineage, scratch_path
 END_ID = 1
 FRAME_IDS = 1 << 20
 LEVEL = 3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python's split, but not to tokenizers
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ROW, INDEX_ROW_BYTES = "<Bqqq", 25
 TAIL, TAIL_BYTES = "<IBI", 9
@@ -41,56 +42,69 @@ READ = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, word by word.
+    """Encodes texts with a tokenizer that drops white space and ends each word with a token of its own, word by word.
 
-    Such a tokenizer gives a text's ids as those of its words in turn, so words are encoded once while the cache holds
-    them: new words of a batch go to the library together. Words are looked up in lower case and without a final comma or stop.
-    Texts for which that may differ from the whole (special tokens, text that isn't in normal form C, capital sigma or
-    dotted capital I, whose lower case depends on more than the letter) are encoded whole.
+    Such a tokenizer gives a text's ids as those of its words in turn. Ids are kept as bytes in the form they have in files, so a
+    text is a lookup of its words and one join. The new words of a batch go to the library together: those of letters
+    only as one text, which its word ends divide again, the others one by one. Words are looked up in lower case, and a
+    final comma or stop is encoded apart. Texts for which that may differ from the whole (special tokens, separators, text that isn't
+    in normal form C, capital sigma or dotted capital I, whose lower case depends on more than the letter) are encoded whole.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cached_words = cached_words
-        self.words: dict[str, list[int]] = {}
-        self.stops = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in ",."}
+        self.words: dict[str, bytes] = {}
+        self.stops = {s: self._whole(s) for s in ",."}
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self, new: set[str]) -> None:
+        import numpy as np
+
+        stopped = {w: w[:-1] for w in new if w[-1] in ",." and w[-2:-1].isalpha()}
+        bases = [w for w in (new - stopped.keys()) | set(stopped.values()) if w not in self.words]
+        letters = [w for w in bases if w.isalpha()]
+        for at in range(0, len(letters), 2_000):
+            some = letters[at:at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(some):
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(some, ends):
+                    self.words[w] = raw[begin:end]
+                    begin = end
+        for w in bases:
+            if w not in self.words:
+                self.words[w] = self._whole(w)
+        for w, base in stopped.items():
+            self.words[w] = self.words[base] + self.stops[w[-1]]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids, little-endian and 32 bits each."""
         import unicodedata
 
-        if len(self.words) > self.cached_words:
-            self.words.clear()
-        words, split, whole = self.words, [], {}
-        new: dict[str, None] = {}
-        for k, text in enumerate(texts):
-            if "<|" in text or not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text)):
-                whole[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                split.append(())
-                continue
-            found = text.lower().split()
-            split.append(found)
-            for w in set(found):
-                if w not in words:
-                    new[w[:-1] if w[-1] in ",." and w[-2:-1].isalpha() else w] = None
-        fresh = [w for w in new if w not in words]
-        if fresh:
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                words[w] = e.ids
-        out = []
-        for k, found in enumerate(split):
-            if k in whole:
-                out.append(whole[k])
-                continue
-            ids: list[int] = []
-            for w in found:
-                got = words.get(w)
-                if got is None:  # a word and its stop
-                    got = words[w[:-1]] + self.stops[w[-1]]
-                ids += got
-            out.append(ids)
-        return out
+        split: list = []
+        for text in texts:
+            whole = any(c in text for c in ("<|", *SEPARATORS)) or not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text))
+            split.append(self._whole(text) if whole else text.lower().split())
+        lists = [x for x in split if isinstance(x, list)]
+        if len(self.words) > self.cached_words:  # short words come most often
+            self.words = {w: b for w, b in self.words.items() if len(w) <= 8}
+            if len(self.words) > self.cached_words // 2:
+                self.words = {}
+        self._learn(set().union(*lists).difference(self.words))
+        get = self.words.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -123,11 +137,10 @@ class FrameWriter:
         self.frames, self.index = bytearray(), bytearray()
         self.n_frames = self.n_documents = self.n_ids = 0
 
-    def add(self, doc_id: int | None, ids) -> None:
-        import numpy as np
+    def add(self, doc_id: int | None, data: bytes) -> None:
+        """A document and its ids, little-endian and 32 bits each."""
         import xxhash
 
-        data = np.asarray(ids, "<u4").tobytes()
         step, mine = self.frame_ids * 4, 0
         for at in range(0, max(len(data), 1), step):
             raw = data[at:at + step]
@@ -207,6 +220,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, fs, path, out = worker_encoder(tokenizer), None, None, None
+        end = struct.pack("<I", end_id)
         part = TaskContext.get().partitionId()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
@@ -219,8 +233,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                         path = f"{base}/part-{part:08d}.zst"
                         mine = f"{path}.{uuid.uuid4().hex}"
                         out = FrameWriter(fs.open_output_stream(mine, compression=None))
-                    tokens.append(end_id)
-                    out.add(doc_id, tokens)
+                    out.add(doc_id, tokens + end)
         if out is not None:
             out.close()
             out.stream.close()

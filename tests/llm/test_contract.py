@@ -1,0 +1,17 @@
+"""Registered queries of the folder against their SQL, on the smallest test set."""
+
+import pytest
+
+import check_queries
+from correctionlab.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf, name):
+    ok, note = check_queries.compare(spark, check_queries.duck(sf), sf, name, QUERIES[name], ORACLES[name])
+    assert ok, note
+    assert "types" not in note, note
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
