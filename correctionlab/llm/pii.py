@@ -30,11 +30,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Tokens that hold a digit or an at sign, between white space.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 EDGES_BEFORE = r"^[\"'(\[{<]+"
 EDGES_AFTER = r"[\"')\]}>.,;:!?]+$"
 SHORTEST = 6
+# Tokens that hold a digit or an at sign, between white space, and are long enough.
+TOKEN = rf"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{{{SHORTEST}}})[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 CONTEXT = 80           # characters beside a span in which its words are looked for
 ROUNDS = 3
 SUPPORT = 3.0          # a pattern needs the weight of so many distinct instances

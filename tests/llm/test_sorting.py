@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -58,7 +58,7 @@ def plain_targets(sizes, weights=(5, 2, 1)):
 
 
 @given(st.dictionaries(st.one_of(st.none(), st.text("abcXYé", min_size=1, max_size=3)), st.integers(0, 1_000), min_size=1, max_size=9))
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=12, deadline=None, phases=[Phase.generate])
 def test_targets_equal_resharing(spark, sizes):
     table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(table).collect()}
@@ -173,7 +173,7 @@ def test_base_spans_equal_plain_patterns(docs):
 
 
 @given(st.lists(st.text("a1.@-+ (é4", max_size=40), min_size=20, max_size=20))
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=6, deadline=None, phases=[Phase.generate])
 def test_base_spans_of_drawn_texts(spark, texts):
     found = pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in found:
@@ -186,7 +186,7 @@ def test_patterns_discover_unseen_identifiers(docs):
     noise = [f"the number x{k}77889 is nothing" for k in range(12)]
     texts = [*seeds, *noise, "please write to bob(at)host77 today", "nothing of bob(at)host77 here"]
     got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(docs(texts)).collect()}
-    assert got[24] == [(16, "email", 30)] and got[25] == [(11, "email", 25)]
+    assert got[24] == [(16, "email", 29)] and got[25] == [(11, "email", 24)]
     assert all(len(got[k]) == 1 for k in range(12)) and all(got[k] == [] for k in range(12, 24))
 
 
