@@ -79,3 +79,9 @@ def url_file_name(url: Column) -> Column:
     return F.when(F.lower(name).endswith(V.LINK_SUFFIX), name).otherwise(
         F.concat(name, F.lit(V.LINK_SUFFIX))
     )
+
+
+def hash_id(*columns: str) -> Column:
+    """An id from texts: each with its length before it, so that no two lists of texts run together; null is n."""
+    parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat_ws(":", F.length(F.col(c).cast("string")).cast("string"), F.col(c).cast("string"))) for c in columns]
+    return F.sha2(F.concat(*parts), 256)

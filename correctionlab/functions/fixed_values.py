@@ -2,14 +2,11 @@
 
 # --- enumerations -----------------------------------------------------------
 ERAS = ("baroque", "classical", "romantic", "modern")
-SCORE_STATUSES = ("pending", "processing", "review", "complete", "error")
 DECISIONS = ("accept", "reject", "edit")
 BULK_DECISIONS = ("accept", "reject")
 DIFFERENCE_TYPES = (
     "note", "rhythm", "articulation", "dynamic", "beam", "slur", "accidental", "clef", "other",
 )
-PATTERN_TYPES = ("audiveris_failure", "claude_vision_prompt", "instrument_quirk")
-SPLITS = ("train", "val", "test")
 REVIEW_BUCKETS = ("all", "pending", "accepted", "rejected", "edited")
 
 # --- learning loop thresholds -----------------------------------------------

@@ -17,7 +17,8 @@ ENTITIES = (
     ("&#39;", "'"), ("&#x27;", "'"), ("&#34;", '"'), ("&#38;", "&"), ("&amp;", "&"),
 )
 INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# possessive runs: nothing is tried again, and a page of any length needs no more stack
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # a paragraph ends at its end tag, at the next block element, or where its container ends
 BLOCK_START = (
     r"<(?:p|div|ul|ol|dl|table|h[1-6]|pre|blockquote|form|hr|address|fieldset)(?=[\s/>])"

@@ -78,8 +78,8 @@ def with_latest(diffs: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def bulk_matches(diffs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests that name an existing diff of the right score, repeats included."""
-    return requests.join(
+    """Requests that bulk allows and that name an existing diff of the right score, repeats included."""
+    return requests.where(F.col("decision").isin(*V.BULK_DECISIONS)).join(
         diffs.select(F.col("id").alias("diff_id"), "score_id"), ["diff_id", "score_id"], "left_semi"
     )
 

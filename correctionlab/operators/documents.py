@@ -78,7 +78,8 @@ def place_edits(edits: DataFrame, parts: DataFrame) -> DataFrame:
     """Target part of every edit: the first listed one, present in the document, whose name contains
     the instrument, else the first part of the document."""
     edits = edits.withColumn("needle", F.lower("instrument"))
-    present = parts.where(F.col("body_seq").isNotNull())
+    edited = edits.select("score_id").distinct()
+    present = parts.where(F.col("body_seq").isNotNull()).join(edited, "score_id", "left_semi")
     named = present.where(F.col("part_name").isNotNull()).select(
         "score_id", "part_seq", "part_id", F.lower("part_name").alias("name")
     )
@@ -150,7 +151,8 @@ def measure_changes(located: DataFrame, comment_label: str = "edit") -> DataFram
     comment = F.when(~F.col("is_xml"), F.struct("rank", "value"))
     rendered = F.transform(
         F.array_sort(F.collect_list(comment)),
-        lambda c: F.concat(F.lit(f"<!-- {comment_label}: "), c.value, F.lit(" -->")),
+        # two hyphens would end or break the comment
+        lambda c: F.concat(F.lit(f"<!-- {comment_label}: "), F.regexp_replace(c.value, "-(?=-)", "- "), F.lit(" -->")),
     )
     return (
         edits.join(last, list(MEASURE_KEY), "left")
@@ -210,9 +212,11 @@ def _measure_lines(measures: DataFrame) -> DataFrame:
 XML_DECLARATION = "<?xml version='1.0' encoding='utf-8'?>"
 
 
-def document_lines(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
+def document_lines(heads: DataFrame, parts: DataFrame, measures: DataFrame, groups: DataFrame) -> DataFrame:
     """Whole documents as rows (score_id, section, seq, line); sorted by the keys they read as XML.
 
+    The entries of the part list, parts and groups, stand in their one sequence.
+
     Measures carry their part's place in the document, so they are only projected here, not joined
     or shuffled, and a document is never gathered into one value.
     """
@@ -220,16 +224,15 @@ def document_lines(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> D
         return heads.select("score_id", F.lit(section).alias("section"), F.lit(0).alias("seq"), line.alias("line"))
 
     # sections: 0 declaration to head, 1 list start, 2 list entries, 3 list end, from 4 the parts, last the root end
-    groups = F.coalesce("part_groups_xml", F.lit(""))
     entries = parts.where(F.col("part_xml").isNotNull()).select(
         "score_id", F.lit(2).alias("section"), F.col("part_seq").alias("seq"), F.col("part_xml").alias("line")
-    )
+    ).unionByName(groups.select("score_id", F.lit(2).alias("section"), F.col("part_seq").alias("seq"), F.col("group_xml").alias("line")))
     body = _tag_lines(heads, parts).unionByName(_measure_lines(measures)).select(
         "score_id", (F.col("body_seq") + 4).alias("section"), "seq", "line"
     )
     return (
         fixed(0, F.concat(F.lit(XML_DECLARATION), "root_open", "head_xml"))
-        .unionByName(fixed(1, F.concat(F.lit("<"), "prefix", F.lit("part-list>"), groups)))
+        .unionByName(fixed(1, F.concat(F.lit("<"), "prefix", F.lit("part-list>"))))
         .unionByName(entries)
         .unionByName(fixed(3, F.concat(F.lit("</"), "prefix", F.lit("part-list>"))))
         .unionByName(body)
@@ -246,7 +249,7 @@ def extract_parts(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> Da
     listed = parts.where(F.col("part_xml").isNotNull())
     before = F.concat(
         F.lit(XML_DECLARATION), "root_open", "head_xml", F.lit("<"), "prefix", F.lit("part-list>"),
-        F.coalesce("part_groups_xml", F.lit("")), "part_xml", F.lit("</"), "prefix", F.lit("part-list>"),
+        "groups_before", "part_xml", "groups_after", F.lit("</"), "prefix", F.lit("part-list>"),
     )
     frame = listed.join(heads, "score_id").select(
         "score_id", "part_id", "part_name",
@@ -267,6 +270,12 @@ def extract_parts(heads: DataFrame, parts: DataFrame, measures: DataFrame) -> Da
     )
 
 
+def verbatim_lines(documents: DataFrame) -> DataFrame:
+    """Documents (score_id, xml) as one line each, their text as it is."""
+    return documents.select(
+        "score_id", F.lit(0).alias("section"), F.lit(0).alias("seq"), F.coalesce("xml", F.lit("")).alias("line"))
+
+
 # --- metadata and validation ------------------------------------------------------
 
 def document_metadata(inspected: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from correctionlab.functions import fixed_values as V
-from correctionlab.functions.expressions import percent_text, ratio, round_half_up
+from correctionlab.functions.expressions import hash_id, percent_text, ratio, round_half_up
 
 PATTERN_KEY = ("instrument", "difference_type", "pattern_type")
 
@@ -47,8 +47,8 @@ def rate_counts(counts: DataFrame) -> DataFrame:
     rated = counts.withColumns({
         "accept_rate": F.col("accepts") / n,
         "reject_rate": F.col("rejects") / n,
-        "pattern_type": F.when(F.col("instrument") != "unknown", "instrument_quirk")
-        .otherwise("audiveris_failure"),
+        "pattern_type": F.when(F.col("instrument") == "unknown", "audiveris_failure")
+        .otherwise("instrument_quirk"),
     })
     rule_text = F.format_string(
         V.RULE_TEXT, "difference_type", "instrument", percent_text(F.col("accept_rate")), n
@@ -63,8 +63,7 @@ def correction_patterns(diffs: DataFrame) -> DataFrame:
 
 
 def _pattern_id() -> Column:
-    key = F.concat_ws("|", F.coalesce("instrument", F.lit("")), "difference_type", "pattern_type")
-    return F.sha2(key, 256)
+    return hash_id("instrument", "difference_type", "pattern_type")
 
 
 def as_patterns(analysis: DataFrame, as_of: Column) -> DataFrame:
@@ -105,10 +104,16 @@ def update_knowledge_base(patterns: DataFrame, analysis: DataFrame, as_of: Colum
     """Merge a new analysis into the stored patterns.
 
     Known keys get new counts and keep their id, description, era and creation time; unknown keys
-    are inserted; stored patterns the analysis does not mention stay as they are. `change` says
-    which of insert, update or keep happened.
+    are inserted; stored patterns the analysis does not mention stay as they are. Columns that only
+    the stored patterns have are kept, and are null for new keys. `change` says which of insert, update
+    or keep happened.
     """
     new = as_patterns(analysis, as_of)
+    kinds = dict(new.dtypes)
+    if "accept_count_exact" not in patterns.columns:
+        patterns = patterns.withColumn("accept_count_exact", F.col("accept_count"))
+    patterns = patterns.select(*[F.col(c).cast(kinds[c]) if kinds.get(c) in ("timestamp", "timestamp_ntz") else F.col(c) for c in patterns.columns])
+    more = [c for c in patterns.columns if c not in new.columns]
     old, cur = patterns.alias("old"), new.alias("new")
     on = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in PATTERN_KEY]
     joined = old.join(cur, on, "full_outer")
@@ -121,7 +126,7 @@ def update_knowledge_base(patterns: DataFrame, analysis: DataFrame, as_of: Colum
         return F.when(has_old, stored).otherwise(fresh).alias(name)
 
     change = F.when(~has_old, "insert").when(has_new, "update").otherwise("keep")
-    return joined.select(*[pick(c) for c in new.columns], change.alias("change"))
+    return joined.select(*[pick(c) for c in new.columns], *[F.col(f"old.{c}").alias(c) for c in more], change.alias("change"))
 
 
 def top_patterns(patterns: DataFrame, n: int = V.TOP_PATTERNS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from correctionlab.functions import fixed_values as V
-from correctionlab.functions.expressions import media_type, strip
+from correctionlab.functions.expressions import hash_id, media_type, strip
 
 
 def pair_pages(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -91,7 +91,14 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 def log_confidence(logs: DataFrame) -> DataFrame:
-    """Recogniser confidence per log: a grade held to [0, 1], else a percentage, else 0.5."""
+    """Recogniser confidence per score: a grade held to [0, 1], else a percentage, else 0.5.
+
+    Of several logs of a score the latest by `logged_at` counts; without that column, or at equal
+    times, the last by its text.
+    """
+    logged_at = F.col("logged_at") if "logged_at" in logs.columns else F.lit(None).cast("timestamp")
+    logs = logs.groupBy("score_id").agg(F.max(F.struct(logged_at.alias("at"), F.col("log_text").alias("text"))).alias("m")).select(
+        "score_id", F.col("m.text").alias("log_text"))
     grade = F.regexp_extract("log_text", V.GRADE_PATTERN, 1)
     percent = F.regexp_extract("log_text", V.RECOGNITION_PATTERN, 1)
     value = (
@@ -103,15 +110,18 @@ def log_confidence(logs: DataFrame) -> DataFrame:
 
 
 def new_diffs(parsed: DataFrame, confidences: DataFrame | None, as_of: Column) -> DataFrame:
-    """Parsed answers as undecided diff rows; recogniser confidence from the score's log."""
-    df = parsed
+    """Parsed answers as undecided diff rows; recogniser confidence from the score's log.
+
+    Answers that say the same of a page are one diff, with the greatest confidence.
+    """
+    said = ("score_id", "measure_number", "instrument", "difference_type", "description")
+    df = parsed.groupBy(*said).agg(F.max("vision_confidence").alias("vision_confidence"))
     if confidences is not None:
         df = df.join(confidences.withColumnRenamed("confidence", "omr_confidence"), "score_id", "left")
     else:
         df = df.withColumn("omr_confidence", F.lit(None).cast("double"))
-    key = F.concat_ws("|", "score_id", "measure_number", "instrument", "difference_type", "description")
     return df.select(
-        F.sha2(key, 256).alias("id"),
+        hash_id(*said).alias("id"),
         "score_id", "measure_number", "instrument",
         F.lit(V.DEFAULT_TIME_SIGNATURE).alias("time_signature"),
         F.lit(V.DEFAULT_KEY_SIGNATURE).alias("key_signature"),

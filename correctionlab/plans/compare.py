@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from correctionlab.operators.reports import diff_context
 from correctionlab.operators.responses import (
     comparison_prompts, log_confidence, new_diffs, pair_pages, parse_responses,
 )
@@ -25,4 +25,6 @@ def diffs_from_answers(
     confidences = None if logs is None else log_confidence(logs)
     fresh = new_diffs(parse_responses(answers), confidences, as_of)
     candidates = broadcast_within(cut_lineage(rule_candidates(rules, patterns), "candidates"))
-    return auto_accept(diff_context(fresh, scores), candidates).select(*fresh.columns)
+    era = scores.select(F.col("id").alias("score_id"), "era")
+    # a score whose row isn't there yet has no era, which rules out nothing
+    return auto_accept(fresh.join(era, "score_id", "left"), candidates).select(*fresh.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from correctionlab.operators import documents as D
 from correctionlab.plans.sizing import cut_lineage
@@ -12,25 +13,53 @@ from correctionlab.sources import readers, writers
 def located_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
     """`locate_edits` with its steps written out: the edits, a small share of the diffs, are read
     from the diffs once, and the plans stay short."""
-    edits = cut_lineage(D.edits_of(diffs), "edits")
+    return place_written(cut_lineage(D.edits_of(diffs), "edits"), parts, measures)
+
+
+def place_written(edits: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
     placed = cut_lineage(D.place_edits(edits, parts), "placed")
     return cut_lineage(D.find_measures(placed, measures), "located")
 
 
+def corrected_documents(
+    documents: DataFrame, diffs: DataFrame, comment_label: str = "edit"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, located edits, pieces of the edited documents) of all documents (score_id, xml).
+
+    Only documents that some edit names are shredded, and only those in which an edit has a target are
+    laid out anew, partwise. All others come out as the one line they are: `status` tells edited,
+    unchanged and malformed (named by an edit, but not to be taken apart) ones.
+    """
+    edits = cut_lineage(D.edits_of(diffs), "edits")
+    named = edits.select("score_id").distinct()
+    pieces = cut_lineage(readers.shred(documents.join(named, "score_id", "left_semi")), "pieces", "kind")
+    located = place_written(edits, readers.parts_of(pieces), readers.measures_of(pieces))
+    changed = cut_lineage(located.where("measure_seq is not null").select("score_id").distinct(), "changed")
+
+    def of(table: DataFrame) -> DataFrame:
+        return table.join(changed, "score_id", "left_semi")
+
+    corrected = D.apply_edits(of(readers.measures_of(pieces)), located, comment_label)
+    lines = D.document_lines(of(readers.heads_of(pieces)), of(readers.parts_of(pieces)), corrected, of(readers.groups_of(pieces)))
+    broken = readers.errors_of(pieces).select("score_id", F.lit("malformed").alias("status"))
+    whole = D.verbatim_lines(documents.join(changed, "score_id", "left_anti")).join(broken, "score_id", "left")
+    every = lines.withColumn("status", F.lit("edited")).unionByName(whole.withColumn("status", F.coalesce("status", F.lit("unchanged"))).select(*lines.columns, "status"))
+    return every, located, pieces
+
+
 def export_scores(
     documents: DataFrame, diffs: DataFrame, path: str, with_parts: bool = False, comment_label: str = "edit"
 ) -> DataFrame:
-    """Shred the documents, apply the edits, write corrected documents below `path`.
+    """Write corrected documents below `path`/scores, and with `with_parts` part documents below `path`/parts.
 
-    Returns the edits that had no target measure. The shredded pieces are written out once, because
-    parts, measures and heads are all read from them.
+    Returns the edits that had no target measure. Part documents are made of every document that can be
+    taken apart, so they need all pieces.
     """
-    pieces = cut_lineage(readers.shred(documents), "pieces", "kind")
-    heads, parts, measures = readers.heads_of(pieces), readers.parts_of(pieces), readers.measures_of(pieces)
-    located = located_edits(diffs, parts, measures)
-    corrected = D.apply_edits(measures, located, comment_label)
+    lines, located, pieces = corrected_documents(documents, diffs, comment_label)
+    writers.write_corrected(cut_lineage(lines, "lines"), f"{path}/scores")
     if with_parts:
-        corrected = cut_lineage(corrected, "corrected")
-        writers.write_parts(D.extract_parts(heads, parts, corrected), f"{path}/parts")
-    writers.write_corrected(D.document_lines(heads, parts, corrected), f"{path}/scores")
+        pieces = cut_lineage(readers.shred(documents), "pieces", "kind")
+        corrected = D.apply_edits(readers.measures_of(pieces), located, comment_label)
+        parts = D.extract_parts(readers.heads_of(pieces), readers.parts_of(pieces), corrected)
+        writers.write_parts(cut_lineage(parts, "part-lines"), f"{path}/parts")
     return located.where("measure_seq is null")

@@ -37,7 +37,12 @@ def _pct(rate: str) -> str:
     return f"printf('%.0f%%', ({rate}) * 100)"
 
 
-_PATTERN_ID = "sha256(concat(coalesce(instrument, ''), '|', difference_type, '|', pattern_type))"
+def _hash_id(*columns: str) -> str:
+    parts = ", ".join(f"case when {c} is null then 'n' else concat(length({c}::varchar), ':', {c}) end" for c in columns)
+    return f"sha256(concat({parts}))"
+
+
+_PATTERN_ID = _hash_id("instrument", "difference_type", "pattern_type")
 
 
 def _analysis(source: str) -> str:
@@ -190,7 +195,7 @@ CTES: dict[str, str] = {
         select case when l_quantity > 45 then l_orderkey + 1 else l_orderkey end::varchar as score_id,
           concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-',
             round(100 * l_extendedprice)::bigint) as diff_id,
-          case when l_returnflag = 'R' then 'accept' else 'reject' end as decision
+          case when l_quantity < 4 then 'edit' when l_returnflag = 'R' then 'accept' else 'reject' end as decision
         from lineitem, range(2) r(k)
         where l_returnflag <> 'N' and (k = 0 or l_linestatus = 'F')
     """,
@@ -227,11 +232,11 @@ CTES: dict[str, str] = {
     """,
     "logs": """
         select event_id::varchar as score_id,
-          case event_id % 3
+          case when event_id % 7 = 0 then concat('INFO again', chr(10), 'grade: 0.25') else case event_id % 3
             when 0 then concat('INFO start', chr(10), 'GRADE: ', event_id % 130 // 100, '.',
               lpad((event_id % 130 % 100)::varchar, 2, '0'), ' of book', chr(10), 'recognition: 10%')
             when 1 then concat('INFO start', chr(10), 'Recognition  ', event_id % 120, '% done')
-            else concat('INFO ', event_type) end as log_text
+            else concat('INFO ', event_type) end end as log_text
         from events
     """,
     "confidences": r"""
@@ -492,12 +497,12 @@ BODIES: dict[str, str] = {
     "bulk_decide": f"""
         select d.id, coalesce(r.decision, d.human_decision) as human_decision, d.human_edit_value,
           case when r.decision is null then d.human_reviewed_at else {AS_OF} end as human_reviewed_at
-        from diffs d left join (select distinct * from bulk_requests) r
+        from diffs d left join (select distinct * from bulk_requests where decision <> 'edit') r
           on r.diff_id = d.id and r.score_id = d.score_id
     """,
     "bulk_updated_counts": """
         select r.score_id, count(*) as updated from bulk_requests r join diffs d
-          on r.diff_id = d.id and r.score_id = d.score_id group by r.score_id
+          on r.diff_id = d.id and r.score_id = d.score_id where r.decision in ('accept', 'reject') group by r.score_id
     """,
     "cascade_delete": """
         select 'scores' as table_name, id from scores where status <> 'processing'
@@ -537,11 +542,12 @@ BODIES: dict[str, str] = {
     "parse_responses": "select * from answers",
     "log_confidence": "select * from confidences",
     "new_diffs": f"""
-        select sha256(concat_ws('|', score_id, measure_number, instrument, difference_type, description)) as id,
+        select {_hash_id("score_id", "measure_number", "instrument", "difference_type", "description")} as id,
           score_id, measure_number, instrument, '4/4' as time_signature, 'C major' as key_signature,
           difference_type, description, '' as pdf_snippet_path, '' as musicxml_snippet_path,
           coalesce(confidence, 0.5) as omr_confidence, vision_confidence, false as auto_accepted, {AS_OF} as created_at
-        from answers left join confidences using (score_id)
+        from (select score_id, measure_number, instrument, difference_type, description, max(vision_confidence) as vision_confidence
+          from answers group by all) left join confidences using (score_id)
     """,
     "access_check": """
         select r.*, r.user_id in (select user_id from admins) as is_admin,
@@ -590,13 +596,12 @@ BODIES: dict[str, str] = {
     "locate_edits": "select id, score_id, part_id, matched_by_name, measure_seq from located",
     "apply_edits": "select score_id, part_id, measure_seq, measure_number, xml, edited from corrected",
     "shred_parts": """
-        select score_id, part_seq, part_id, part_name, part_seq as body_seq,
-          concat('<score-part id="', part_id, '"><part-name>', part_name, '</part-name></score-part>') as part_xml
-        from parts where score_id::bigint % 11 <> 0
+        select score_id, list_seq as part_seq, part_id, part_name, part_seq as body_seq, entry as part_xml
+        from listed
     """,
     "shred_measures": """
-        select score_id, part_id, part_seq, part_name, part_seq as body_seq, measure_seq, measure_number,
-          xml
+        select score_id, part_id, (case when score_id::bigint % 6 = 0 then 2 * part_seq else part_seq end)::int as part_seq,
+          part_name, part_seq as body_seq, measure_seq, measure_number, xml
         from measures where score_id::bigint % 11 <> 0
     """,
     "malformed_documents": "select o_orderkey::varchar as score_id from orders where o_orderkey % 11 = 0",
@@ -632,25 +637,56 @@ CTES["heads"] = f"""
     select o_orderkey::varchar as score_id, {_HEAD} as head, concat('</', root, '>') as tail
     from (select *, 'score-partwise' as root from whole_documents)
 """
-CTES["listed"] = """
+# entries of the part list of all documents; each sixth one has a group after each part
+CTES["entries"] = """
     select score_id, part_seq, part_id, part_name,
-      concat('<score-part id="', part_id, '"><part-name>', part_name, '</part-name></score-part>') as entry
-    from parts where score_id::bigint % 11 <> 0
+      (case when score_id::bigint % 6 = 0 then 2 * part_seq else part_seq end)::int as list_seq,
+      concat('<score-part id="', part_id, '"><part-name>', case when score_id::bigint % 9 = 0
+        then concat('<![CDATA[', part_name, ']]>') else part_name end, '</part-name></score-part>') as entry,
+      case when score_id::bigint % 6 = 0 then concat('<part-group number="1" type="',
+        case when part_seq = 1 then 'stop' else 'start' end, '"/>') else '' end as grp
+    from parts
 """
+CTES["listed"] = """
+    select *, coalesce(string_agg(grp, '') over (w rows between unbounded preceding and 1 preceding), '') as groups_before,
+      string_agg(grp, '') over (w rows between current row and unbounded following) as groups_after
+    from entries where score_id::bigint % 11 <> 0 window w as (partition by score_id order by part_seq)
+"""
+CTES["texts"] = f"""
+    select o_orderkey::varchar as score_id, case when o_orderkey % 11 = 0 then left(xml, length(xml) - 9) else xml end as xml
+    from (select o_orderkey, concat(replace({_HEAD}, '?><', concat('?>', chr(10), '<')), '<part-list>', list, '</part-list>',
+        case when o_orderkey % 5 = 0 then timed else parted end, '</', root, '>') as xml
+      from (select *, case when o_orderkey % 5 = 0 then 'score-timewise' else 'score-partwise' end as root from orders)
+      join (select score_id::bigint as o_orderkey, string_agg(concat(entry, grp), '' order by part_seq) as list from entries group by all)
+        using (o_orderkey),
+      (select string_agg(concat('<part id="P', k, '">', of, '</part>'), '' order by k) as parted from range(1, 4) r(k),
+        (select string_agg(concat('<measure number="', n, '"><note/></measure>'), '' order by n) as of from range(1, 7) r(n))),
+      (select string_agg(concat('<measure number="', n, '">', of, '</measure>'), '' order by n) as timed from range(1, 7) r(n),
+        (select string_agg(concat('<part id="P', k, '"><note/></part>'), '' order by k) as of from range(1, 4) r(k))))
+"""
+CTES["changed"] = "select distinct score_id from changes where score_id::bigint % 11 <> 0"
+CTES["edited_heads"] = "select * from heads where score_id in (select score_id from changed)"
+CTES["edited_list"] = "select * from listed where score_id in (select score_id from changed)"
 BODIES["corrected_lines"] = """
-    select score_id, 0 as section, 0 as seq, head as line from heads
-    union all select score_id, 1, 0, '<part-list>' from heads
-    union all select score_id, 2, part_seq, entry from listed
-    union all select score_id, 3, 0, '</part-list>' from heads
-    union all select score_id, part_seq + 4, -1, concat('<part id="', part_id, '">') from listed
-    union all select score_id, part_seq + 4, measure_seq, xml from corrected
-      where score_id::bigint % 11 <> 0
-    union all select score_id, part_seq + 4, 2147483647, '</part>' from listed
-    union all select score_id, 2147483647, 0, tail from heads
+    select *, 'edited' as status from (
+      select score_id, 0 as section, 0 as seq, head as line from edited_heads
+      union all select score_id, 1, 0, '<part-list>' from edited_heads
+      union all select score_id, 2, list_seq, entry from edited_list
+      union all select score_id, 2, list_seq + 1, grp from edited_list where grp <> ''
+      union all select score_id, 3, 0, '</part-list>' from edited_heads
+      union all select score_id, part_seq + 4, -1, concat('<part id="', part_id, '">') from edited_list
+      union all select score_id, part_seq + 4, measure_seq, xml from corrected
+        where score_id in (select score_id from changed)
+      union all select score_id, part_seq + 4, 2147483647, '</part>' from edited_list
+      union all select score_id, 2147483647, 0, tail from edited_heads)
+    union all
+    select score_id, 0, 0, xml, case when score_id::bigint % 11 = 0 and score_id in (select score_id from edits) then 'malformed'
+      else 'unchanged' end
+    from texts where score_id not in (select score_id from changed)
 """
 BODIES["part_document_lines"] = """
     select score_id, part_id, part_name, concat(part_name, '_', part_id, '.xml') as file_name, section, seq, line from (
-      select score_id, part_id, 0 as section, 0 as seq, concat(head, '<part-list>', entry, '</part-list>') as line
+      select score_id, part_id, 0 as section, 0 as seq, concat(head, '<part-list>', groups_before, entry, groups_after, '</part-list>') as line
         from listed join heads using (score_id)
       union all select score_id, part_id, 1, -1, concat('<part id="', part_id, '">') from listed
       union all select score_id, part_id, 1, measure_seq, xml from measures

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
-from correctionlab.plans.export import located_edits
+from correctionlab.plans.export import corrected_documents, located_edits
 from correctionlab.plans.sizing import broadcast_within, cut_lineage, scratch_path
 from correctionlab.sources import fixtures as fx
 from correctionlab.sources import readers, writers
@@ -402,7 +402,7 @@ def _shredded(spark, sf_dir):
 
 @query
 def shred_parts(spark, sf_dir):
-    return readers.parts_of(_shredded(spark, sf_dir))
+    return readers.parts_of(_shredded(spark, sf_dir)).drop("groups_before", "groups_after")
 
 
 @query
@@ -417,12 +417,8 @@ def malformed_documents(spark, sf_dir):
 
 @query
 def corrected_lines(spark, sf_dir):
-    """The whole export: shred, locate, apply, and lay out as document lines."""
-    pieces = cut_lineage(_shredded(spark, sf_dir), "pieces", "kind")
-    parts, measures = readers.parts_of(pieces), readers.measures_of(pieces)
-    located = located_edits(fx.diffs(spark, sf_dir), parts, measures)
-    corrected = documents.apply_edits(measures, located)
-    return documents.document_lines(readers.heads_of(pieces), parts, corrected)
+    """The whole export: every document, edited or as it is, as lines."""
+    return corrected_documents(fx.documents(spark, sf_dir), fx.diffs(spark, sf_dir))[0]
 
 
 @query
@@ -497,8 +493,12 @@ def stream_settlement(spark, sf_dir):
     root = scratch_path(spark, "stream-settlement")
     writers.write_snapshot(fx.payments(spark, sf_dir), f"{root}/state/payments", 0)
     writers.write_snapshot(fx.score_access(spark, sf_dir), f"{root}/state/score_access", 0)
-    bodies = fx.webhook_payloads(fx.table_stream(spark, sf_dir, "events"))
-    access_streams.start_settlement(bodies, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    # three files in an order of their own, so that completions come weeks after later ones, and repeats in other batches
+    events = fx.table(spark, sf_dir, "events")
+    for k, part in enumerate((events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), events.where("event_id % 5 = 0"))):
+        part.write.parquet(f"{root}/in/{k}")
+    arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    access_streams.start_settlement(fx.webhook_payloads(arrived), f"{root}/state", f"{root}/checkpoint").awaitTermination()
     paid = writers.read_snapshot(spark, f"{root}/state/payments")
     granted = writers.read_snapshot(spark, f"{root}/state/score_access")
     return paid.select(

@@ -31,7 +31,7 @@ PATTERNS = _struct(
     {"id": _S, "pattern_type": _S, "difference_type": _S, "pattern_description": _S,
      "occurrence_count": _L, "accept_count": _L, "reject_count": _L, "edit_count": _L,
      "confidence_threshold": _D, "created_at": _TS, "updated_at": _TS},
-    {"instrument": _S, "era": _S, "example_ids": T.ArrayType(_S)},
+    {"instrument": _S, "era": _S, "example_ids": T.ArrayType(_S), "accept_count_exact": _L},
 )
 RULES = _struct(
     {"id": _S, "pattern_id": _S, "rule_description": _S, "difference_type": _S,

@@ -173,7 +173,8 @@ _HEAD = (
     " case when o_orderkey % 4 = 0 then '<creator type=\"Arranger\">A</creator><creator"
     " type=\"arranger\">B</creator>' else '' end, '</identification>',"
     " '<part-list>', array_join(transform(sequence(0, 2), k -> concat('<score-part id=\"P', k + 1,"
-    f" '\"><part-name>', {_NAME}, '</part-name></score-part>')), ''), '</part-list>')"
+    f" '\"><part-name>', if(o_orderkey % 9 = 0, concat('<![CDATA[', {_NAME}, ']]>'), {_NAME}), '</part-name></score-part>',"
+    " if(o_orderkey % 6 = 0, concat('<part-group number=\"1\" type=\"', if(k = 1, 'stop', 'start'), '\"/>'), ''))), ''), '</part-list>')"
 )
 _PARTWISE = (
     "array_join(transform(sequence(0, 2), k -> concat('<part id=\"P', k + 1, '\">',"
@@ -218,7 +219,7 @@ def decision_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
 
 def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines ask for accept, the others for reject; shipped ones ask twice, and the
-    ones with quantity over 45 name the wrong score."""
+    ones with quantity over 45 name the wrong score. Quantities below 4 ask for what bulk refuses."""
     line = table(spark, sf_dir, "lineitem")
     ids = F.expr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
@@ -228,7 +229,7 @@ def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.expr("if(l_linestatus = 'F', array(0, 1), array(0))")).alias("repeat"),
         F.expr("cast(if(l_quantity > 45, l_orderkey + 1, l_orderkey) as string)").alias("score_id"),
         ids.alias("diff_id"),
-        F.expr("if(l_returnflag = 'R', 'accept', 'reject')").alias("decision"),
+        F.expr("case when l_quantity < 4 then 'edit' when l_returnflag = 'R' then 'accept' else 'reject' end").alias("decision"),
     ).drop("repeat")
 
 
@@ -268,9 +269,14 @@ def recogniser_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
           else concat('INFO ', event_type)
         end
     """
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("score_id"), F.expr(log).alias("log_text")
+    logs = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("score_id"), F.expr(log).alias("log_text"),
+        F.col("ts").alias("logged_at"), (F.col("event_id") % 7 == 0).alias("again"),
     )
+    # a second run, a day later, of each seventh score
+    more = logs.where("again").select(
+        "score_id", F.lit("INFO again\ngrade: 0.25").alias("log_text"), (F.col("logged_at") + F.expr("interval 1 day")).alias("logged_at"))
+    return logs.drop("again").unionByName(more)
 
 
 def page_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -63,9 +63,11 @@ def describe_files(files: DataFrame, on_unknown: str = "keep") -> DataFrame:
     """Add original_filename, file_type and size_bytes; `on_unknown` is keep or raise."""
     name = F.substring_index("path", "/", -1)
     kind = file_type(F.col("content"), name)
+    failed = F.col("content").isNull() | (F.col("error").isNotNull() if "error" in files.columns else F.lit(False))
+    kind = F.when(failed, "unknown").otherwise(kind)
     if on_unknown == "raise":
         message = F.concat(
-            F.lit("Cannot determine file type for '"), name, F.lit("'. Expected PDF or MusicXML.")
+            F.lit("no known kind of score file: "), name
         )
         kind = F.when(kind == "unknown", F.raise_error(message).cast("string")).otherwise(kind)
     return files.select(
@@ -104,10 +106,10 @@ def _unpack(content: bytes) -> tuple[bytes | None, str | None]:
                            if n.lower().endswith(".xml") and not n.startswith("META-INF"))
                 wanted = next(entries, None)
             if wanted is None:
-                return None, "Could not find MusicXML content in .mxl archive"
+                return None, "no score document among the entries of the archive"
             return archive.read(wanted), None
     except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as exc:
-        return None, f"File is not a valid ZIP/MXL archive: {exc}"
+        return None, f"unreadable archive: {exc}"
 
 
 def unpack_archives(files: DataFrame) -> DataFrame:
@@ -130,11 +132,12 @@ def unpack_archives(files: DataFrame) -> DataFrame:
 
 # --- score documents ------------------------------------------------------------
 
-# kind is head, part, measure or error; xml holds a measure, the list entry of a part, or the head
+# kind is head, part, group, measure or error; xml holds a measure, an entry of the part list, or the head. Entries of
+# the part list, parts and groups alike, are numbered in one sequence; a part has the groups before and after it too.
 PIECE_SCHEMA = (
     "score_id string, kind string, part_seq int, part_id string, part_name string, body_seq int,"
     " measure_seq int, measure_number string, xml string, root_open string, root_close string,"
-    " layout string, part_groups_xml string"
+    " layout string, groups_before string, groups_after string"
 )
 PIECE_COLUMNS = [column.split()[0] for column in PIECE_SCHEMA.split(", ")]
 PIECE_ARROW = pa.schema([
@@ -207,12 +210,27 @@ def _structure(xml: str, start: int, end: int) -> list[_Element]:
     return top.children
 
 
+def _error_row(score_id: str, error: str) -> list[tuple]:
+    return [(score_id, "error", None, None, None, None, None, None, error, None, None, None, None, None)]
+
+
+_MARKED = re.compile(r"<!\[CDATA\[(?P<raw>.*?)\]\]>|<!--.*?-->|<\?.*?\?>", re.DOTALL)
+
+
+def _text(inner: str) -> str:
+    """The text of an element without children: marked sections as they are, comments and instructions left out."""
+    return html.unescape(_MARKED.sub(lambda m: html.escape(m["raw"] or "", quote=False), inner)).strip()
+
+
 def _pieces(score_id: str, xml: str) -> list[tuple]:
-    """Rows of one document: its head, its parts and its measures, cut out of the text as they are."""
+    """Rows of one document: its head, its parts and its measures, cut out of the text as they are.
+
+    A document that isn't well-formed, or that lists or has a part twice, is one error row.
+    """
     xml = xml.removeprefix("\ufeff")
     error = _well_formed(xml)
     if error is not None:
-        return [(score_id, "error", None, None, None, None, None, None, error, None, None, None, None)]
+        return _error_row(score_id, error)
     root = _ROOT.match(xml)
     prefix = root["name"].rpartition(":")[0]
     prefix = prefix + ":" if prefix else ""
@@ -221,7 +239,8 @@ def _pieces(score_id: str, xml: str) -> list[tuple]:
     stop = root.end() if root["empty"] else xml.rindex("</")
 
     listed: dict[str, tuple[str | None, str]] = {}
-    groups: list[str] = []
+    # entries of the part list in order: (part id, text), with None for a group
+    entries: list[tuple[str | None, str]] = []
     # part id -> its measures as (number, text), in the order the parts first appear
     body: dict[str, list[tuple[str | None, str]]] = {}
     timed: list[tuple[str, dict[str, list[str]]]] = []
@@ -236,14 +255,20 @@ def _pieces(score_id: str, xml: str) -> list[tuple]:
                 text = xml[entry.begin:entry.over]
                 if entry.name == "score-part":
                     names = (xml[n.inner:n.inner_end] for n in entry.children if n.name == "part-name")
-                    label = html.unescape(next(names, "")).strip() or None
-                    listed.setdefault(_attribute(entry.attrs, "id", ""), (label, text))
+                    part_id = _attribute(entry.attrs, "id", "")
+                    if part_id in listed:
+                        return _error_row(score_id, f"part {part_id} is listed twice")
+                    listed[part_id] = (_text(next(names, "")) or None, text)
+                    entries.append((part_id, text))
                 elif entry.name == "part-group":
-                    groups.append(text)
+                    entries.append((None, text))
         elif el.name == "part" and not timewise:
             found = [(_attribute(m.attrs, "number"), xml[m.begin:m.over])
                      for m in el.children if m.name == "measure"]
-            body.setdefault(_attribute(el.attrs, "id", ""), found)
+            part_id = _attribute(el.attrs, "id", "")
+            if part_id in body:
+                return _error_row(score_id, f"part {part_id} occurs twice")
+            body[part_id] = found
         elif el.name == "measure" and timewise:
             inside: dict[str, list[str]] = {}
             for p in el.children:
@@ -260,24 +285,34 @@ def _pieces(score_id: str, xml: str) -> list[tuple]:
 
     rows = [(
         score_id, "head", None, None, prefix, None, None, None, "".join(head).strip(),
-        f"<{tag}{root['attrs']}>", f"</{tag}>", "timewise" if timewise else "partwise",
-        "" if timewise else "".join(groups),
+        f"<{tag}{root['attrs']}>", f"</{tag}>", "timewise" if timewise else "partwise", None, None,
     )]
     order = {part_id: i for i, part_id in enumerate(body)}
-    sequence = {part_id: i for i, part_id in enumerate(listed)}
+    sequence = {part_id: i for i, (part_id, _) in enumerate(entries) if part_id is not None}
+    rows.extend(
+        (score_id, "group", i, None, None, None, None, None, text, None, None, None, None, None)
+        for i, (part_id, text) in enumerate(entries) if part_id is None
+    )
     for part_id in dict.fromkeys([*listed, *body]):
         label, entry = listed.get(part_id, (None, None))
         rows.append((score_id, "part", sequence.get(part_id), part_id, label, order.get(part_id),
-                     None, None, entry, None, None, None, None))
+                     None, None, entry, None, None, None, *_groups_beside(entries, sequence.get(part_id))))
     for part_id, measures in body.items():
         seq, body_seq, label = sequence.get(part_id), order[part_id], listed.get(part_id, (None,))[0]
         rows.extend(
-            (score_id, "measure", seq, part_id, label, body_seq, i, number, text, None, None, None, None)
+            (score_id, "measure", seq, part_id, label, body_seq, i, number, text, None, None, None, None, None)
             for i, (number, text) in enumerate(measures)
         )
     return rows
 
 
+def _groups_beside(entries: list[tuple[str | None, str]], at: int | None) -> tuple[str, str]:
+    """Texts of the groups before and after an entry of the part list."""
+    if at is None:
+        return "", ""
+    return tuple("".join(text for part_id, text in side if part_id is None) for side in (entries[:at], entries[at:]))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -309,13 +344,18 @@ def shred(documents: DataFrame) -> DataFrame:
 def heads_of(pieces: DataFrame) -> DataFrame:
     return pieces.where("kind = 'head'").select(
         "score_id", "layout", "root_open", "root_close", F.col("xml").alias("head_xml"),
-        "part_groups_xml", F.col("part_name").alias("prefix"),
+        F.col("part_name").alias("prefix"),
     )
 
 
+def groups_of(pieces: DataFrame) -> DataFrame:
+    return pieces.where("kind = 'group'").select("score_id", "part_seq", F.col("xml").alias("group_xml"))
+
+
 def parts_of(pieces: DataFrame) -> DataFrame:
     return pieces.where("kind = 'part'").select(
-        "score_id", "part_seq", "part_id", "part_name", "body_seq", F.col("xml").alias("part_xml")
+        "score_id", "part_seq", "part_id", "part_name", "body_seq", F.col("xml").alias("part_xml"),
+        "groups_before", "groups_after",
     )
 
 

@@ -12,18 +12,13 @@ from correctionlab.operators.access import completions, grant_access, over_limit
 from correctionlab.sources.writers import read_snapshot, write_snapshot
 
 
-def unique_completions(bodies: DataFrame, delay: str = "3 days") -> DataFrame:
-    """Completed checkouts once per session, however often the sender repeats them within `delay`."""
-    timed = completions(bodies).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.dropDuplicatesWithinWatermark(["session_id"])
-
-
 def settle_batch(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that adds the batch's grants and completes its payments below `root`.
 
     The snapshots `payments` and `score_access` must have a version before the first batch; batch b
-    makes version b + 1. Repeats that come after the watermark's delay are harmless: grants are
-    unique, and a completed payment is completed again.
+    makes version b + 1. No completion is too late, so there is no watermark and no state: repeats in
+    a batch are reduced to one per session there, and repeats of earlier batches change nothing but the
+    completion time, since grants are unique.
     """
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark, version = batch.sparkSession, batch_id + 1
@@ -40,10 +35,10 @@ def settle_batch(root: str) -> Callable[[DataFrame, int], None]:
 
 
 def start_settlement(
-    bodies: DataFrame, root: str, checkpoint: str, delay: str = "3 days", **trigger: object
+    bodies: DataFrame, root: str, checkpoint: str, **trigger: object
 ) -> StreamingQuery:
     return (
-        unique_completions(bodies, delay).writeStream.foreachBatch(settle_batch(root))
+        completions(bodies).writeStream.foreachBatch(settle_batch(root))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 

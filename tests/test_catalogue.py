@@ -3,25 +3,25 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from correctionlab.functions import fixed_values as V
 from correctionlab.functions import html as H
 from correctionlab.functions.expressions import era_column, url_file_name
 from correctionlab.operators import catalogue as C
 
 
-ERAS = [
-    ("", 1700, "baroque"), ("", 1749, "baroque"), ("", 1750, "classical"), ("", 1790, "classical"),
-    ("", 1820, "romantic"), ("", 1870, "romantic"), ("", 1910, "modern"), ("", 1950, "modern"),
-    ("Johann Sebastian Bach", None, "baroque"), ("Wolfgang Amadeus Mozart", None, "classical"),
-    ("Ludwig van Beethoven", None, "classical"), ("Frédéric Chopin", None, "romantic"),
-    ("Johannes Brahms", None, "romantic"), ("Unknown Composer", None, "modern"),
-    ("Carl Philipp Emanuel Bach", 1950, "modern"), ("Jacques Offenbach", None, "baroque"),
-    ("Camille Saint-Saens", None, "romantic"), ("Dvořák", None, "modern"),
-]
+def era_cases():
+    """Each bound from both sides, and each listed name inside a longer one in capitals."""
+    for era, below in V.ERA_YEAR_BOUNDS:
+        yield "", below - 1, era
+    yield from (("", below, era) for (_, below), era in zip(V.ERA_YEAR_BOUNDS, V.ERAS[1:]))
+    for era, names in V.ERA_COMPOSERS:
+        yield from ((f"A. {name.upper()} junior", None, era) for name in names)
+    yield from [("Ina Velde", None, V.DEFAULT_ERA), (V.ERA_COMPOSERS[0][1][0], 2001, V.DEFAULT_ERA), (None, None, V.DEFAULT_ERA)]
 
 
 def test_era(spark):
-    df = spark.createDataFrame(ERAS, "c string, y int, want string")
-    assert df.where(era_column(F.col("c"), F.col("y")) != F.col("want")).collect() == []
+    df = spark.createDataFrame(list(era_cases()), "c string, y int, want string")
+    assert df.where(~era_column(F.col("c"), F.col("y")).eqNullSafe(F.col("want"))).collect() == []
 
 
 def page(spark, html, url="https://imslp.org/wiki/Score"):
@@ -39,13 +39,13 @@ def wiki(heading, content):
 
 
 def test_composer_from_heading(spark):
-    assert metadata(spark, wiki("Symphony No. 5 (Beethoven, Ludwig van)", "<p>A famous symphony.</p>")) == (
-        "Beethoven, Ludwig van", "")
+    assert metadata(spark, wiki("Harbour Pieces, 2nd set (Velde, Ina)", "<p>Six short ones.</p>")) == (
+        "Velde, Ina", "")
 
 
 def test_description_is_first_long_paragraph(spark):
-    text = "This is a detailed description of the work spanning multiple words."
-    assert metadata(spark, wiki("Some Work", f"<p>Stub</p><p>  {text[:20]}<b>{text[20:]}</b></p><p>{text}{text}</p>"))[1] == (
+    text = "Written for the opening of the new quay, and played there by two bands."
+    assert metadata(spark, wiki("Quay Music", f"<p>Stub</p><p>  {text[:20]}<b>{text[20:]}</b></p><p>{text}{text}</p>"))[1] == (
         text[:20].strip() + text[20:].strip())
 
 
@@ -66,17 +66,17 @@ def test_unclosed_paragraphs_end_at_the_next_block(spark):
 
 
 def test_infobox_wins(spark):
-    table = "<table><tr><th>Key</th><td>C</td></tr><tr><th> <b>Composer</b> </th>\n<td>Ludwig <i>van</i> Beethoven</td></tr></table>"
-    assert metadata(spark, table + wiki("Symphony (Someone)", ""))[0] == "LudwigvanBeethoven"
-    assert metadata(spark, "<tr><th>Composer<td>x</td></tr>" + wiki("S (Someone)", ""))[0] == "Someone"
-    plain = "<table><tr><th>Composer</th><td>Ludwig van Beethoven</td></tr></table>"
-    assert metadata(spark, plain)[0] == "Ludwig van Beethoven"
+    table = "<table><tr><th>Parts</th><td>6</td></tr><tr><th> <b>Composer</b> </th>\n<td>Ina <i>M.</i> Velde</td></tr></table>"
+    assert metadata(spark, table + wiki("Quay (Reuter)", ""))[0] == "InaM.Velde"
+    assert metadata(spark, "<tr><th>Composer<td>x</td></tr>" + wiki("Q (Reuter)", ""))[0] == "Reuter"
+    plain = "<table><tr><th>Composer</th><td>Ina Velde</td></tr></table>"
+    assert metadata(spark, plain)[0] == "Ina Velde"
 
 
 def test_category_is_the_last_resort(spark):
-    links = ('<a href="/wiki/Category:Romantic">Romantic era</a><a href="/wiki/Other">X</a>'
-             '<a class="c" href="/wiki/Category:Bach">  Bach &amp; Sons </a>')
-    assert metadata(spark, wiki("No parentheses", "") + links)[0] == "Bach & Sons"
+    links = ('<a href="/wiki/Category:Orchestra">For orchestra</a><a href="/wiki/Help">?</a>'
+             '<a class="c" href="/wiki/Category:Velde">  Velde &amp; Reuter </a>')
+    assert metadata(spark, wiki("No parentheses", "") + links)[0] == "Velde & Reuter"
 
 
 def test_nothing_found(spark):
@@ -87,17 +87,23 @@ def links(spark, html, url="https://imslp.org/wiki/Score"):
     return [r.link for r in C.page_links(page(spark, html, url)).orderBy("position").collect()]
 
 
-def test_direct_gateway_and_row_links_in_strategy_order(spark):
-    html = """<!-- <a href="/hidden.pdf">no</a> --><a href="/files/score.PDF">1</a>
-      <a title='x > y' href='/wiki/Special:IMSLPDisclaimerAccept/12345'>2</a>
-      <table><tr><td><a href="/no">n</a></td></tr><tr class="x we_have_file"><td>
-      <a href="/wiki/Special:IMSLPDisclaimerAccept/99999">3</a><a href="b.pdf">4</a></td></tr></table>
-      <a HREF=//images/imslp.org/a.pdf?x=1&amp;y=2>5</a>"""
-    assert links(spark, html) == [
-        "https://imslp.org/wiki/Special:IMSLPDisclaimerAccept/99999", "https://imslp.org/wiki/b.pdf",
-        "https://imslp.org/wiki/Special:IMSLPDisclaimerAccept/12345", "https://imslp.org/files/score.PDF",
-        "https://images/imslp.org/a.pdf?x=1&y=2",
-    ]
+def test_rows_come_first_then_gateways_files_and_images(spark):
+    gateway = f"/wiki/Special:{V.LINK_GATEWAY}/"
+    html = f"""<!-- <a href="/quay0.pdf">no</a> --><a href="/quay/set2.PDF">all</a>
+      <a title='a > b' href='{gateway}701'>first</a><a HREF=//images/imslp.org/quay.pdf?n=4&amp;s=1>scan</a>
+      <table><tr><td><a href="/help">h</a></td></tr><tr class="odd we_have_file"><td>
+      <a href="parts.pdf">p</a><a href="{gateway}702">second</a></td></tr></table>"""
+    site = "https://imslp.org"
+    assert links(spark, html) == [f"{site}/wiki/parts.pdf", f"{site}{gateway}702", f"{site}{gateway}701", f"{site}/quay/set2.PDF",
+                                  "https://images/imslp.org/quay.pdf?n=4&s=1"]
+
+
+@pytest.mark.parametrize("tag", ["<a ", "<p ", "<th>", "<td ", "<h1 class='firstHeading' ", "<a href='", "<tr class=\"we_have_file\" ", "<!--", "<th><b>x</b>"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_broken_tags_of_any_length(spark, tag, end):
+    html = tag + "x y " * 250_000 + end
+    assert C.page_links(page(spark, html)).count() == 0
+    assert len(metadata(spark, html)) == 2
 
 
 def test_links_are_distinct_after_resolving(spark):

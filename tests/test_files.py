@@ -37,7 +37,7 @@ def test_file_type(spark):
 
 
 def test_unknown_type_can_raise(spark):
-    with pytest.raises(Exception, match="Cannot determine file type for 'file.docx'"):
+    with pytest.raises(Exception, match="no known kind of score file: file.docx"):
         readers.describe_files(files(spark, ("a/file.docx", b"random")), on_unknown="raise").collect()
 
 
@@ -55,8 +55,8 @@ def test_unpacking(spark):
     got = {r.path: (r.content and bytes(r.content), r.error) for r in readers.unpack_archives(files(spark, *rows)).collect()}
     for name in ("named.mxl", "magic.bin", "missing.mxl", "broken-list.mxl", "plain.xml"):
         assert got[name] == (XML, None), name
-    assert got["none.mxl"][0] is None and "Could not find" in got["none.mxl"][1]
-    assert got["bad.mxl"][0] is None and "not a valid ZIP" in got["bad.mxl"][1]
+    assert got["none.mxl"][0] is None and "no score document" in got["none.mxl"][1]
+    assert got["bad.mxl"][0] is None and "unreadable archive" in got["bad.mxl"][1]
 
 
 def test_ingest(spark, tmp_path):
@@ -64,3 +64,10 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4")
     got = {r.original_filename: (r.file_type, r.size_bytes, r.error) for r in readers.ingest_files(spark, f"{tmp_path}/*").collect()}
     assert got == {"a.mxl": ("musicxml", len(XML), None), "b.pdf": ("pdf", 8, None)}
+
+
+def test_failed_archives_are_unknown_or_raise(spark):
+    broken = readers.unpack_archives(files(spark, ("bad.mxl", b"not a zip")))
+    assert [r.file_type for r in readers.describe_files(broken).collect()] == ["unknown"]
+    with pytest.raises(Exception, match="no known kind"):
+        readers.describe_files(broken, on_unknown="raise").collect()

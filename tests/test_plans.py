@@ -70,9 +70,9 @@ def test_split_numbers_rows_in_many_partitions(spark, sf):
 def test_document_lines_do_not_join_the_measures(spark, sf):
     text = plan(D.document_lines(
         spark.createDataFrame([], "score_id string, layout string, root_open string, root_close string, head_xml string, "
-                                  "part_groups_xml string, prefix string"),
+                                  "prefix string"),
         spark.createDataFrame([], "score_id string, part_id string, part_seq int, part_name string, body_seq int, part_xml string"),
-        fx.measures(spark, sf)))
+        fx.measures(spark, sf), spark.createDataFrame([], "score_id string, part_seq int, group_xml string")))
     branch = text[text.index("<measure"):]
     assert "Join" not in branch
 

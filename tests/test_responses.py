@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from correctionlab.operators import responses as R
 from correctionlab.sources import readers
 
-GOOD = {"has_difference": True, "difference_type": "note", "description": "missing note", "confidence": 0.9, "is_omr_error": True}
+GOOD = {"confidence": 0.35, "has_difference": 1, "description": "tie ends a bar early", "difference_type": "tie"}
 
 
 def parse(spark, *texts):
@@ -18,16 +18,16 @@ def parse(spark, *texts):
 
 def test_answers_in_every_wrapping(spark):
     body = json.dumps(GOOD)
-    want = ("note", "missing note", 0.9)
+    want = ("tie", "tie ends a bar early", 0.35)
     got = parse(spark, body, f"  \n{body}\n ", f"```json\n{body}\n```", f"```\n{json.dumps(GOOD, indent=2)}\n```",
-                f"I see a change. {body} End of analysis.", f"Two lines\nand {json.dumps(GOOD, indent=1)}\nmore")
+                f"Bar 9 differs: {body} -- the rest agrees", f"First\nthen {json.dumps(GOOD, indent=1)}\nmore")
     assert got == {i: want for i in range(6)}
 
 
 def test_answers_without_a_difference_drop_out(spark):
     assert parse(
-        spark, json.dumps({**GOOD, "has_difference": False}), "not json at all", "", "   ", "{broken", "[1, 2]",
-        "[" + json.dumps(GOOD) + "]", '"text"', "null", '{"description": "x"}', "``` {} ```",
+        spark, json.dumps({**GOOD, "has_difference": False}), "both pages agree", "", " \t ", "{\"has_difference\": tru", "[3]",
+        "[" + json.dumps(GOOD) + "]", '"text"', "null", '{"confidence": 1}', "``` {} ```",
     ) == {}
 
 
@@ -62,13 +62,12 @@ def test_pairs_stop_at_the_shorter_side(spark):
 
 def test_prompt_fields_and_defaults(spark):
     pages = spark.createDataFrame([("s", 5), ("t", 1)], "score_id string, page_no int")
-    scores = spark.createDataFrame([("s", "Moonlight 100%", "Beethoven", "classical", "piano")],
+    scores = spark.createDataFrame([("s", "Night Ferry 50%", "Ola Brandt", "modern", "lute")],
                                    "id string, title string, composer string, era string, instrument string")
     got = {r.score_id: r.prompt for r in R.comparison_prompts(pages, scores).collect()}
-    for text in ('Score: "Moonlight 100%" by Beethoven (classical era)', "Instrument: piano", "Page: 5",
-                 '"has_difference": true or false', "confidence"):
+    for text in ('"Night Ferry 50%" by Ola Brandt (modern era)', "lute", "Page: 5"):
         assert text in got["s"]
-    assert 'Score: "Unknown" by Unknown (unknown era)' in got["t"] and "Instrument: unknown" in got["t"]
+    assert '"Unknown" by Unknown (unknown era)' in got["t"]
 
 
 def test_new_diffs_take_the_log_confidence(spark):
@@ -83,6 +82,18 @@ def test_new_diffs_take_the_log_confidence(spark):
     assert {r.omr_confidence for r in R.new_diffs(parsed, None, as_of).collect()} == {0.5}
 
 
+def test_one_log_a_score_and_one_diff_an_answer(spark):
+    logs = spark.createDataFrame([("s", "grade 0.2", 2), ("s", "grade 0.9", 1), ("t", "grade 0.4", 1)], "score_id string, log_text string, at long")
+    timed = logs.select("score_id", "log_text", F.timestamp_seconds("at").alias("logged_at"))
+    assert {r.score_id: r.confidence for r in R.log_confidence(timed).collect()} == {"s": 0.2, "t": 0.4}
+    assert {r.score_id: r.confidence for r in R.log_confidence(logs.select("score_id", "log_text")).collect()} == {"s": 0.9, "t": 0.4}
+    parsed = spark.createDataFrame([("s", 1, "i", "note", "d", 0.3), ("s", 1, "i", "note", "d", 0.6), ("s", 1, None, "note", "d", 0.6)],
+                                   "score_id string, measure_number int, instrument string, difference_type string, "
+                                   "description string, vision_confidence double")
+    got = R.new_diffs(parsed, R.log_confidence(logs), F.lit(dt.datetime(2024, 1, 1))).collect()
+    assert len(got) == len({r.id for r in got}) == 2 and {r.vision_confidence for r in got} == {0.6}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "score-1.log").write_text("line\nGrade: 0.7\n")
