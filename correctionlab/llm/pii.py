@@ -8,7 +8,7 @@ sure patterns is right. Instances over the bar join the seeds of the next round.
 
 Positions come from the pieces between matches: a match starts where the pieces and matches before it end. The patterns are
 written so that no text makes them backtrack or start over in the middle of a run: runs are possessive, and a run that
-failed at its start is not tried from within.
+failed at its start is not tried from within. Digits too few for a card are not matched at all.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?=[0-9](?:[\x20-]?[0-9]){13})[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 EDGES_BEFORE = r"^[\"'(\[{<]+"
@@ -35,6 +35,8 @@ EDGES_AFTER = r"[\"')\]}>.,;:!?]+$"
 SHORTEST = 6
 # Tokens that hold a digit or an at sign, between white space, and are long enough.
 TOKEN = rf"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{{{SHORTEST}}})[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+PLACED_AT_ONCE = 256
+BIN = 64               # spans that touch share a stretch of so many characters
 CONTEXT = 80           # characters beside a span in which its words are looked for
 ROUNDS = 3
 SUPPORT = 3.0          # a pattern needs the weight of so many distinct instances
@@ -60,13 +62,25 @@ def spans_of(text: Column, pattern: str, matches: Column) -> Column:
     """Start, end (code points, end exclusive) and value of the leftmost non-overlapping matches of a pattern."""
     pieces = F.split(text, pattern, -1)
     zipped = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).cast("bigint").alias("gap"), m.alias("value")))
+
+    def place(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
+            lambda s, z: F.struct(
+                (s["at"] + z["gap"] + F.length(z["value"])).alias("at"),
+                F.concat(s["out"], F.array(F.struct((s["at"] + z["gap"]).alias("start"), (s["at"] + z["gap"] + F.length(z["value"])).alias("end"), z["value"].alias("value")))).alias("out"),
+            ))
+
+    # an array grows by being copied, so long lists are made of short ones
+    start = F.struct(
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")).alias("last"),
+        F.array().cast(f"array<array<{SPAN}>>").alias("done"))
     folded = F.aggregate(
-        zipped, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda s, z: F.struct(
-            (s["at"] + z["gap"] + F.length(z["value"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + z["gap"]).alias("start"), (s["at"] + z["gap"] + F.length(z["value"])).alias("end"), z["value"].alias("value")))).alias("out"),
-        ),
-    )["out"]
+        F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PLACED_AT_ONCE).cast("int")), start,
+        lambda s, k: F.struct(
+            place(F.slice(zipped, k * PLACED_AT_ONCE + 1, F.lit(PLACED_AT_ONCE)), s["last"]["at"]).alias("last"),
+            F.concat(s["done"], F.array(s["last"]["out"])).alias("done")),
+        lambda s: F.flatten(F.concat(s["done"], F.array(s["last"]["out"]))))
     return F.when(F.size(matches) > 0, folded).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -108,7 +122,7 @@ def _named(kind: str, order: int) -> Column:
 def occurrences(found: DataFrame) -> DataFrame:
     """From base spans one row for each document with `base` and `others`, spans with their values and contexts.
 
-    `others` are tokens shaped like identifiers that no base span touches, without the punctuation around them.
+    `others` are tokens shaped like identifiers, without the punctuation around them.
     """
     text = F.col("text")
     base = F.flatten(F.array(*[
@@ -120,20 +134,34 @@ _named(k, n) for n, k in enumerate(KINDS)]))
         (s["start"] + s["whole"] - F.length(s["inner"])).alias("start"), F.regexp_replace(s["inner"], EDGES_AFTER, "").alias("value")))
     tokens = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), F.lower(s["value"]).alias("value")))
     found = found.select("doc_id", "h", "text", "base", F.filter(tokens, lambda s: (F.length(s["value"]) >= SHORTEST) & s["value"].rlike("[0-9@]")).alias("others"))
-    free = F.filter("others", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return found.select(
         "doc_id", "h",
         F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["order"].alias("order"), b["kind"].alias("kind"), b["end"].alias("end"), b["value"].alias("value"), *_with_context(text, b))).alias("base"),
-        F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *_with_context(text, s))).alias("others"),
+        F.transform("others", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *_with_context(text, s))).alias("others"),
+    )
+
+
+def free_tokens(rows: DataFrame) -> DataFrame:
+    """The tokens of `others` that no base span touches: doc_id, h, start, end, value and context."""
+    def binned(column: str) -> DataFrame:
+        one = rows.where((F.size("base") > 0) & (F.size("others") > 0)).select("doc_id", "h", F.explode(column).alias("s")).select("doc_id", "h", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+        return one.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
+
+    token, base = binned("others").alias("t"), binned("base").alias("b")
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "h", "bin")]
+    touched = (
+        token.join(base, same + [F.col("t.start") < F.col("b.end"), F.col("b.start") < F.col("t.end")], "left_semi")
+        .select(F.col("doc_id").alias("of"), F.col("h").alias("oh"), F.col("start").alias("at")).distinct()
     )
+    every = rows.where(F.size("others") > 0).select("doc_id", "h", F.explode("others").alias("s")).select("doc_id", "h", "s.*")
+    return every.join(touched, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")) & (F.col("start") == F.col("at")), "left_anti")
 
 
-def pattern_edges(found: DataFrame) -> DataFrame:
+def pattern_edges(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Distinct (pattern, value, kind): which values the patterns surround; kind is null for values that no base detector found."""
-    seen = found.select(F.explode(F.concat(
-        F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"), b["left2"].alias("left2"), b["left1"].alias("left1"), b["right1"].alias("right1"))),
-        F.transform("others", lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["value"].alias("value"), s["left2"].alias("left2"), s["left1"].alias("left1"), s["right1"].alias("right1"))),
-    )).alias("o")).select("o.*")
+    words = ("value", "left2", "left1", "right1")
+    base = rows.where(F.size("base") > 0).select(F.explode("base").alias("s")).select("s.kind", *[f"s.{w}" for w in words])
+    seen = base.unionByName(others.select(F.lit(None).cast("string").alias("kind"), *words))
     return seen.select("kind", "value", F.explode(F.array(
         F.when((F.col("left1") != "") & (F.col("left2") != ""), F.concat_ws(" ", "left2", "left1", F.lit("_"))),
         F.when((F.col("left1") != "") & (F.col("right1") != ""), F.concat_ws(" ", "left1", F.lit("_"), "right1")),
@@ -176,8 +204,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     `spans` has those of `base` and those that the method adds, by start, then kind. Other columns are ignored.
     """
     rows = cut_lineage(occurrences(base_spans(docs)), "spans")
-    learned = bootstrap(cut_lineage(pattern_edges(rows), "edges"))
-    others = rows.where(F.size("others") > 0).select("doc_id", "h", F.explode("others").alias("o")).select("doc_id", "h", "o.start", "o.end", "o.value")
+    others = cut_lineage(free_tokens(rows), "tokens")
+    learned = bootstrap(cut_lineage(pattern_edges(rows, others), "edges"))
     order = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F).otherwise(len(KINDS))
     extra = (
         others.join(learned, "value").select("doc_id", "h", F.struct("start", order.alias("order"), "kind", "end").alias("s")).distinct()
