@@ -166,17 +166,20 @@ class Index:
         return out
 
 
-def item_groups(benchmark: DataFrame, most: int = INDEX_CHARS) -> list[list[tuple]]:
-    """The test items (item_id, text) in groups of at most `most` characters, or one item; null texts and repeated rows are left out."""
+def item_groups(benchmark: DataFrame, most: int = INDEX_CHARS) -> Iterator[list[tuple]]:
+    """The test items (item_id, text) in groups of at most `most` characters, or one item; null texts and repeated rows are left out.
+
+    One group at a time is on the driver.
+    """
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
-    groups, size = [[]], 0
+    group, size = [], 0
     for r in rows.toLocalIterator():
-        if groups[-1] and size + len(r["text"]) > most:
-            groups.append([])
-            size = 0
-        groups[-1].append((r["item_id"], r["text"]))
+        if group and size + len(r["text"]) > most:
+            yield _unique(group)
+            group, size = [], 0
+        group.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return [_unique(g) for g in groups if g]
+    yield _unique(group)
 
 
 def _unique(items: list[tuple]) -> list[tuple]:
@@ -197,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for items in item_groups(benchmark) or [[]]:
+    for items in item_groups(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         part = docs.mapInArrow(_finder(shared), schema)
         found = part if found is None else found.unionByName(part)

@@ -138,7 +138,7 @@ def test_items_are_found_wherever_they_stand(docs, spark):
     texts = [f"{' '.join(f'pad{k}' for k in range(n))} {item.upper()} {long}" for n in range(0, 70, 7)] + [long, item[:40], None, ""]
     bench = spark.createDataFrame([(5, item), (6, None), (7, ""), (5, item), (8, "x")], "item_id long, text string")
     assert sorted(r["doc_id"] for r in D.find_leaks(docs(texts), bench).collect()) == list(range(10))
-    split = D.item_groups(bench, most=10)
+    split = list(D.item_groups(bench, most=10))
     assert len(split) == 2
 
 
