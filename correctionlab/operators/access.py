@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,3 +102,12 @@ def over_limit(requests: DataFrame, limit: int, window: str) -> DataFrame:
             "requests",
         )
     )
+
+
+def over_request_limits(requests: DataFrame, limits: dict[str, tuple[int, str]] = V.REQUEST_LIMITS) -> DataFrame:
+    """Clients over the limit of an action, for requests (client, ts, action): each action has its own limit and window."""
+    over = [
+        over_limit(requests.where(F.col("action") == action), limit, window).select(F.lit(action).alias("action"), "*")
+        for action, (limit, window) in limits.items()
+    ]
+    return reduce(DataFrame.unionByName, over)

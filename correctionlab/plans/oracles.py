@@ -580,6 +580,11 @@ BODIES: dict[str, str] = {
           date_trunc('hour', ts)::timestamp + interval 1 hour as window_end, count(*) as requests
         from events group by all having count(*) > 2
     """,
+    "request_limits": " union all ".join(
+        f"select * from (select '{action}' as action, user_id % 2 as client, time_bucket(interval '{window}', ts)::timestamp as window_start,"
+        f" time_bucket(interval '{window}', ts)::timestamp + interval '{window}' as window_end, count(*) as requests"
+        f" from events where event_id % 3 = {k} group by all having count(*) > {limit})"
+        for k, (action, (limit, window)) in enumerate(V.REQUEST_LIMITS.items())),
     "file_types": """
         select path, original_filename,
           case when head like '%PDF%' then 'pdf' when head <> '' then 'musicxml'
@@ -664,6 +669,7 @@ CTES["texts"] = f"""
       (select string_agg(concat('<measure number="', n, '">', of, '</measure>'), '' order by n) as timed from range(1, 7) r(n),
         (select string_agg(concat('<part id="P', k, '"><note/></part>'), '' order by k) as of from range(1, 4) r(k))))
 """
+BODIES["documents_of_files"] = "select score_id, xml, null::varchar as error from texts"
 CTES["changed"] = "select distinct score_id from changes where score_id::bigint % 11 <> 0"
 CTES["edited_heads"] = "select * from heads where score_id in (select score_id from changed)"
 CTES["edited_list"] = "select * from listed where score_id in (select score_id from changed)"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from correctionlab.functions import fixed_values as V
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
 from correctionlab.plans.export import corrected_documents, located_edits
@@ -360,6 +361,15 @@ def rate_limit_windows(spark, sf_dir):
     return access.over_limit(fx.request_log(spark, sf_dir), 2, "1 hour")
 
 
+@query
+def request_limits(spark, sf_dir):
+    """The limits of the service; a few busy clients, each event a request for one action."""
+    events = fx.table(spark, sf_dir, "events")
+    actions = F.array(*[F.lit(a) for a in V.REQUEST_LIMITS])
+    return access.over_request_limits(events.select(
+        (F.col("user_id") % 2).alias("client"), "ts", F.get(actions, (F.col("event_id") % 3).cast("int")).alias("action")))
+
+
 # --- documents -------------------------------------------------------------------------------
 
 
@@ -400,6 +410,12 @@ def _shredded(spark, sf_dir):
     return readers.shred(fx.documents(spark, sf_dir))
 
 
+@query
+def documents_of_files(spark, sf_dir):
+    """Plain files, files in two-byte characters and archives, through unpacking and decoding."""
+    return readers.documents_from_files(readers.unpack_archives(fx.document_files(spark, sf_dir)))
+
+
 @query
 def shred_parts(spark, sf_dir):
     return readers.parts_of(_shredded(spark, sf_dir)).drop("groups_before", "groups_after")

@@ -163,6 +163,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files (path, content): plain, in two-byte characters with a byte order mark, or in an archive."""
+    def pack(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as archive:
+                    archive.writestr("score.xml", content)
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([held.getvalue()], pa.binary())})
+
+    texts = documents(spark, sf_dir).withColumn("kind", F.col("score_id").cast("long") % 3)
+    plain = texts.where("kind < 2").select(
+        F.concat(F.lit("scores/"), "score_id", F.lit(".xml")).alias("path"),
+        F.when(F.col("kind") == 0, F.encode("xml", "UTF-8")).otherwise(F.encode("xml", "UTF-16")).alias("content"))
+    packed = texts.where("kind = 2").select(F.concat(F.lit("scores/"), "score_id", F.lit(".mxl")).alias("path"), F.encode("xml", "UTF-8").alias("content"))
+    return plain.unionByName(packed.mapInArrow(pack, "path string, content binary"))
+
+
 _NAME = "concat('Brand#', 1 + (3 * o_orderkey + 5 * k) % 25)"
 _HEAD = (
     "concat('<work><work-title> Order ', o_orderkey, ' </work-title>',"

@@ -130,6 +130,42 @@ def unpack_archives(files: DataFrame) -> DataFrame:
     return plain.unionByName(packed)
 
 
+_DECLARED = re.compile(rb"""\A\s*<\?xml[^>]*?\sencoding\s*=\s*["']([A-Za-z][A-Za-z0-9._-]*)["']""")
+_MARKS = (("utf-8-sig", b"\xef\xbb\xbf"), ("utf-16", b"\xff\xfe"), ("utf-16", b"\xfe\xff"))
+DOCUMENT_SCHEMA = "score_id string, xml string, error string"
+DOCUMENT_ARROW = pa.schema([("score_id", pa.string()), ("xml", pa.string()), ("error", pa.string())])
+
+
+def _decode(content: bytes | None) -> tuple[str | None, str | None]:
+    """Text of a document: by its byte order mark, else as its declaration says, else UTF-8."""
+    if content is None:
+        return None, "no content"
+    declared = _DECLARED.match(content)
+    name = next((n for n, mark in _MARKS if content.startswith(mark)), declared[1].decode() if declared else "utf-8")
+    try:
+        return content.decode(name), None
+    except (UnicodeError, LookupError) as exc:
+        return None, f"not readable as {name}: {exc}"
+
+
+def documents_from_files(files: DataFrame) -> DataFrame:
+    """Documents (score_id, xml, error) of unpacked files (path, content, error): the id is the file name without its suffix.
+
+    Failed archives and texts that can't be decoded come out with an error and no xml; `shred` takes the others.
+    """
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    files = files.select(name.alias("score_id"), "content", F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for score_id, content, error in zip(*(batch[c] for c in ("score_id", "content", "error"))):
+                xml, wrong = _decode(content.as_py())
+                row = {"score_id": score_id.as_py(), "xml": xml, "error": error.as_py() or wrong}
+                yield pa.RecordBatch.from_pylist([row], DOCUMENT_ARROW)
+
+    return files.mapInArrow(run, DOCUMENT_SCHEMA)
+
+
 # --- score documents ------------------------------------------------------------
 
 # kind is head, part, group, measure or error; xml holds a measure, an entry of the part list, or the head. Entries of

@@ -71,3 +71,16 @@ def test_failed_archives_are_unknown_or_raise(spark):
     assert [r.file_type for r in readers.describe_files(broken).collect()] == ["unknown"]
     with pytest.raises(Exception, match="no known kind"):
         readers.describe_files(broken, on_unknown="raise").collect()
+
+
+def test_files_become_documents(spark):
+    text = '<?xml version="1.0" encoding="{}"?><score a="å"/>'
+    rows = [("d/one.xml", text.format("utf-8").encode()), ("d/two.xml", text.format("UTF-16").encode("utf-16")), ("d/three.xml", text.format("latin-1").encode("latin-1")),
+            ("d/four.xml", b"\xef\xbb\xbf<score/>"), ("d/five.xml", b"<score a='\xe5'/>"), ("d/six.xml", text.format("no-such").encode()), ("d/seven.mxl", b"no archive"),
+            ("d/eight.mxl", archive([("s.xml", text.format("utf-16").encode("utf-16"))]))]
+    got = {r.score_id: r for r in readers.documents_from_files(readers.unpack_archives(files(spark, *rows))).collect()}
+    assert got["one"].xml == text.format("utf-8") and got["two"].xml == text.format("UTF-16") and got["three"].xml == text.format("latin-1")
+    assert got["four"].xml == "<score/>" and got["eight"].xml == text.format("utf-16")
+    assert all(got[k].xml is None and got[k].error for k in ("five", "six", "seven"))
+    whole = readers.shred(readers.documents_from_files(files(spark, *rows[:4])).select("score_id", "xml"))
+    assert readers.errors_of(whole).count() == 0
