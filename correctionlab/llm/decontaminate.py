@@ -242,20 +242,20 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _holds(shared):
-    import pandas as pd
+    import pyarrow as pa
 
     def run(parts):
         index = Index(shared.value)
         for texts in parts:
             out, held, size = [], [], 0
             for text in texts:
-                held.append(words_of(text))
+                held.append(words_of(text.as_py()))
                 size += len(held[-1])
                 if size >= WORDS_AT_ONCE:
                     out += map(bool, index.leaks(held))
                     held, size = [], 0
             out += map(bool, index.leaks(held)) if held else []
-            yield pd.Series(out, dtype=bool)
+            yield pa.array(out, pa.bool_())
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "boolean")
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")

@@ -143,23 +143,24 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
 
 def predict(model: dict) -> object:
     """A column function: text to struct(lang_pred, score). Null text and text without a letter are `und` with score 0."""
-    import pandas as pd
+    import pyarrow as pa
 
     def run(texts):
         import numpy as np
 
-        names, scores = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-        asked = [k for k, t in enumerate(texts) if has_letter(t)]
-        for at in range(0, len(asked), 256):
-            some = asked[at:at + 256]
-            best, score = decode(model, np.stack([features(texts.iloc[k]) for k in some]))
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for at in range(0, len(texts), 256):
+            some = {at + k: t for k, t in enumerate(texts.slice(at, 256).to_pylist()) if has_letter(t)}
+            if not some:
+                continue
+            best, score = decode(model, np.stack([features(t) for t in some.values()]))
             for k, b, s in zip(some, best, score):
                 if b >= 0:
                     names[k], scores[k] = model["languages"][b], s
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, "lang_pred string, score double")
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

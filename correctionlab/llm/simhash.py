@@ -64,8 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            out = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
+            texts = batch.column("text").cast(pa.binary())
+            out = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")

@@ -32,7 +32,7 @@ from correctionlab.plans.sizing import cut_lineage, scratch_path
 END_ID = 1
 FRAME_IDS = 1 << 20
 LEVEL = 3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python's split, but not to tokenizers
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ROW, INDEX_ROW_BYTES = "<Bqqq", 25
