@@ -111,7 +111,9 @@ def update_knowledge_base(patterns: DataFrame, analysis: DataFrame, as_of: Colum
     new = as_patterns(analysis, as_of)
     kinds = dict(new.dtypes)
     if "accept_count_exact" not in patterns.columns:
-        patterns = patterns.withColumn("accept_count_exact", F.col("accept_count"))
+        patterns = patterns.withColumn("accept_count_exact", F.lit(None).cast("bigint"))
+    # tables written before there was an exact count have the truncated one
+    patterns = patterns.withColumn("accept_count_exact", F.coalesce("accept_count_exact", "accept_count"))
     patterns = patterns.select(*[F.col(c).cast(kinds[c]) if kinds.get(c) in ("timestamp", "timestamp_ntz") else F.col(c) for c in patterns.columns])
     more = [c for c in patterns.columns if c not in new.columns]
     old, cur = patterns.alias("old"), new.alias("new")

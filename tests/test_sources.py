@@ -8,7 +8,7 @@ from correctionlab.sources import readers
 
 
 def test_tables_come_with_their_schemas(spark, tmp_path):
-    row = ("p", "instrument_quirk", "note", "text", 1, 1, 0, 0, 0.8, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), "violin", None, ["a"])
+    row = ("p", "instrument_quirk", "note", "text", 1, 1, 0, 0, 0.8, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), "lute", None, ["a"], 1)
     spark.createDataFrame([row], schemas.PATTERNS).write.parquet(str(tmp_path / "patterns"))
     spark.createDataFrame([("u", "u@x.org", "user")], schemas.USERS).write.parquet(str(tmp_path / "users"))
     tables = readers.load_tables(spark, str(tmp_path), ["patterns", "users"])
