@@ -127,18 +127,21 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
         import pyarrow as pa
 
         for batch in batches:
-            kept = [(i, lang, ngram_counts(t).astype(np.uint32).tobytes()) for i, lang, t in zip(*(batch.column(c).to_pylist() for c in ("place", "lang", "text"))) if has_letter(t)]
+            kept = [(i, lang, features(t).astype(np.float16).tobytes()) for i, lang, t in zip(*(batch.column(c).to_pylist() for c in ("place", "lang", "text"))) if has_letter(t)]
             for at in range(0, len(kept), 64):
                 cols = list(zip(*kept[at:at + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["place", "lang", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["place", "lang", "features"])
 
     sample = known.withColumn("place", uniform(F.lit("language"), F.col("id"))).where(F.col("place") < fraction).select("place", "lang", "text")
     got: dict[str, list] = {}
-    for r in sample.mapInArrow(run, "place double, lang string, counts binary").toLocalIterator():
-        got.setdefault(r["lang"], []).append((r["place"], bytes(r["counts"])))
+    for r in sample.mapInArrow(run, "place double, lang string, features binary").toLocalIterator():
+        got.setdefault(r["lang"], []).append((r["place"], bytes(r["features"])))
     chosen = [(lang, c) for lang in sorted(got) for _, c in sorted(got[lang])[:each]]
-    root = np.sqrt(np.stack([np.frombuffer(c, np.uint32) for _, c in chosen]).astype(np.float32)) if chosen else np.zeros((0, 1 << BITS), np.float32)
-    return fit([lang for lang, _ in chosen], root / np.maximum(np.sqrt((root * root).sum(1, keepdims=True)), 1e-9))
+    got.clear()
+    table = np.zeros((len(chosen), 1 << BITS), np.float32)
+    for k, (_, c) in enumerate(chosen):
+        table[k] = np.frombuffer(c, np.float16)
+    return fit([lang for lang, _ in chosen], table)
 
 
 def predict(model: dict) -> object:
