@@ -1,6 +1,6 @@
 """License scans by sentences (operator 9).
 
-A text is cut into sentences, each is normalised (lower case, runs of anything but letters and digits become one space) and
+A text is cut into sentences, which may run over several lines; each is normalised (lower case, runs of anything but letters and digits become one space) and
 looked up in the known license sentences. What remains of a document is the sequence of the identifiers found, in order.
 Ordered rules over identifier sequences then name the licenses: a rule holds where its sequence occurs in a row, and
 the identifiers it uses up are not seen by later rules. So specific rules (a grant followed by its exception) come first.
@@ -51,9 +51,10 @@ RULES = [
     ("proprietary", ["all-rights"]),
 ]
 
-# A sentence ends at a line end, or at . ! ? ; before white space; colons end none, since notices continue after them.
-SENTENCE_END = r"[.!?;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+# A sentence ends at . ! ? ; before white space, at a line without letters or digits, or else at any line end that it doesn't run over;
+# colons end none, since notices continue after them.
+STOP = r"[.!?;]+[\x20\x09-\x0D]+"
+END = "\x02"
 
 
 def normal(sentence: str) -> str:
@@ -66,13 +67,24 @@ def _known() -> dict[str, str]:
 
 
 def _text_column(text: Column, known: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    The text is normalised with its line ends and sentence ends kept. A known sentence fills one line, or several from the start of the first to
+    the end of the last one; comment marks at line starts fold away like other punctuation. The longest sentence from a line on counts.
+    """
+    if not known:
+        return F.array().cast("array<string>")
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    longest = max(map(len, known))
-    # a sentence much longer than any known one can't be one: it is not normalised
-    near = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(s) <= 4 * longest)
-    names = F.transform(near, lambda s: F.element_at(lookup, F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " "))))
-    return F.filter(names, lambda n: n.isNotNull())
+    steps = [
+        (END, " "), (r"\r\n?", "\n"), (STOP, END), (rf"[^\p{{L}}\p{{N}}\n{END}]+", " "), (r"\n *\n[ \n]*", END),
+        (rf"[ \n]*{END}[ \n{END}]*", END), (r" *\n *", "\n")]
+    lines = F.lower(text)
+    for pattern, to in steps:
+        lines = F.regexp_replace(lines, pattern, to)
+    lines = F.concat(F.lit(END), F.trim(lines), F.lit(END))
+    sentences = "|".join(k.replace(" ", "[ \n]") for k in sorted(known, key=lambda k: (-len(k), k)) if k)
+    found = F.regexp_extract_all(lines, F.lit(rf"[\n{END}]({sentences})(?=[\n{END}])"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(lookup, F.translate(s, "\n", " ")))
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list | None = None) -> DataFrame:
