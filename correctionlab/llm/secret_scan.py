@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives (operator 3).
 
-Candidates are long runs of the characters that keys and tokens are made of. Each is described by its length, by how its
+Candidates are long runs of the characters that keys and tokens are made of, and whatever is assigned to a name of a secret. Each is described by its length, by how its
 characters change (between letters, digits and cases; how surprising a letter is after the one before it in words), by how much
 of it a dictionary covers, by whether it stands in a path or an address, and by the words beside it. A random forest that
 learned from labelled findings gives the probability that it is a secret.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from correctionlab.llm.common import uniform
 
 SHORTEST = 16
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
+# `=` only ends a candidate, as padding, and where a candidate may begin after NAME=
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{{{SHORTEST},}}(?:={{1,2}}(?![A-Za-z0-9+/_.=-]))?")
 CONTEXT = 48                 # characters on each side of a candidate
 SAMPLE_DOCS = 4_000          # documents from which dictionary and findings are taken, by a hash of their ids
 SAMPLE_FINDINGS = 3_000      # findings of each label that the forest learns from
@@ -36,7 +37,10 @@ SECRET_BAR = 0.5
 # Names that secrets are assigned to, and words that stand beside other long strings.
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "private", "access")
 OTHER_WORDS = ("sha", "sha1", "sha256", "md5", "digest", "checksum", "commit", "hash", "uuid", "guid", "id", "example", "sample", "integrity", "etag", "revision", "ref")
-ASSIGNED = re.compile(r"(?i)\b(?:secret|token|password|passwd|pwd|api[_-]?key|auth|access[_-]?key|private[_-]?key|credential)s?[\"']?\s*(?:=|:|=>)\s*[\"']?$")
+NAME = r"(?<![A-Za-z0-9])(?:secret|token|password|passwd|pwd|api[_-]?key|auth|access[_-]?key|private[_-]?key|secret[_-]?key|credential)s?"
+ASSIGNED = re.compile(rf"(?i){NAME}[\"']?\s*(?:=>|:=|=|:)\s*[\"']?$")
+# a value in quotes under a name of a secret, or one without quotes up to white space; of any length and characters
+VALUE = re.compile(rf"(?i){NAME}[\"']?[^\S\n]*(?:=>|:=|=|:)[^\S\n]*(?:\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|([^\s\"',;]+))")
 
 FEATURES = (
     "length", "entropy", "digit_share", "upper_share", "hex_share", "class_changes", "case_changes", "repeats", "surprise",
@@ -103,9 +107,17 @@ def describe(before: str, candidate: str, after: str, lexicon: Lexicon) -> list[
 
 
 def candidates(text: str | None):
-    """(start, end, before, candidate, after) for each candidate of a text."""
-    for m in CANDIDATE.finditer(text or ""):
-        yield m.start(), m.end(), text[max(0, m.start() - CONTEXT):m.start()], m[0], text[m.end():m.end() + CONTEXT]
+    """(start, end, before, candidate, after) for each candidate of a text, in order: values under a name of a secret, and long runs beside them."""
+    text = text or ""
+    values = [m.span(m.lastindex) for m in VALUE.finditer(text)]
+    k, spans = 0, list(values)
+    for m in RUN.finditer(text):
+        while k < len(values) and values[k][1] <= m.start():
+            k += 1
+        if k == len(values) or values[k][0] >= m.end():
+            spans.append(m.span())
+    for start, end in sorted(spans):
+        yield start, end, text[max(0, start - CONTEXT):start], text[start:end], text[end:end + CONTEXT]
 
 
 def drawn_findings(each: int = DRAWN_EACH, seed: int = SEED) -> list[tuple]:
