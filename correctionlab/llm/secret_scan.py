@@ -22,14 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from correctionlab.llm.common import uniform
+from correctionlab.plans.sizing import cut_lineage
 
 SHORTEST = 16
 # `=` only ends a candidate, as padding, and where a candidate may begin after NAME=
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{{{SHORTEST},}}(?:={{1,2}}(?![A-Za-z0-9+/_.=-]))?")
 CONTEXT = 48                 # characters on each side of a candidate
-SAMPLE_DOCS = 4_000          # documents from which dictionary and findings are taken, by a hash of their ids
+SAMPLE_DOCS = 4_000          # documents from which labelled findings are taken, by a hash of their ids
 SAMPLE_FINDINGS = 3_000      # findings of each label that the forest learns from
-DICTIONARY_WORDS = 5_000
+WORD_SHARE = 250_000         # a dictionary word is at least one of so many words of the whole corpus: no more than that many words
+PAIR_SHARE = 1_000_000       # the same for letter pairs
+LONGEST_WORD = 12            # letters of a word that coverage looks for
+RARE = 10.0                  # bits that a rarer letter pair costs
 DRAWN_EACH = 40
 TREES, DEPTH, SEED = 24, 6, 3
 SECRET_BAR = 0.5
@@ -55,24 +59,26 @@ def _class(c: str) -> int:
 class Lexicon:
     """Words of a corpus and how often a letter follows another in them."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], pairs: dict[str, int] | None = None, firsts: dict[str, int] | None = None):
+        """`pairs` and `firsts` count letter pairs and their first letters; without them they are counted in `words`."""
         self.words = frozenset(w for w in words if len(w) >= 3)
-        pairs, firsts = Counter(), Counter()
-        for word, n in words.items():
-            for a, b in zip(word, word[1:]):
-                pairs[a + b] += n
-                firsts[a] += n
+        if pairs is None:
+            pairs, firsts = Counter(), Counter()
+            for word, n in words.items():
+                for a, b in zip(word, word[1:]):
+                    pairs[a + b] += n
+                    firsts[a] += n
         self.cost = {p: -math.log2((n + 0.5) / (firsts[p[0]] + 18.0)) for p, n in pairs.items()}
 
     def surprise(self, text: str) -> float:
         low = text.lower()
-        return sum(self.cost.get(low[k:k + 2], 10.0) for k in range(len(low) - 1)) / max(1, len(low) - 1)
+        return sum(self.cost.get(low[k:k + 2], RARE) for k in range(len(low) - 1)) / max(1, len(low) - 1)
 
     def coverage(self, text: str) -> float:
         """Share of the characters that words of the dictionary cover, the longest first from the left."""
         low, at, covered = text.lower(), 0, 0
         while at < len(low):
-            n = next((n for n in range(min(12, len(low) - at), 2, -1) if low[at:at + n] in self.words), 0)
+            n = next((n for n in range(min(LONGEST_WORD, len(low) - at), 2, -1) if low[at:at + n] in self.words), 0)
             covered, at = covered + n, at + max(n, 1)
         return covered / max(1, len(low))
 
@@ -147,10 +153,29 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
     return docs.where(uniform(F.lit("secrets"), F.col("doc_id").cast("string")) < share).select("doc_id", "text")
 
 
-def corpus_findings(docs: DataFrame, each: int = SAMPLE_FINDINGS) -> tuple[list[tuple], dict[str, int]]:
-    """Labelled findings of a bounded sample of `docs`, at most `each` of a label, and its most frequent words.
+def corpus_lexicon(docs: DataFrame) -> Lexicon:
+    """The lexicon of all of `docs`: words of 2 to 24 letters and their letter pairs, counted on the executors.
 
-    Word counts and findings are reduced on the executors; what comes to the driver is bounded by the parameters.
+    What comes to the driver are the words and pairs with the shares above, whatever the size of the corpus.
+    """
+    words = cut_lineage(
+        docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, 24))
+        .groupBy("word").agg(F.count("*").alias("n")), "words")
+    ats = F.sequence(F.lit(1), F.length("word") - 1)
+    pairs = cut_lineage(
+        words.select("n", F.explode(F.transform(ats, lambda k: F.col("word").substr(k, F.lit(2)))).alias("pair"))
+        .groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    in_words, in_pairs = (t.agg(F.sum("n")).first()[0] or 0 for t in (words, pairs))
+    firsts = pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("of"))
+    kept_pairs = pairs.where(F.col("n") * PAIR_SHARE >= in_pairs).withColumn("first", F.substring("pair", 1, 1)).join(firsts, "first").collect()
+    kept_words = words.where((F.col("n") * WORD_SHARE >= in_words) & F.length("word").between(3, LONGEST_WORD)).select("word", "n").collect()
+    return Lexicon({r["word"]: r["n"] for r in kept_words}, {r["pair"]: r["n"] for r in kept_pairs}, {r["first"]: r["of"] for r in kept_pairs})
+
+
+def corpus_findings(docs: DataFrame, each: int = SAMPLE_FINDINGS) -> list[tuple]:
+    """Labelled findings of a bounded sample of `docs`, at most `each` of a label.
+
+    Findings are reduced on the executors; what comes to the driver is bounded by the parameters.
     """
     sample = sample_of(docs)
 
@@ -162,12 +187,7 @@ def corpus_findings(docs: DataFrame, each: int = SAMPLE_FINDINGS) -> tuple[list[
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["before", "candidate", "after", "label"])
 
     found = sample.select("text").mapInArrow(run, "before string, candidate string, after string, label int").withColumn("place", F.xxhash64("before", "candidate", "after"))
-    kept = [tuple(r)[:4] for label in (0, 1) for r in found.where(F.col("label") == label).distinct().orderBy("place", "before", "candidate", "after").limit(each).collect()]
-    words = (
-        sample.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, 24))
-        .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
-    )
-    return kept, {r["word"]: r["n"] for r in words.collect()}
+    return [tuple(r)[:4] for label in (0, 1) for r in found.where(F.col("label") == label).distinct().orderBy("place", "before", "candidate", "after").limit(each).collect()]
 
 
 def train(spark, findings: list[tuple], lexicon: Lexicon):
@@ -214,9 +234,8 @@ def scan_secrets(docs: DataFrame, findings: list[tuple] | None = None) -> DataFr
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    own, words = corpus_findings(docs)
-    lexicon = Lexicon(words)
-    model = train(docs.sparkSession, (own if findings is None else findings) + drawn_findings(), lexicon)
+    lexicon = corpus_lexicon(docs)
+    model = train(docs.sparkSession, (corpus_findings(docs) if findings is None else findings) + drawn_findings(), lexicon)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found_candidates(docs, lexicon))
     scored = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 9))
     return scored.select("doc_id", "start", "end", "score", (F.col("score") >= SECRET_BAR).alias("secret"))

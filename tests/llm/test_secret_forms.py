@@ -27,3 +27,15 @@ def test_secrets_of_all_forms_are_found(spark, docs):
     table = docs(forms + ["plain words of a text that holds nothing at all"] * 5)
     assert {r["doc_id"] for r in S.scan_secrets(table).where("secret").collect()} >= {0, 1}
     assert {r["doc_id"] for r in S.scan_secrets(table).collect()} == {0, 1, 2}
+
+
+def test_the_lexicon_counts_all_documents(spark, docs, monkeypatch):
+    """Words of a rare source that a sample of a few documents leaves out; letter pairs as counted one by one."""
+    texts = ["common words stand here"] * 200 + ["zebu quokka"] * 3
+    monkeypatch.setattr(S, "SAMPLE_DOCS", 1)
+    got = S.corpus_lexicon(docs(texts))
+    want = S.Lexicon({"common": 200, "words": 200, "stand": 200, "here": 200, "zebu": 3, "quokka": 3})
+    assert got.words == want.words and got.cost == pytest.approx(want.cost)
+    monkeypatch.setattr(S, "WORD_SHARE", 100)
+    assert S.corpus_lexicon(docs(texts)).words == {"common", "words", "stand", "here"}
+    assert not S.corpus_lexicon(docs([])).words
