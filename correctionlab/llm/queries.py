@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from correctionlab.llm import chat, content_sort, decontaminate, language_id, license_scan, mixing, pii, secret_scan, simhash, token_files
+from correctionlab.llm import chat, content_sort, decontaminate, fill_middle, language_id, license_scan, mixing, pii, secret_scan, simhash, token_align, token_files
 from correctionlab.llm.common import table
 
 
@@ -76,7 +76,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_secret_scan, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan, op10_personal_data)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align_tokenizers(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restored(fill_middle.fill_in_middle(documents(spark, sf_dir)))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_chat_format, op3_secret_scan, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan,
+    op10_personal_data, op12_token_alignment, op13_fill_in_middle)}
 
 
 def _sql_text(text: str) -> str:
@@ -124,4 +139,19 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
   row_number() over w = 1 as kept, sha256(content) as text_sha256
 from n window w as (partition by content order by chars desc, doc_id)""",
     "op9_license_scan": _license_sql(),
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (
+  select doc_id, text, length(text) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as p, greatest(h1 % (n + 1), h2 % (n + 1)) as q,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+c as (select *, substring(text, 1, p) as prefix, substring(text, p + 1, q - p) as middle, substring(text, q + 1, n - q) as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then q - p end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from c""",
 }
