@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from correctionlab.llm import chat, content_sort, decontaminate, fill_middle, language_id, license_scan, mixing, pii, secret_scan, simhash, token_align, token_files
+from correctionlab.llm import chat, circulant, content_sort, decontaminate, fill_middle, language_id, license_scan, mixing, pii, secret_scan, simhash, token_align, token_files
 from correctionlab.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.minhash_groups(documents(spark, sf_dir))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,7 +95,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_chat_format, op3_secret_scan, op4_content_sort, op5_language_id, op6_decontamination, op7_token_frames, op8_mixing, op9_license_scan,
-    op10_personal_data, op12_token_alignment, op13_fill_in_middle)}
+    op10_personal_data, op11_circulant_minhash, op12_token_alignment, op13_fill_in_middle)}
 
 
 def _sql_text(text: str) -> str:
