@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 from correctionlab.llm import near_copies as N
+from correctionlab.llm.near_sets import shingle_set
 
 
 def shingles(text):
@@ -25,14 +26,39 @@ def brute(rows):
     return set(root.values())
 
 
-def test_prefixes_of_alike_sets_meet():
-    r = random.Random(4)
-    for _ in range(300):
-        n = r.randint(1, 60)
-        a = [r.getrandbits(64) for _ in range(n)]
-        b = a[:r.randint(0, n)] + [r.getrandbits(64) for _ in range(r.randint(0, 12))]
-        if b and alike(set(a), set(b)):
-            assert set(sorted(a)[:N.prefix_length(len(a))]) & set(sorted(b)[:N.prefix_length(len(b))])
+def drawn_pair(r, n, share):
+    """Two sets of about n hashes with about this similarity."""
+    common = round(2 * n * share / (1 + share))
+    both = [r.getrandbits(64) for _ in range(common)]
+    return [np.unique(np.array(both + [r.getrandbits(64) for _ in range(n - common)], np.uint64)) for _ in range(2)]
+
+
+def rows_of(how, sets):
+    told = [how.describe(s) for s in sets]
+    return [k for k, _ in told], np.frombuffer(b"".join(s for _, s in told), np.uint8).reshape(len(sets), -1)
+
+
+def test_pivot_tables_keep_near_pairs_and_discard_others():
+    r, how = random.Random(6), N.nearness()
+    pairs = [drawn_pair(r, r.choice([20, 60, 200, 800]), 0.82) for _ in range(150)]
+    pairs = [(x, y) for x, y in pairs if how.near(x, y)]
+    keys, sketches = rows_of(how, [s for p in pairs for s in p])
+    assert how.likely(sketches[::2], sketches[1::2]).all() and len(pairs) > 120
+    assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(keys[::2], keys[1::2]))
+    far = [drawn_pair(r, 200, 0.1) for _ in range(150)]
+    _, sketches = rows_of(how, [s for p in far for s in p])
+    head = 8 * N.WORDS
+    apart = np.abs(sketches[::2, head:].astype(int) - sketches[1::2, head:].astype(int)).max(axis=1)
+    assert not how.likely(sketches[::2], sketches[1::2]).any() and (apart > N.APART).mean() > 0.5
+
+
+def test_pivot_rows_are_distances():
+    r = random.Random(7)
+    tokens = np.unique(np.array([r.getrandbits(64) for _ in range(5_000)], np.uint64))
+    bits, pivots = N.fingerprint(tokens), N.references(5)
+    plain = [sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(bits, p)) for p in pivots]
+    assert N.pivot_row(bits, pivots).tolist() == plain
+    assert (N.fingerprint(tokens[:1]) != 0).any()
 
 
 def test_the_stage_drops_all_that_is_alike_and_nothing_else(spark, sf):
@@ -70,5 +96,5 @@ def test_one_row_of_each_group(spark, sf, odd, none):
 
 
 def test_short_texts_are_one_shingle():
-    assert len(N.shingle_set(b"")) == 0 and len(N.shingle_set(b"One two")) == 1
-    assert np.array_equal(N.shingle_set(b"One  two"), N.shingle_set(b"one two\n")) and not np.array_equal(N.shingle_set(b"one two"), N.shingle_set(b"two one"))
+    assert len(shingle_set(b"", 5)) == 0 and len(shingle_set(b"One two", 5)) == 1
+    assert np.array_equal(shingle_set(b"One  two", 5), shingle_set(b"one two\n", 5)) and not np.array_equal(shingle_set(b"one two", 5), shingle_set(b"two one", 5))

@@ -203,7 +203,7 @@ def test_pipeline_stages_equal_plain_versions(spark, sf):
     rows = {r["doc_id"]: r for r in docs.collect()}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     from test_models import plain_leaks
-    from test_simhash import plain_fingerprint, plain_groups as chained
+    from test_near_copies import brute
 
     kept = set(rows)
     for name, stage in corpus_pipeline.STAGES:
