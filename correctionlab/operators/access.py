@@ -62,6 +62,48 @@ def grant_access(score_access: DataFrame, completed: DataFrame) -> DataFrame:
     return score_access.unionByName(new.select(*score_access.columns))
 
 
+def completed_sessions(completed: DataFrame) -> DataFrame:
+    """One row a session: its last completion. As small as the events; nothing else is read."""
+    return completed.groupBy("session_id").agg(
+        F.max(F.struct("ts", "event_id", "payment_intent")).alias("last")
+    ).select("session_id", "last.*")
+
+
+def new_grants(completed: DataFrame) -> DataFrame:
+    """One row a user, score and feature: the first completion."""
+    return completed.withColumn("feature", F.lit(V.VISION_FEATURE)).groupBy(*ACCESS_KEY).agg(F.min("ts").alias("granted_at"))
+
+
+def merge_completed(payments: DataFrame, sessions: DataFrame) -> DataFrame:
+    """`reconcile_payments` by rows of `completed_sessions` from any number of batches.
+
+    `completed_event` holds the event that settled a row, null for rows settled elsewhere, which any event replaces. The last event by
+    (ts, event_id) holds, whether it comes with the others or after they were folded in.
+    """
+    last = sessions.groupBy("session_id").agg(F.max(F.struct("ts", "event_id", "payment_intent")).alias("last"))
+    before = F.struct("completed_at", "completed_event")
+    hit = F.col("last").isNotNull() & (
+        F.col("completed_event").isNull() | (before < F.struct(F.col("last.ts").alias("completed_at"), F.col("last.event_id").alias("completed_event"))))
+    changed = {
+        "status": F.when(hit, "completed").otherwise(F.col("status")),
+        "payment_intent": F.when(hit, F.col("last.payment_intent")).otherwise(F.col("payment_intent")),
+        "completed_at": F.when(hit, F.col("last.ts")).otherwise(F.col("completed_at")),
+        "completed_event": F.when(hit, F.col("last.event_id")).otherwise(F.col("completed_event")),
+    }
+    return payments.join(last, "session_id", "left").select(
+        *[changed.get(c, F.col(c)).alias(c) for c in payments.columns]
+    )
+
+
+def merge_grants(score_access: DataFrame, grants: DataFrame) -> DataFrame:
+    """`grant_access` by rows of `new_grants` from any number of batches; rows that are there stay as they are."""
+    new = (
+        grants.groupBy(*ACCESS_KEY).agg(F.min("granted_at").alias("granted_at"))
+        .join(score_access, list(ACCESS_KEY), "left_anti").withColumn("access_type", F.lit("payment"))
+    )
+    return score_access.unionByName(new.select(*score_access.columns))
+
+
 def has_access(
     requests: DataFrame, users: DataFrame, score_access: DataFrame, admins: Iterable[str],
     configured: bool = True,

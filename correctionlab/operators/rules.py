@@ -68,25 +68,52 @@ def rule_details(rules: DataFrame) -> DataFrame:
     )
 
 
+FRONT_PART = 1_024
+
+
+def _never_picked(older: Column, rule: Column) -> Column:
+    """Whether an older rule of the same key is satisfied by every diff that satisfies `rule`."""
+    return (
+        (older["min_omr_confidence"] <= rule["min_omr_confidence"])
+        & (older["min_vision_confidence"] <= rule["min_vision_confidence"])
+        & (older["rule_era"].isNull() | F.coalesce(older["rule_era"] == rule["rule_era"], F.lit(False)))
+    )
+
+
+def pareto_front(rules: Column) -> Column:
+    """Of an array of conditions the ones that some diff is first to satisfy, oldest first."""
+    by_age = F.array_sort(rules)
+    return F.aggregate(
+        by_age, F.filter(by_age, lambda _: F.lit(False)),
+        lambda front, rule: F.when(F.exists(front, lambda older: _never_picked(older, rule)), front)
+        .otherwise(F.concat(front, F.array(rule))),
+    )
+
+
 def rule_candidates(rules: DataFrame, patterns: DataFrame) -> DataFrame:
     """Active rules as one row per (difference_type, instrument) with an ordered candidate list.
 
-    Of rules with equal conditions only the oldest can ever be picked, so the list holds distinct
-    conditions, not rules, and stays short.
+    The list is a Pareto front: a rule that an older one of its key makes needless (no higher minima, no
+    stricter era) can never be picked and is left out. Fronts are made of parts of at most about
+    FRONT_PART conditions first, then of the parts' fronts, so no task gathers all rules of a key.
+    A rule without a minimum matches nothing.
     """
+    key = ["difference_type", "instrument"]
     eras = patterns.select(F.col("id").alias("pattern_id"), F.expr("nullif(era, '')").alias("rule_era"))
-    conditions = ("difference_type", "instrument", "min_omr_confidence", "min_vision_confidence", "rule_era")
+    conditions = (*key, "min_omr_confidence", "min_vision_confidence", "rule_era")
     oldest = (
         active_rules(rules)
+        .where(F.col("min_omr_confidence").isNotNull() & F.col("min_vision_confidence").isNotNull())
         .join(eras, "pattern_id", "left")
         .groupBy(*conditions)
         .agg(F.min(F.struct("created_at", "id")).alias("first"))
     )
-    return oldest.groupBy("difference_type", "instrument").agg(
-        F.array_sort(
-            F.collect_list(F.struct("first", "min_omr_confidence", "min_vision_confidence", "rule_era"))
-        ).alias("candidates")
-    )
+    many = oldest.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / FRONT_PART).cast("int").alias("parts"))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
+    dealt = oldest.alias("o").join(many.alias("m"), same).select("o.*", F.pmod(F.xxhash64("first"), "parts").alias("part"))
+    rule = F.struct("first", "min_omr_confidence", "min_vision_confidence", "rule_era")
+    fronts = dealt.groupBy(*key, "part").agg(pareto_front(F.collect_list(rule)).alias("front"))
+    return fronts.groupBy(*key).agg(pareto_front(F.flatten(F.collect_list("front"))).alias("candidates"))
 
 
 def auto_accept(diffs: DataFrame, candidates: DataFrame) -> DataFrame:

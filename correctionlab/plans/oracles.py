@@ -772,6 +772,10 @@ BODIES["inject_headers"] = r"""
         from documents))
 """
 
+BODIES["sqlite_tables"] = """
+    select id, score_id, measure_number, difference_type, omr_confidence, auto_accepted, human_decision, human_reviewed_at
+    from diffs where measure_number >= 2 and difference_type in ('note', 'rhythm', 'slur') and human_decision is not null
+"""
 BODIES["stream_latest_decisions"] = BODIES["apply_decisions"]
 BODIES["stream_auto_accept"] = BODIES["auto_accept_semi"]
 CTES["all_patterns"] = _as_patterns("select * from analysis_all", AS_OF)

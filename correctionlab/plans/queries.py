@@ -13,7 +13,7 @@ from correctionlab.operators import responses, rules, training
 from correctionlab.plans.export import corrected_documents, located_edits
 from correctionlab.plans.sizing import broadcast_within, cut_lineage, scratch_path
 from correctionlab.sources import fixtures as fx
-from correctionlab.sources import readers, writers
+from correctionlab.sources import readers, sqlite, writers
 from correctionlab.streaming import access as access_streams
 from correctionlab.streaming import decisions as decision_streams
 from correctionlab.streaming import learning as learning_streams
@@ -463,14 +463,36 @@ def inject_headers(spark, sf_dir):
     return injected.select("doc_id", "injected", F.md5("content").alias("content_md5"))
 
 
+@query
+def sqlite_tables(spark, sf_dir):
+    """Diffs written to SQLite files and read back in ranges of row ids; the filter runs in SQLite."""
+    folder = scratch_path(spark, "sqlite")
+    kept = ("id", "score_id", "measure_number", "difference_type", "omr_confidence", "auto_accepted", "human_decision", "human_reviewed_at")
+    sqlite.write_sqlite(fx.diffs(spark, sf_dir).select(*kept).repartition(8), folder, "diffs")
+    read = sqlite.load_sqlite(spark, folder, "diffs", rowsPerPartition="20000")
+    return read.where("measure_number >= 2 and difference_type in ('note', 'rhythm', 'slur') and human_decision is not null")
+
+
 # --- streams: each runs over the whole table until nothing is left ------------------------------
 
 
 @query
 def stream_latest_decisions(spark, sf_dir):
+    """The log arrives in three files, out of order, and the query starts anew for the last."""
     root = scratch_path(spark, "stream-decisions")
-    log = fx.decision_log(spark, sf_dir, fx.table_stream(spark, sf_dir, "events"))
-    decision_streams.start_latest_decisions(log, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    events = fx.table(spark, sf_dir, "events")
+
+    def decide():
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        log = fx.decision_log(spark, sf_dir, arriving)
+        decision_streams.start_latest_decisions(log, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+
+    for k in (2, 0, 1):
+        events.where(F.col("event_id") % 3 == k).write.parquet(f"{root}/in/{k}")
+        if k != 0:
+            decide()
+        if k == 2:
+            decision_streams.compact_decisions(spark, f"{root}/out")
     latest = decision_streams.read_latest_decisions(spark, f"{root}/out")
     return decisions.with_latest(fx.diffs(spark, sf_dir), latest).select(
         "id", "human_decision", "human_edit_value", "human_reviewed_at"
@@ -480,9 +502,11 @@ def stream_latest_decisions(spark, sf_dir):
 @query
 def stream_learning(spark, sf_dir):
     root = scratch_path(spark, "stream-learning")
-    reviewed = fx.diffs(spark, sf_dir, fx.table_stream(spark, sf_dir, "lineitem")).select(
-        "instrument", "difference_type", "human_decision"
-    )
+    lines = fx.table(spark, sf_dir, "lineitem")
+    for k in range(3):
+        lines.where(F.col("l_linenumber") % 3 == k).write.parquet(f"{root}/in/{k}")
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    reviewed = fx.diffs(spark, sf_dir, arriving).select("instrument", "difference_type", "human_decision")
     learning_streams.start_learning(
         reviewed, f"{root}/state", f"{root}/checkpoint", lambda batch_id: fx.as_of()
     ).awaitTermination()
@@ -491,15 +515,25 @@ def stream_learning(spark, sf_dir):
 
 @query
 def stream_auto_accept(spark, sf_dir):
+    """Rules are promoted while diffs arrive: none at first, then those of every other type, then all."""
     root = scratch_path(spark, "stream-accept")
-    arriving = fx.diffs(spark, sf_dir, fx.table_stream(spark, sf_dir, "lineitem"))
-    waiting = arriving.where("human_decision is null").select(
-        "id", "instrument", "difference_type", "omr_confidence", "vision_confidence"
-    )
-    learning_streams.start_auto_accept(
-        waiting, _candidates(spark, sf_dir), f"{root}/out", f"{root}/checkpoint"
-    ).awaitTermination()
-    return spark.read.parquet(f"{root}/out").where("auto_accepted").select(
+    all_rules = _candidates(spark, sf_dir)
+    lines = fx.table(spark, sf_dir, "lineitem")
+
+    def match():
+        arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        waiting = fx.diffs(spark, sf_dir, arriving).where("human_decision is null").select(
+            "id", "instrument", "difference_type", "omr_confidence", "vision_confidence"
+        )
+        learning_streams.start_live_accept(waiting, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+
+    for k in range(3):
+        if k:
+            some = all_rules if k == 2 else all_rules.where(F.crc32("difference_type") % 2 == 0)
+            learning_streams.publish_rules(some, f"{root}/state", k)
+        lines.where(F.col("l_orderkey") % 3 == k).write.parquet(f"{root}/in/{k}")
+        match()
+    return learning_streams.matches_now(spark, f"{root}/state").where("auto_accepted").select(
         "id", "instrument", "difference_type"
     )
 
@@ -507,16 +541,23 @@ def stream_auto_accept(spark, sf_dir):
 @query
 def stream_settlement(spark, sf_dir):
     root = scratch_path(spark, "stream-settlement")
-    writers.write_snapshot(fx.payments(spark, sf_dir), f"{root}/state/payments", 0)
-    writers.write_snapshot(fx.score_access(spark, sf_dir), f"{root}/state/score_access", 0)
-    # three files in an order of their own, so that completions come weeks after later ones, and repeats in other batches
+    state = f"{root}/state"
+    access_streams.start_books(fx.payments(spark, sf_dir), fx.score_access(spark, sf_dir), state)
+    # three files in an order of their own, so that completions come weeks after later ones, and repeats in other batches;
+    # the books are folded before the last
     events = fx.table(spark, sf_dir, "events")
+
+    def settle():
+        arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        access_streams.start_settlement(fx.webhook_payloads(arrived), state, f"{root}/checkpoint").awaitTermination()
+
     for k, part in enumerate((events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), events.where("event_id % 5 = 0"))):
+        if k == 2:
+            settle()
+            access_streams.compact_books(spark, state)
         part.write.parquet(f"{root}/in/{k}")
-    arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    access_streams.start_settlement(fx.webhook_payloads(arrived), f"{root}/state", f"{root}/checkpoint").awaitTermination()
-    paid = writers.read_snapshot(spark, f"{root}/state/payments")
-    granted = writers.read_snapshot(spark, f"{root}/state/score_access")
+    settle()
+    paid, granted = access_streams.payments_now(spark, state), access_streams.score_access_now(spark, state)
     return paid.select(
         F.lit("payment").alias("kind"), "user_id", "score_id", "status", "payment_intent"
     ).unionByName(granted.select(

@@ -4,36 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from correctionlab.operators.access import completions, grant_access, over_limit, reconcile_payments
-from correctionlab.sources.writers import read_snapshot, write_snapshot
+from correctionlab.operators.access import (
+    completed_sessions, completions, merge_completed, merge_grants, new_grants, over_limit,
+)
+from correctionlab.sources import ledgers
+
+
+def start_books(payments: DataFrame, score_access: DataFrame, root: str) -> None:
+    """Make the two ledgers that settlement adds to, `payments` and `score_access` below `root`."""
+    ledgers.start_ledger(payments.withColumn("completed_event", F.lit(None).cast("long")), f"{root}/payments")
+    ledgers.start_ledger(score_access, f"{root}/score_access")
 
 
 def settle_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that adds the batch's grants and completes its payments below `root`.
+    """foreachBatch function that adds the batch's completed sessions and grants as deltas below `root`.
 
-    The snapshots `payments` and `score_access` must have a version before the first batch; batch b
-    makes version b + 1. No completion is too late, so there is no watermark and no state: repeats in
-    a batch are reduced to one per session there, and repeats of earlier batches change nothing but the
-    completion time, since grants are unique.
+    A batch writes as many rows as it has sessions and grants, and reads neither table. Batch b adds delta b + 1 to both ledgers;
+    a batch that runs again changes nothing. No completion is too late, so there is no watermark and no state: repeats are
+    reduced when the ledgers are read (`payments_now`, `score_access_now`) or folded (`compact_books`).
     """
     def settle(batch: DataFrame, batch_id: int) -> None:
-        spark, version = batch.sparkSession, batch_id + 1
-        batch.persist()
-        for name, change in (("payments", reconcile_payments), ("score_access", grant_access)):
-            before = read_snapshot(spark, f"{root}/{name}", below=version)
-            kinds = dict(before.dtypes)
-            event_time = kinds.get("completed_at") or kinds.get("granted_at")
-            after = change(before, batch.withColumn("ts", F.col("ts").cast(event_time)))
-            write_snapshot(after, f"{root}/{name}", version)
-        batch.unpersist()
+        held = batch.persist()
+        ledgers.append_delta(completed_sessions(held), f"{root}/payments", batch_id + 1)
+        ledgers.append_delta(new_grants(held), f"{root}/score_access", batch_id + 1)
+        held.unpersist()
 
     return settle
 
 
+def _in_type_of(column: str, base_column: str, merge: Callable) -> Callable:
+    """Merging with the deltas' times in the type that the base has."""
+    return lambda base, changes: merge(base, changes.withColumn(column, F.col(column).cast(dict(base.dtypes)[base_column])))
+
+
+MERGE_PAYMENTS = _in_type_of("ts", "completed_at", merge_completed)
+MERGE_GRANTS = _in_type_of("granted_at", "granted_at", merge_grants)
+
+
+def payments_now(spark: SparkSession, root: str) -> DataFrame:
+    return ledgers.read_ledger(spark, f"{root}/payments", MERGE_PAYMENTS).drop("completed_event")
+
+
+def score_access_now(spark: SparkSession, root: str) -> DataFrame:
+    return ledgers.read_ledger(spark, f"{root}/score_access", MERGE_GRANTS)
+
+
+def compact_books(spark: SparkSession, root: str) -> None:
+    """Fold the deltas into new bases; run it as a job of its own, as often as reading gets slow. The stream may go on meanwhile."""
+    ledgers.compact(spark, f"{root}/payments", MERGE_PAYMENTS)
+    ledgers.compact(spark, f"{root}/score_access", MERGE_GRANTS)
+
+
 def start_settlement(
     bodies: DataFrame, root: str, checkpoint: str, **trigger: object
 ) -> StreamingQuery:

@@ -114,3 +114,36 @@ def joined_plan(left, right):
 def test_details_list_active_rules(spark):
     got = R.rule_details(rule_table(spark, [rule("a"), rule("b", active=False)])).collect()
     assert [r.id for r in got] == ["r-a"] and got[0].description == "old" and got[0].confirmations == 10
+
+
+def test_many_rules_of_a_key_come_down_to_a_front(spark):
+    n = 100_000
+    rules = spark.range(n).selectExpr(
+        "concat('r', id) id", "concat('p', id % 3) pattern_id", "'violin' instrument", "'note' difference_type",
+        "(id * 7919 % 1009) / 1009 min_omr_confidence", "(id * 104729 % 1013) / 1013 min_vision_confidence", "true is_active",
+        "timestamp_seconds(id * 37 % 100003) created_at")
+    eras = spark.createDataFrame([("p0", None), ("p1", "baroque"), ("p2", "")], "id string, era string")
+    (row,) = R.rule_candidates(rules, eras).collect()
+    front = []
+    for r in sorted(rules.collect(), key=lambda r: (r.created_at, r.id)):
+        era = "baroque" if r.pattern_id == "p1" else None
+        if not any(o <= r.min_omr_confidence and v <= r.min_vision_confidence and e in (None, era) for _, o, v, e in front):
+            front.append((r.id, r.min_omr_confidence, r.min_vision_confidence, era))
+    assert [(c["first"].id, c.min_omr_confidence, c.min_vision_confidence, c.rule_era) for c in row.candidates] == front
+    assert len(front) < 200
+
+
+def test_the_front_picks_what_all_rules_would(spark):
+    rnd = random.Random(12)
+    rows = [rule(f"p{k}", id=f"r{k}", instrument=rnd.choice(["violin", None]), min_omr_confidence=rnd.choice([0.2, 0.4, 0.6, 0.8]),
+                 min_vision_confidence=rnd.choice([0.1, 0.5, 0.9]), created_at=T0 + dt.timedelta(minutes=rnd.randrange(40))) for k in range(60)]
+    eras = [(f"p{k}", rnd.choice([None, "", "baroque", "modern"])) for k in range(60)]
+    diffs = [(str(k), rnd.choice(["violin", "piano"]), "note", rnd.random(), rnd.random(), rnd.choice([None, "baroque", "modern"])) for k in range(400)]
+    candidates = R.rule_candidates(rule_table(spark, rows), spark.createDataFrame(eras, "id string, era string"))
+    table = spark.createDataFrame(diffs, "id string, instrument string, difference_type string, omr_confidence double, vision_confidence double, era string")
+    got = {r.id: r.auto_accept_rule_id for r in R.auto_accept(table, candidates).collect()}
+    era_of = {p: e or None for p, e in eras}
+    for i, instrument, _, omr, vision, era in diffs:
+        fit = [(r["created_at"], r["id"]) for r in rows if r["instrument"] in (None, instrument) and omr >= r["min_omr_confidence"]
+               and vision >= r["min_vision_confidence"] and (era_of[r["pattern_id"]] in (None, era) or era is None)]
+        assert got[i] == (min(fit)[1] if fit else None)

@@ -11,7 +11,7 @@ from correctionlab.operators import access as A
 from correctionlab.operators import decisions as D
 from correctionlab.operators import patterns as P
 from correctionlab.operators import rules as R
-from correctionlab.sources import writers
+from correctionlab.sources import ledgers, writers
 from correctionlab.streaming import access as SA
 from correctionlab.streaming import decisions as SD
 from correctionlab.streaming import learning as SL
@@ -43,7 +43,9 @@ def test_latest_decisions(spark, tmp_path):
     good, _ = D.validate_decisions(log)
     want = {r.diff_id: r.asDict(True) for r in D.latest_decisions(good).collect()}
     assert got == want and len(got) > 30
-    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    assert sorted(writers.committed(spark, f"{tmp_path}/out/deltas")) == [1, 2, 3]
+    assert SD.compact_decisions(spark, str(tmp_path / "out")) == 3
+    assert {r.diff_id: r.asDict(True) for r in SD.read_latest_decisions(spark, str(tmp_path / "out")).collect()} == want
 
 
 def test_learning_folds_batches_and_ignores_repeats(spark, tmp_path):
@@ -97,14 +99,87 @@ def test_settlement_with_repeated_webhooks(spark, tmp_path):
     grants = spark.createDataFrame([("u0", "s0", "vision_comparison", "payment", T0)],
                                    "user_id string, score_id string, feature string, access_type string, granted_at timestamp")
     root = str(tmp_path / "state")
-    writers.write_snapshot(payments, f"{root}/payments", 0)
-    writers.write_snapshot(grants, f"{root}/score_access", 0)
+    SA.start_books(payments, grants, root)
     SA.start_settlement(as_stream(spark, df, tmp_path / "in", 3), root, str(tmp_path / "cp")).awaitTermination()
     done = A.completions(df)
-    paid = {r.id: r.payment_intent for r in writers.read_snapshot(spark, f"{root}/payments").where("status = 'completed'").collect()}
-    assert paid == {r.id: r.payment_intent for r in A.reconcile_payments(payments, done).where("status = 'completed'").collect()}
     key = lambda x: sorted((r.user_id, r.score_id) for r in x.collect())
-    assert key(writers.read_snapshot(spark, f"{root}/score_access")) == key(A.grant_access(grants, done))
+    for _ in range(2):  # before and after folding
+        paid = {r.id: (r.payment_intent, r.completed_at) for r in SA.payments_now(spark, root).where("status = 'completed'").collect()}
+        want = A.reconcile_payments(payments, done).where("status = 'completed'").collect()
+        assert paid == {r.id: (r.payment_intent, r.completed_at) for r in want} and len(paid) == 30
+        assert key(SA.score_access_now(spark, root)) == key(A.grant_access(grants, done))
+        SA.compact_books(spark, root)
+    assert SA.payments_now(spark, root).columns == payments.columns
+    # a completion from before those folded in changes nothing, a later one does
+    late = [(100, T0 - dt.timedelta(days=1), body(1), 0), (101, T0 + dt.timedelta(days=1), body(2).replace("pi_2", "pi_x"), 0)]
+    SA.settle_batch(root)(A.completions(spark.createDataFrame(late, df.schema)), 3)
+    now = {r.id: r for r in SA.payments_now(spark, root).collect()}
+    assert now["p1"].completed_at > T0 and now["p2"].payment_intent == "pi_x"
+
+
+def test_a_settlement_batch_reads_no_table_and_writes_its_own_rows(spark, tmp_path):
+    root = str(tmp_path / "state")
+    payments = spark.range(5_000).selectExpr("concat('p', id) id", "concat('cs_', id) session_id", "'pending' status", "cast(null as string) payment_intent", "cast(null as timestamp) completed_at")
+    grants = spark.createDataFrame([], "user_id string, score_id string, feature string, access_type string, granted_at timestamp")
+    SA.start_books(payments, grants, root)
+    events = spark.createDataFrame([(1, T0, "cs_7", "pi", "u", "s"), (2, T0, "cs_7", "pj", "u", "s"), (3, T0, "cs_9", "pk", "u", "s")],
+                                   "event_id long, ts timestamp, session_id string, payment_intent string, user_id string, score_id string")
+    (tmp_path / "state" / "payments" / "base").rename(tmp_path / "hidden")  # nothing to read there
+    for _ in range(2):
+        SA.settle_batch(root)(events, 0)
+    (tmp_path / "hidden").rename(tmp_path / "state" / "payments" / "base")
+    assert ledgers.deltas(spark, f"{root}/payments").count() == 2 and ledgers.deltas(spark, f"{root}/score_access").count() == 1
+    assert SA.payments_now(spark, root).where("status = 'completed'").count() == 2
+    assert {r.payment_intent for r in SA.payments_now(spark, root).where("status = 'completed'").collect()} == {"pj", "pk"}
+    SA.compact_books(spark, root)
+    ledgers.expire_ledger(spark, f"{root}/payments")
+    assert list(writers.committed(spark, f"{root}/payments/base")) == [1]
+    assert SA.payments_now(spark, root).where("status = 'completed'").count() == 2
+
+
+def test_late_decisions_count_by_their_time_and_no_state_is_held(spark, tmp_path):
+    def part(rows):
+        full = [(d, "s", decision, None, "single", T0 + dt.timedelta(minutes=m), m) for d, decision, m in rows]
+        spark.createDataFrame(full, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = SD.start_latest_decisions(spark.readStream.schema(LOG).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"] == []
+
+    part([(f"d{k}", "accept", k + 10) for k in range(20)])
+    assert SD.compact_decisions(spark, str(tmp_path / "out")) == 1
+    part([("d1", "reject", 1), ("d2", "reject", 90)])  # d1's is late, d2's is not
+    assert ledgers.deltas(spark, str(tmp_path / "out"), after=1).count() == 2
+    got = {r.diff_id: r.last.decision for r in SD.read_latest_decisions(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 20 and got["d1"] == "accept" and got["d2"] == "reject"
+
+
+def test_rules_that_appear_while_diffs_wait(spark, tmp_path):
+    diff = "id string, instrument string, difference_type string, omr_confidence double, vision_confidence double"
+    rule = "id string, pattern_id string, instrument string, difference_type string, min_omr_confidence double, min_vision_confidence double, is_active boolean, created_at timestamp"
+    none = spark.createDataFrame([("p", None)], "id string, era string")
+    r1 = ("r1", "p", None, "note", 0.5, 0.5, True, T0)
+    r2 = ("r2", "p", "piano", "slur", 0.5, 0.5, True, T0 + dt.timedelta(days=1))
+    candidates = lambda *rules: R.rule_candidates(spark.createDataFrame(list(rules), rule), none)
+    root = str(tmp_path / "state")
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), diff).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(diff).parquet(str(tmp_path / "in"))
+        SL.start_live_accept(stream, root, str(tmp_path / "cp")).awaitTermination()
+        return {r.id: r.auto_accept_rule_id for r in SL.matches_now(spark, root).collect()}
+
+    assert arrive(("a", "piano", "slur", 0.9, 0.9), ("b", "piano", "note", 0.9, 0.9)) == {"a": None, "b": None}
+    SL.publish_rules(candidates(r1), root, 1)
+    assert arrive(("c", "violin", "note", 0.9, 0.9)) == {"a": None, "b": "r1", "c": "r1"}
+    SL.compact_matches(spark, root)
+    SL.publish_rules(candidates(r1, r2), root, 2)
+    final = arrive(("d", "piano", "slur", 0.1, 0.9), ("e", None, "slur", 0.9, 0.9))
+    assert final == {"a": "r2", "b": "r1", "c": "r1", "d": None, "e": None}
+    # the last batch once more, and one without rules that are new
+    SL.match_batch(root)(spark.createDataFrame([("d", "piano", "slur", 0.1, 0.9)], diff), 2)
+    SL.match_batch(root)(spark.createDataFrame([], diff), 3)
+    assert {r.id: r.auto_accept_rule_id for r in SL.matches_now(spark, root).collect()} == final
+    assert {r.id for r in SL.waiting_diffs(spark, root).collect()} == {"d", "e"}
 
 
 def test_limits_come_out_once_their_window_is_closed(spark, tmp_path):
