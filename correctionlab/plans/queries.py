@@ -465,12 +465,12 @@ def inject_headers(spark, sf_dir):
 
 @query
 def sqlite_tables(spark, sf_dir):
-    """Diffs written to SQLite files and read back in ranges of row ids; the filter runs in SQLite."""
+    """Diffs written to SQLite files and read back in ranges of row ids; conditions run in SQLite."""
     folder = scratch_path(spark, "sqlite")
     kept = ("id", "score_id", "measure_number", "difference_type", "omr_confidence", "auto_accepted", "human_decision", "human_reviewed_at")
     sqlite.write_sqlite(fx.diffs(spark, sf_dir).select(*kept).repartition(8), folder, "diffs")
-    read = sqlite.load_sqlite(spark, folder, "diffs", rowsPerPartition="20000")
-    return read.where("measure_number >= 2 and difference_type in ('note', 'rhythm', 'slur') and human_decision is not null")
+    where = [("measure_number", ">=", 2), ("difference_type", "in", ["note", "rhythm", "slur"]), ("human_decision", "not null")]
+    return sqlite.load_sqlite(spark, folder, "diffs", where=where, rowsPerPartition="20000")
 
 
 # --- streams: each runs over the whole table until nothing is left ------------------------------

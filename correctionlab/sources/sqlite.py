@@ -1,7 +1,7 @@
 """Domain tables in SQLite files, as a Spark data source (S1).
 
+    load_sqlite(spark, folder, "diffs", schemas.DIFFS, where=[("measure_number", ">=", 2), ("human_decision", "not null")])
     register_sqlite(spark)
-    spark.read.format("sqlite").schema(schemas.DIFFS).options(path=folder, table="diffs").load()
     df.write.format("sqlite").options(path=folder, table="diffs").mode("append").save()
 
 `path` is one SQLite file or a folder of them, on storage that all executors mount. Each file is read in ranges of its row ids, a
@@ -12,6 +12,7 @@ file a task, which appears in the folder when the job commits.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import sqlite3
 import uuid
@@ -20,8 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In,
-    InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
 ROWS_AT_ONCE = 10_000
@@ -33,7 +33,7 @@ COLUMN_TYPES = {
     T.TimestampType: "DATETIME", T.TimestampNTZType: "DATETIME",
 }
 SPARK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "REAL": "double", "FLOAT": "double", "BOOLEAN": "boolean", "DATETIME": "timestamp_ntz"}
-COMPARISONS = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+COMPARISONS = ("=", "<>", ">", ">=", "<", "<=")
 COMPARED = (T.StringType, T.IntegerType, T.LongType, T.DoubleType, T.BooleanType)
 
 
@@ -56,6 +56,30 @@ def opened(file: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{file}?mode=ro", uri=True)
 
 
+def conditions_of(where: list, columns: T.StructType) -> tuple[list[str], list]:
+    """SQL conditions and their values for (column, comparison) or (column, comparison, value).
+
+    Comparisons are = <> > >= < <=, in, null and not null, of columns of the schema; text compares by bytes, as in Spark. Times are text
+    in SQLite and are not compared here.
+    """
+    found, values = [], []
+    for name, how, *value in where:
+        kind = type(columns[name].dataType)
+        if how in ("null", "not null"):
+            found.append(f"{quoted(name)} IS {how.upper()}")
+        elif kind not in COMPARED:
+            raise ValueError(f"{name} can't be compared in SQLite")
+        elif how == "in":
+            found.append(f"{quoted(name)} IN ({', '.join('?' * len(value[0]))})")
+            values += value[0]
+        elif how in COMPARISONS:
+            found.append(f"{quoted(name)} {how} ?")
+            values += value
+        else:
+            raise ValueError(f"no comparison {how}")
+    return found, values
+
+
 @dataclass
 class RowRange(InputPartition):
     """Rows of one file with row ids in [low, high]."""
@@ -92,29 +116,7 @@ class SQLiteReader(DataSourceReader):
     def __init__(self, options: dict[str, str], columns: T.StructType):
         self.path, self.table, self.columns = options["path"], options["table"], columns
         self.rows = int(options.get("rowsPerPartition", PARTITION_ROWS))
-        self.conditions: list[str] = []
-        self.values: list = []
-
-    def pushFilters(self, filters):  # noqa: N802 (name of the base class)
-        """Take the filters that mean the same in SQLite: comparisons of text by bytes, numbers and truth values, null tests."""
-        for f in filters:
-            path = getattr(f, "attribute", ())  # a negation has none
-            field = path[0] if len(path) == 1 else None
-            kind = type(self.columns[field].dataType) if field in self.columns.names else None
-            name = quoted(field or "")
-            if isinstance(f, (IsNull, IsNotNull)) and kind:
-                self.conditions.append(f"{name} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL")
-            elif type(f) in COMPARISONS and kind in COMPARED and f.value == f.value:
-                self.conditions.append(f"{name} {COMPARISONS[type(f)]} ?")
-                self.values.append(f.value)
-            elif isinstance(f, In) and kind in COMPARED and 0 < len(f.value) <= 500:
-                self.conditions.append(f"{name} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            elif isinstance(f, StringContains) and kind is T.StringType:
-                self.conditions.append(f"instr({name}, ?) > 0")
-                self.values.append(f.value)
-            else:
-                yield f
+        self.conditions, self.values = conditions_of(json.loads(options.get("where", "[]")), columns)
 
     def partitions(self) -> list[RowRange]:
         """Even ranges of row ids, about `rowsPerPartition` rows each where ids are dense; the bounds come from each file's index."""
@@ -206,15 +208,19 @@ class SQLiteWriter(DataSourceArrowWriter):
 
 
 def register_sqlite(spark: SparkSession) -> None:
-    """Make format "sqlite" known to a session, filters included."""
+    """Make format "sqlite" known to a session."""
     spark.dataSource.register(SQLiteSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def load_sqlite(spark: SparkSession, path: str, table: str, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
-    """A table of SQLite files; times are those of UTC. Without a schema the declared columns of the first file are read."""
+def load_sqlite(
+    spark: SparkSession, path: str, table: str, schema: T.StructType | str | None = None, where: list[tuple] = (), **options: str
+) -> DataFrame:
+    """A table of SQLite files; times are those of UTC. Without a schema the declared columns of the first file are read.
+
+    `where` holds conditions that all must be true, for `conditions_of`; they run in SQLite.
+    """
     register_sqlite(spark)
-    reader = spark.read.format("sqlite").options(path=path, table=table, **options)
+    reader = spark.read.format("sqlite").options(path=path, table=table, where=json.dumps(list(where)), **options)
     return (reader.schema(schema) if schema is not None else reader).load()
 
 

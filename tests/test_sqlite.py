@@ -38,23 +38,24 @@ def test_ranges_filters_and_columns_of_a_file_made_elsewhere(spark, tmp_path):
     assert table.rdd.getNumPartitions() == 8 and table.count() == 799
     assert [f.dataType.simpleString() for f in table.schema] == ["string", "int", "string", "timestamp_ntz"]
     all_rows = [r.asDict() for r in table.collect()]
-    for condition, python in [("n >= 3 and n < 5", lambda r: 3 <= r["n"] < 5), ("kind = 'note'", lambda r: r["kind"] == "note"), ("kind is null", lambda r: r["kind"] is None),
-                              ("n in (1, 2) and kind <=> 'Note'", lambda r: r["n"] in (1, 2) and r["kind"] == "Note"), ("kind like '%ot%' and not n = 3", lambda r: "ot" in (r["kind"] or "") and r["n"] != 3),
-                              ("kind > 'Z' or n = 1", lambda r: (r["kind"] or "") > "Z" or r["n"] == 1), ("at > timestamp_ntz'2024-05-01 09:00:00'", lambda r: True)]:
-        assert sorted(r["id"] for r in table.where(condition).collect()) == sorted(r["id"] for r in all_rows if python(r)), condition
+    for where, python in [([("n", ">=", 3), ("n", "<", 5)], lambda r: 3 <= r["n"] < 5), ([("kind", "=", "note")], lambda r: r["kind"] == "note"),
+                          ([("kind", "null")], lambda r: r["kind"] is None), ([("n", "in", [1, 2]), ("kind", "not null")], lambda r: r["n"] in (1, 2) and r["kind"]),
+                          ([("kind", ">", "Z")], lambda r: (r["kind"] or "") > "Z"), ([("id", "<>", "d1' or '1")], lambda r: True)]:
+        got = S.load_sqlite(spark, str(file), "diffs", where=where, rowsPerPartition="300")
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in all_rows if python(r)), where
+    assert sorted(r["id"] for r in table.where("kind > 'Z' or n = 1").collect()) == sorted(r["id"] for r in all_rows if (r["kind"] or "") > "Z" or r["n"] == 1)
     narrow = S.load_sqlite(spark, str(file), "diffs", "n int")
     assert narrow.agg(F.sum("n")).first()[0] == sum(r["n"] for r in all_rows)
 
 
-def test_filters_reach_sqlite():
+def test_conditions_become_sql_with_values_apart():
     from pyspark.sql import types as T
-    from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
 
-    columns = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType()), T.StructField("at", T.TimestampType())])
-    reader = S.SQLiteReader({"path": "x", "table": "t"}, columns)
-    filters = [EqualTo(("n",), 3), GreaterThan(("at",), T0), StringStartsWith(("s",), "a"), EqualTo(("s",), "it's")]
-    assert list(reader.pushFilters(filters)) == filters[1:3]
-    assert reader.conditions == ['"n" = ?', '"s" = ?'] and reader.values == [3, "it's"]
+    columns = T.StructType([T.StructField("n", T.IntegerType()), T.StructField('s"x', T.StringType()), T.StructField("at", T.TimestampType())])
+    assert S.conditions_of([("n", "=", 3), ('s"x', "in", ["it's"])], columns) == (['"n" = ?', '"s""x" IN (?)'], [3, "it's"])
+    for wrong in (("at", "=", "2024"), ("n", "= 1 or", 1)):
+        with pytest.raises(ValueError):
+            S.conditions_of([wrong], columns)
 
 
 def test_a_failed_write_leaves_nothing(spark, tmp_path, rows):
