@@ -176,12 +176,19 @@ class Aligner:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 4_000):
-            some = new[lo:lo + 4_000]
+        # white space at an end would run together with the next segment's space
+        apart = [x for x in new if x[:1].isspace() or x[-1:].isspace() or "▁" in x]
+        alone = set(apart)
+        joined = [x for x in new if x not in alone]
+        for lo in range(0, len(joined), 4_000):
+            some = joined[lo:lo + 4_000]
             told = self._line(some)
-            if told is None:  # some bytes differ: each for itself
-                told = [(self._line([x]) or [None])[0] for x in some]
-            self.met.update(zip(some, told))
+            if told is None:  # some bytes differ
+                apart += some
+            else:
+                self.met.update(zip(some, told))
+        for x in apart:
+            self.met[x] = (self._line([x]) or [None])[0]
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """For each text (n_a, n_b, n_groups, n_links, groups as text, pairs, how often each is linked)."""

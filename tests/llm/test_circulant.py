@@ -1,0 +1,89 @@
+import random
+
+import numpy as np
+from correctionlab.llm import circulant as C
+from correctionlab.llm.near_sets import shingle_set
+from test_near_copies import shingles
+
+
+def grouped(rows, least=85, of=100):
+    """doc_id to the smallest id that links reach, every pair compared; texts without words are alone."""
+    root, sets = {d: d for d, _ in rows}, [(d, shingles(t)) for d, t in rows]
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and root[a] != root[b] and of * len(x & y) >= least * len(x | y):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    return root
+
+
+def hard_texts(seed):
+    """Copies that drift from a text and from each other, groups that share half of their words, chains, and short texts."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randint(0, 9_999)}"
+    base = [word() for _ in range(150)]
+    drift = []
+    for _ in range(60):
+        one = list(base)
+        for _ in range(r.randint(0, 4)):
+            one[r.randrange(150)] = word()
+        drift.append(" ".join(one))
+    half = [" ".join(base[:75] + [word() for _ in range(r.randint(20, 75))]) for _ in range(40)]
+    chain = [" ".join(f"c{k}" for k in range(s, s + 80)) for s in range(0, 80, 4)]
+    short = [" ".join(["a", "b", "c", "d", "e", "f"][:k]) for k in range(7)] * 2 + ["A b  c", None, "", " \n"]
+    return drift + half + chain + short
+
+
+def test_groups_equal_all_pairs(spark, docs):
+    rows = list(enumerate(hard_texts(1)))
+    got = C.minhash_groups(docs([t for _, t in rows])).collect()
+    want = grouped(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert all(r["kept"] == (want[r["doc_id"]] == r["doc_id"]) and r["n_shingles"] == len(shingles(rows[r["doc_id"]][1])) for r in got)
+
+
+def test_small_cells_find_the_same(spark, docs):
+    from correctionlab.llm.near_sets import described, near_groups
+    from correctionlab.plans.sizing import cut_lineage
+
+    texts = hard_texts(2)
+    how, table = C.nearness(), docs(texts)
+    rows = cut_lineage(described(table, how), "described")
+    got = {r["doc_id"]: r["first"] for r in near_groups(table, rows, how, cell=7).where("n > 0").collect()}
+    want = grouped(list(enumerate(texts)))
+    assert got == {d: want[d] for d in got} and len(got) > 100
+
+
+def test_query_table_equals_all_links(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    assert {r["doc_id"]: r["component_id"] for r in C.minhash_groups(docs).collect()} == grouped(rows)
+
+
+def test_odd_rows(spark, odd, none):
+    got = C.minhash_groups(odd).collect()
+    assert len(got) == odd.count() and C.minhash_groups(none).count() == 0
+    of = {r["doc_id"]: r for r in got}
+    assert [of[k]["component_id"] for k in (0, 1, 2, 3)] == [0, 1, 2, 3] and of[0]["n_shingles"] == 0 and of[0]["kept"]
+    assert of[5]["component_id"] == 4 and not of[5]["kept"] and of[9]["component_id"] == 8
+    assert sum(r["doc_id"] == 4 and r["kept"] for r in got) == 3
+    nameless = [r for r in got if r["doc_id"] is None]
+    assert len(nameless) == 2 and all(r["component_id"] is None and r["kept"] for r in nameless)
+
+
+def test_coordinates_agree_as_often_as_sets_are_similar():
+    r = np.random.default_rng(3)
+    both, a, b = (r.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
+    x, y = (C.signature(np.unique(np.concatenate([both, z])), 4_096) for z in (a, b))
+    assert abs((x == y).mean() - 0.8) < 0.03
+
+
+def test_the_second_permutation_is_turned_and_loses_nothing():
+    x = np.arange(1 << 20, dtype=np.uint32)
+    assert len(np.unique(C.second_permutation(x.copy(), np.empty_like(x)))) == 1 << 20
+    tokens = shingle_set(b"one two three four five six seven", 5)
+    places = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    for k in (0, 1, 255):
+        turned = places - np.uint32(k)
+        assert C.signature(tokens)[k] == C.second_permutation(turned.copy(), np.empty_like(turned)).min()
+    assert len(set(C.band_keys(C.signature(tokens), 32, 8).tolist())) == 32
