@@ -31,3 +31,21 @@ def word_count(text: Column) -> Column:
 def uniform(*keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys alone; 52 bits of their hash."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 12).cast("double") / F.lit(float(1 << 52))
+
+
+def tidy(run):
+    """`run` over batches, so that a worker gives memory back to the system when its task ends; workers live on and serve other stages."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied

@@ -20,10 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from correctionlab.llm.common import tidy
 from correctionlab.llm.components import stars
 from correctionlab.plans.sizing import cut_lineage
 
 CELL = 1_024
+ROWS_AT_ONCE = 2_048
 FREQUENT_NODES = 10_000
 ROWS = "doc_id long, h long, node binary, n int, keys array<long>, sketch binary"
 
@@ -103,7 +105,7 @@ def described(docs: DataFrame, how: Nearness) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))), pa.array(sketches, pa.binary())],
                     names=["doc_id", "h", "node", "n", "keys", "sketch"])
 
-    return _identified(docs).mapInArrow(run, ROWS)
+    return _identified(docs).mapInArrow(tidy(run), ROWS)
 
 
 def _sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, how: Nearness) ->
     one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r"))
     one = cut_lineage(one.select(F.col("r.doc_id").alias("of"), F.col("r.h").alias("oh")), "wanted")
     texts = _identified(docs).join(one, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")), "left_semi").select("text")
-    return cut_lineage(texts.mapInArrow(run, "node binary, tokens array<long>").dropDuplicates(["node"]), "sets")
+    return cut_lineage(texts.mapInArrow(tidy(run), "node binary, tokens array<long>").dropDuplicates(["node"]), "sets")
 
 
 def _likely_pairs(pairs: DataFrame, rows: DataFrame, how: Nearness) -> DataFrame:
@@ -142,7 +144,7 @@ def _likely_pairs(pairs: DataFrame, rows: DataFrame, how: Nearness) -> DataFrame
 
     sketches = _sketches(rows, pairs.select("node").union(pairs.select("hub")).distinct())
     both = pairs.join(sketches.select("node", F.col("sketch").alias("y")), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("x")), "hub")
-    return cut_lineage(both.select("hub", "node", "x", "y").mapInArrow(run, "hub binary, node binary"), "pairs")
+    return cut_lineage(both.select("hub", "node", "x", "y").mapInArrow(tidy(run), "hub binary, node binary"), "pairs")
 
 
 def _hub_links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness, cell: int) -> DataFrame:
@@ -173,7 +175,7 @@ def _hub_links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
 
     held = work.join(_sets(docs, rows, work.select("node").distinct(), how), "node").withColumn("other", F.col("hub") != F.col("node"))
     cells = held.repartition("hub", "part").sortWithinPartitions("hub", "part", "other", "node").select("hub", "node", "tokens")
-    return cut_lineage(cells.mapInArrow(run, "a binary, b binary"), "links")
+    return cut_lineage(cells.mapInArrow(tidy(run), "a binary, b binary"), "links")
 
 
 def likely_places(group, root, sizes, sketches, how: Nearness):
@@ -204,7 +206,7 @@ def _cells_of(batches, columns: list[str]):
     import pyarrow.compute as pc
 
     held = None
-    for batch in batches:
+    for batch in (b.slice(lo, ROWS_AT_ONCE) for b in batches for lo in range(0, len(b), ROWS_AT_ONCE)):
         now = pa.Table.from_batches([batch]).select(columns)
         held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
         if not len(held):
@@ -287,9 +289,9 @@ def _open_links(left: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
         return rows_.repartition(*CELL_KEYS).sortWithinPartitions(*CELL_KEYS, "node")
 
     sketched = dealt.join(_sketches(rows, left.select("node").distinct()), "node").select(*columns)
-    alive = cut_lineage(in_cells(sketched).mapInArrow(keep, schema), "cells")
+    alive = cut_lineage(in_cells(sketched).mapInArrow(tidy(keep), schema), "cells")
     full = alive.join(_sets(docs, rows, alive.select("node").distinct(), how), "node").select(*columns, "tokens")
-    return cut_lineage(in_cells(full).mapInArrow(link, "a binary, b binary"), "links")
+    return cut_lineage(in_cells(full).mapInArrow(tidy(link), "a binary, b binary"), "links")
 
 
 def near_roots(docs: DataFrame, rows: DataFrame, how: Nearness, cell: int = CELL) -> DataFrame:
