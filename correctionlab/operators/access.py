@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,10 +145,39 @@ def over_limit(requests: DataFrame, limit: int, window: str) -> DataFrame:
     )
 
 
+def window_micros(window: str) -> int:
+    """The length of a window such as "15 minutes"."""
+    number, unit = window.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")] * 1_000_000
+
+
+def in_own_window(requests: DataFrame, limits: dict[str, tuple[int, str]]) -> DataFrame:
+    """The requests whose action has a limit, with its allowed number, window_start and window_end.
+
+    The window comes from its action's length by arithmetic, as `window` lays fixed windows: from the epoch, in UTC.
+    """
+    lengths = F.create_map(*[F.lit(x) for action, (_, w) in limits.items() for x in (action, window_micros(w))])
+    allowed = F.create_map(*[F.lit(x) for action, (limit, _) in limits.items() for x in (action, limit)])
+    zoned = dict(requests.dtypes)["ts"] == "timestamp"
+    micros = F.unix_micros("ts") if zoned else F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    length = F.col("_length")
+    return (
+        requests.withColumn("_length", F.element_at(lengths, F.col("action"))).where(length.isNotNull() & F.col("ts").isNotNull())
+        .withColumn("_past", F.pmod(micros, length))
+        .withColumn("allowed", F.element_at(allowed, F.col("action")))
+        .withColumn("window_start", F.expr("timestampadd(MICROSECOND, -_past, ts)"))
+        .withColumn("window_end", F.expr("timestampadd(MICROSECOND, _length - _past, ts)"))
+        .drop("_length", "_past")
+    )
+
+
 def over_request_limits(requests: DataFrame, limits: dict[str, tuple[int, str]] = V.REQUEST_LIMITS) -> DataFrame:
-    """Clients over the limit of an action, for requests (client, ts, action): each action has its own limit and window."""
-    over = [
-        over_limit(requests.where(F.col("action") == action), limit, window).select(F.lit(action).alias("action"), "*")
-        for action, (limit, window) in limits.items()
-    ]
-    return reduce(DataFrame.unionByName, over)
+    """Clients over the limit of an action, for requests (client, ts, action): each action has its own limit and window.
+
+    One scan and one shuffle for all actions; counts combine on the map side, so a busy client is one row a task and window.
+    """
+    return (
+        in_own_window(requests, limits).groupBy("action", "client", "window_start", "window_end")
+        .agg(F.count(F.lit(1)).alias("requests"), F.first("allowed").alias("allowed"))
+        .where(F.col("requests") > F.col("allowed")).drop("allowed")
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from correctionlab.functions import fixed_values as V
+from correctionlab.sources.fixtures import WORK_COMPOSERS
 
 AS_OF = "TIMESTAMP '2024-06-01 00:00:00'"
 EARLIER = "TIMESTAMP '1996-01-01 00:00:00'"
@@ -772,6 +773,37 @@ BODIES["inject_headers"] = r"""
         from documents))
 """
 
+BODIES["page_composers"] = f"""
+    select page_id, composer, {_era('composer', 'null')} as era from (
+      select page_id, case page_id % 7 when 4 then '' when 6 then '' when 0 then name when 2 then name when 5 then name else other end as composer
+      from (select page_id, names[page_id % 5 + 1] as name, names[(page_id + 1) % 5 + 1] as other
+        from pages, (select [{_quoted(WORK_COMPOSERS)}] as names)))
+"""
+BODIES["finetuning_hash_split"] = """
+    select count(*) as rows, count(*) filter (measure_number > 2) as compared, 0::bigint as moved,
+      true as train_fits, true as val_fits, true as test_fits
+    from diffs where human_decision in ('accept', 'edit') and pdf_snippet_path <> ''
+"""
+BODIES["prompt_performance"] = """
+    select concat('pv-', p_partkey) as id, p_size::int as version, greatest(p_size * 3 - 30, 0)::bigint as total_uses,
+      case when p_size * 3 - 30 > 0 then (p_partkey % 101) / 100.0::double end as accept_rate,
+      case when p_size * 3 - 30 > 0 then 1 - (p_partkey % 101) / 100.0::double end as reject_rate
+    from part where p_partkey % 3 <> 0
+"""
+BODIES["pdf_validity"] = """
+    select path, starts_with(content, '%PDF') as valid_pdf from uploads
+"""
+BODIES["webhook_files"] = """
+    select event_id, md5(concat('{"type":"', case when event_type in ('purchase', 'signup', 'error') then 'checkout.session.completed'
+        else 'checkout.session.expired' end, '","data":{"object":{"id":"', case when event_type = 'error' then 'cs_x' else 'cs_' end, event_id,
+      '","payment_intent":"pi_', event_id, '","metadata":{', case when event_type = 'signup' then '' else concat('"user_id":"', user_id, '",') end,
+      '"score_id":"', event_id, '"}}}}')) as body_md5
+    from events, (values (0), (1)) as twice(n)
+"""
+BODIES["stream_request_limits"] = f"""
+    select action, client::varchar as client, window_start, window_end, requests from ({BODIES['request_limits']})
+    where window_end <= (select max(ts) from events)
+"""
 BODIES["sqlite_tables"] = """
     select id, score_id, measure_number, difference_type, omr_confidence, auto_accepted, human_decision, human_reviewed_at
     from diffs where measure_number >= 2 and difference_type in ('note', 'rhythm', 'slur') and human_decision is not null

@@ -161,6 +161,11 @@ def diffs_of_score(spark, sf_dir):
     )
 
 
+@query
+def prompt_performance(spark, sf_dir):
+    return reports.prompt_performance(fx.prompt_versions(spark, sf_dir))
+
+
 @query
 def diff_context(spark, sf_dir):
     return reports.diff_context(fx.diffs(spark, sf_dir), fx.scores(spark, sf_dir)).select(
@@ -245,6 +250,18 @@ def finetuning_rows(spark, sf_dir):
     return training.finetuning_rows(fx.diffs(spark, sf_dir), fx.as_of())
 
 
+@query
+def finetuning_hash_split(spark, sf_dir):
+    """How many rows the split by key alone gives to each side, and that it depends on the key alone."""
+    rows = training.finetuning_rows(fx.diffs(spark, sf_dir), fx.as_of(), mode="hash").select("flagged_diff_id", "split")
+    fewer = training.finetuning_rows(fx.diffs(spark, sf_dir).where("measure_number > 2"), fx.as_of(), mode="hash").select("flagged_diff_id", F.col("split").alias("again"))
+    joined = rows.join(fewer, "flagged_diff_id", "left")
+    total = F.count(F.lit(1))
+    share = lambda s, low, high: (F.avg((F.col("split") == s).cast("int")).between(low, high)).alias(f"{s}_fits")
+    return joined.agg(total.alias("rows"), F.count("again").alias("compared"), F.count_if(F.col("split") != F.col("again")).alias("moved"),
+                      share("train", 0.77, 0.83), share("val", 0.08, 0.12), share("test", 0.08, 0.12))
+
+
 @query
 def append_finetuning(spark, sf_dir):
     before = F.lit(fx.EARLIER).cast("timestamp_ntz")
@@ -320,6 +337,12 @@ def page_metadata(spark, sf_dir):
     return catalogue.page_metadata(fx.pages(spark, sf_dir), PAGE_LAYOUT)
 
 
+@query
+def page_composers(spark, sf_dir):
+    """Composers from infobox, heading and categories, in that order."""
+    return catalogue.page_metadata(fx.work_pages(spark, sf_dir), PAGE_LAYOUT).select("page_id", "composer", "era")
+
+
 @query
 def url_file_names(spark, sf_dir):
     return catalogue.url_file_names(fx.pages(spark, sf_dir))
@@ -364,10 +387,7 @@ def rate_limit_windows(spark, sf_dir):
 @query
 def request_limits(spark, sf_dir):
     """The limits of the service; a few busy clients, each event a request for one action."""
-    events = fx.table(spark, sf_dir, "events")
-    actions = F.array(*[F.lit(a) for a in V.REQUEST_LIMITS])
-    return access.over_request_limits(events.select(
-        (F.col("user_id") % 2).alias("client"), "ts", F.get(actions, (F.col("event_id") % 3).cast("int")).alias("action")))
+    return access.over_request_limits(fx.action_requests(fx.table(spark, sf_dir, "events")))
 
 
 # --- documents -------------------------------------------------------------------------------
@@ -455,6 +475,19 @@ def document_validity(spark, sf_dir):
     return documents.validate_documents(readers.inspect(fx.documents(spark, sf_dir)))
 
 
+@query
+def pdf_validity(spark, sf_dir):
+    return documents.validate_pdfs(fx.uploads(spark, sf_dir))
+
+
+@query
+def webhook_files(spark, sf_dir):
+    """Webhook bodies written as JSON lines and read back."""
+    folder = scratch_path(spark, "webhooks")
+    fx.webhook_payloads(fx.table(spark, sf_dir, "events")).write.json(folder)
+    return readers.read_webhooks(spark, folder).select("event_id", F.md5("body").alias("body_md5"))
+
+
 @query
 def inject_headers(spark, sf_dir):
     injected = documents.inject_headers(
@@ -566,6 +599,23 @@ def stream_settlement(spark, sf_dir):
     ))
 
 
+@query
+def stream_request_limits(spark, sf_dir):
+    """All three limits in one operator; events arrive by time in three runs of the query."""
+    root = scratch_path(spark, "stream-request-limits")
+    events = fx.table(spark, sf_dir, "events")
+
+    def count():
+        arriving = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        access_streams.start_over_request_limits(fx.action_requests(arriving), "0 seconds", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+
+    for k in range(3):
+        events.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) == k).write.parquet(f"{root}/in/{k}")
+        count()
+    return spark.read.parquet(f"{root}/out").select(
+        "action", "client", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "requests")
+
+
 @query
 def stream_rate_limits(spark, sf_dir):
     root = scratch_path(spark, "stream-limits")

@@ -406,10 +406,49 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts")
 
 
+def action_requests(events: DataFrame) -> DataFrame:
+    """A few busy clients, each event a request for one action; `events` may be a stream."""
+    actions = F.array(*[F.lit(a) for a in V.REQUEST_LIMITS])
+    return events.select(
+        (F.col("user_id") % 2).alias("client"), "ts", F.get(actions, (F.col("event_id") % 3).cast("int")).alias("action"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+WORK_COMPOSERS = ("Johann Sebastian Bach", "W. A. Mozart", "Clara Schumann", "Erik Satie", "Georg Philipp Telemann")
+
+
+def work_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages below heads that tell a composer: in an infobox, in the heading, by categories, wrongly, or not at all.
+
+    Nested tables, cells without an end tag, other rows before, and pages where several places name one.
+    """
+    names = F.array(*[F.lit(n) for n in WORK_COMPOSERS])
+    name, other = (F.element_at(names, ((F.col("page_id") + k) % 5 + 1).cast("int")) for k in (0, 1))
+    cell = F.concat(F.lit("<table class='box'><tr><th>Key<td>C minor</tr><tr><th scope='row'> COMPOSER </th><td><a href='/p'>"), name, F.lit("</a></td></tr></table>"))
+    heading = F.concat(F.lit("<h1 id='top' class='firstHeading big'>Suite no. "), F.col("page_id").cast("string"), F.lit(" ("), other, F.lit(")</h1>"))
+    generic = "<a href='/wiki/Category:Piano_works'>For piano</a><a href=\"/wiki/Category:Baroque\">Baroque style</a>"
+    category = F.concat(F.lit(generic), F.lit("<a title='x' href='/wiki/Category:N'> "), name, F.lit(" </a>"))
+    head = (
+        F.when(F.expr("page_id % 7 = 0"), F.concat(heading, cell, category)).when(F.expr("page_id % 7 = 1"), F.concat(heading, category))
+        .when(F.expr("page_id % 7 = 2"), category).when(F.expr("page_id % 7 = 3"), F.concat(F.lit("<table><tr><th>Composer</th><td> </td></tr></table>"), heading))
+        .when(F.expr("page_id % 7 = 4"), F.lit(generic)).when(F.expr("page_id % 7 = 5"), F.concat(F.lit("<!-- "), cell, F.lit(" -->"), category))
+        .otherwise(F.lit("<h1 class='firstHeading'>Suite (unfinished) in C</h1>"))
+    )
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(head, "html").alias("html"))
+
+
+def prompt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt version for each part, with rates where it was used."""
+    used = F.col("p_size") * 3 - 30
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("pv-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("int").alias("version"), F.col("p_name").alias("prompt_text"),
+        F.greatest(used, F.lit(0)).cast("bigint").alias("total_uses"), (F.col("p_partkey") % 3 != 0).alias("is_active"), F.lit(EARLIER).cast("timestamp_ntz").alias("created_at"),
+        F.when(used > 0, (F.col("p_partkey") % 101) / F.lit(100.0)).alias("accept_rate"), F.when(used > 0, F.lit(1.0) - (F.col("p_partkey") % 101) / F.lit(100.0)).alias("reject_rate"))
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files made of whole document texts: some with a magic prefix, some only with a suffix."""
     head = """

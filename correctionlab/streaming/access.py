@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from correctionlab.functions import fixed_values as V
 from correctionlab.operators.access import (
-    completed_sessions, completions, merge_completed, merge_grants, new_grants, over_limit,
+    completed_sessions, completions, in_own_window, merge_completed, merge_grants, new_grants, over_limit,
 )
 from correctionlab.sources import ledgers
 
@@ -78,3 +79,52 @@ def start_over_limit(
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+OPEN_WINDOWS = "starts array<long>, ends array<long>, counts array<long>, allowed long"
+CLOSED = "action string, client string, start long, end long, requests long"
+
+
+def count_windows(key, batches, state):
+    """Open windows of one client and action, in ms; a window over its limit comes out when the watermark has passed its end."""
+    import pandas as pd
+
+    starts, ends, counts, allowed = state.get if state.exists else ((), (), (), 0)
+    held = {int(s): [int(e), int(n)] for s, e, n in zip(starts, ends, counts)}
+    if not state.hasTimedOut:
+        for rows in batches:
+            for (start, end, limit), n in rows.groupby(["start", "end", "allowed"]).size().items():
+                held.setdefault(int(start), [int(end), 0])[1] += int(n)
+                allowed = int(limit)
+    mark = state.getCurrentWatermarkMs()
+    closed = [(s, e, n) for s, (e, n) in sorted(held.items()) if e <= mark]
+    held = {s: x for s, x in held.items() if x[0] > mark}
+    if held:
+        state.update(([*held], [e for e, _ in held.values()], [n for _, n in held.values()], allowed))
+        state.setTimeoutTimestamp(max(min(e for e, _ in held.values()) - 1, mark + 1))
+    elif state.exists:
+        state.remove()
+    told = [(*key, s, e, n) for s, e, n in closed if n > allowed]
+    if told:
+        yield pd.DataFrame(told, columns=[c.split()[0] for c in CLOSED.split(", ")])
+
+
+def start_over_request_limits(
+    requests: DataFrame, delay: str, path: str, checkpoint: str,
+    limits: dict[str, tuple[int, str]] = V.REQUEST_LIMITS, **trigger: object,
+) -> StreamingQuery:
+    """Append (action, client, window_start, window_end, requests) over the limit of their action once their window is closed.
+
+    One operator keeps the open windows of all actions, whatever their lengths; a timer in event time closes them. Requests later than
+    `delay` are dropped. A client's state is its open windows alone.
+    """
+    timed = requests.select(F.col("client").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), "action").withWatermark("ts", delay)
+    placed = in_own_window(timed, limits).select(
+        "action", "client", "ts", F.unix_millis("window_start").alias("start"), F.unix_millis("window_end").alias("end"), F.col("allowed").cast("long").alias("allowed"))
+    closed = placed.groupBy("action", "client").applyInPandasWithState(count_windows, CLOSED, OPEN_WINDOWS, "append", "EventTimeTimeout")
+    told = closed.select(
+        "action", "client", F.timestamp_millis("start").alias("window_start"), F.timestamp_millis("end").alias("window_end"), "requests")
+    return (
+        told.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )

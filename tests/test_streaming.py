@@ -215,3 +215,22 @@ def test_learning_update_by_hand(spark, tmp_path, versions):
     assert rule.is_active and rule.current_confirmations == 12
     (pattern,) = writers.read_snapshot(spark, f"{tmp_path}/patterns").collect()
     assert pattern.pattern_description.startswith("Auto-accept note differences for violin")
+
+
+def test_limits_of_all_actions_in_one_operator(spark, tmp_path):
+    limits = {"a": (2, "1 hour"), "b": (1, "15 minutes"), "c": (3, "1 day")}
+    rnd = random.Random(3)
+    rows = sorted((rnd.randrange(60 * 60), rnd.choice(["x", "y"]), rnd.choice(["a", "b", "c", "other"])) for _ in range(300))
+    schema = "client string, ts timestamp, action string"
+    everything = [(c, T0 + dt.timedelta(minutes=m), a) for m, c, a in rows]
+    got = []
+    for lo in range(0, 300, 100):
+        spark.createDataFrame(everything[lo:lo + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        SA.start_over_request_limits(stream, "1 hour", str(tmp_path / "out"), str(tmp_path / "cp"), limits).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("action", "client", "window_start", "window_end", "requests").collect()))
+    batch = A.over_request_limits(spark.createDataFrame(everything, schema), limits).select("action", "client", "window_start", "window_end", "requests")
+    closed = max(r[1] for r in everything) - dt.timedelta(hours=1)
+    assert got == sorted(tuple(r) for r in batch.collect() if r.window_end <= closed) and len({r[0] for r in got}) == 3
+    plain = [A.over_limit(spark.createDataFrame(everything, schema).where(F.col("action") == a), n, w).collect() for a, (n, w) in limits.items()]
+    assert sorted((r.client, r.window_start, r.requests) for x in plain for r in x) == sorted((r.client, r.window_start, r.requests) for r in batch.collect())
