@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from correctionlab.operators import documents as D
 from correctionlab.plans.sizing import cut_lineage
 from correctionlab.sources import readers, writers
+from correctionlab.sources.containers import write_containers
 
 
 def located_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
@@ -48,18 +49,30 @@ def corrected_documents(
 
 
 def export_scores(
-    documents: DataFrame, diffs: DataFrame, path: str, with_parts: bool = False, comment_label: str = "edit"
+    documents: DataFrame, diffs: DataFrame, path: str, with_parts: bool = False, comment_label: str = "edit",
+    in_containers: bool = False,
 ) -> DataFrame:
     """Write corrected documents below `path`/scores, and with `with_parts` part documents below `path`/parts.
 
+    With `in_containers` many documents share a file and an index tells where each lies (`sources.containers`); else each has a
+    folder of its own.
+
     Returns the edits that had no target measure. Part documents are made of every document that can be
     taken apart, so they need all pieces.
     """
     lines, located, pieces = corrected_documents(documents, diffs, comment_label)
-    writers.write_corrected(cut_lineage(lines, "lines"), f"{path}/scores")
+    lines = cut_lineage(lines, "lines")
+    if in_containers:
+        write_containers(lines, f"{path}/scores", ["score_id"], ["section", "seq"])
+    else:
+        writers.write_corrected(lines, f"{path}/scores")
     if with_parts:
         pieces = cut_lineage(readers.shred(documents), "pieces", "kind")
         corrected = D.apply_edits(readers.measures_of(pieces), located, comment_label)
         parts = D.extract_parts(readers.heads_of(pieces), readers.parts_of(pieces), corrected)
-        writers.write_parts(cut_lineage(parts, "part-lines"), f"{path}/parts")
+        parts = cut_lineage(parts, "part-lines")
+        if in_containers:
+            write_containers(parts, f"{path}/parts", ["score_id", "file_name"], ["section", "seq"])
+        else:
+            writers.write_parts(parts, f"{path}/parts")
     return located.where("measure_seq is null")

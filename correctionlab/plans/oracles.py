@@ -804,6 +804,10 @@ BODIES["stream_request_limits"] = f"""
     select action, client::varchar as client, window_start, window_end, requests from ({BODIES['request_limits']})
     where window_end <= (select max(ts) from events)
 """
+BODIES["document_containers"] = f"""
+    select score_id, sum(octet_length(encode(line)) + 1)::bigint as bytes, md5(string_agg(line || chr(10), '' order by section, seq)) as content_md5
+    from ({BODIES['corrected_lines']}) group by score_id
+"""
 BODIES["sqlite_tables"] = """
     select id, score_id, measure_number, difference_type, omr_confidence, auto_accepted, human_decision, human_reviewed_at
     from diffs where measure_number >= 2 and difference_type in ('note', 'rhythm', 'slur') and human_decision is not null

@@ -13,7 +13,7 @@ from correctionlab.operators import responses, rules, training
 from correctionlab.plans.export import corrected_documents, located_edits
 from correctionlab.plans.sizing import broadcast_within, cut_lineage, scratch_path
 from correctionlab.sources import fixtures as fx
-from correctionlab.sources import readers, sqlite, writers
+from correctionlab.sources import containers, readers, sqlite, writers
 from correctionlab.streaming import access as access_streams
 from correctionlab.streaming import decisions as decision_streams
 from correctionlab.streaming import learning as learning_streams
@@ -457,6 +457,16 @@ def corrected_lines(spark, sf_dir):
     return corrected_documents(fx.documents(spark, sf_dir), fx.diffs(spark, sf_dir))[0]
 
 
+@query
+def document_containers(spark, sf_dir):
+    """The whole export in container files, each document read back by its stretches of bytes."""
+    folder = scratch_path(spark, "containers")
+    index = containers.write_containers(corrected_lines(spark, sf_dir), folder, ["score_id"], ["section", "seq"])
+    pieces = containers.read_pieces(index, folder).groupBy("score_id").agg(
+        F.array_sort(F.collect_list(F.struct("file", "content"))).alias("pieces"), F.sum("length").alias("bytes"))
+    return pieces.select("score_id", "bytes", F.md5(F.array_join("pieces.content", "")).alias("content_md5"))
+
+
 @query
 def part_document_lines(spark, sf_dir):
     pieces = cut_lineage(_shredded(spark, sf_dir), "pieces", "kind")
