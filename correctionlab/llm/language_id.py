@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from correctionlab.llm.common import uniform
+from correctionlab.plans.sizing import cut_lineage
 
 SAMPLE_ROWS = 2_400
 BITS = 12                 # 2^BITS hashed n-grams
@@ -24,11 +25,12 @@ CHARS_AT_ONCE = 1 << 20
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
 AMBIGUOUS = 0.5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    """Whether some character is a letter; signs such as fractions and Roman or raised numbers are none."""
+    return bool(text) and any(m.group().isalpha() for m in LETTER_OR_NUMBER.finditer(text))
 
 
 def ngram_counts(text: str):
@@ -133,15 +135,14 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["place", "lang", "features"])
 
     sample = known.withColumn("place", uniform(F.lit("language"), F.col("id"))).where(F.col("place") < fraction).select("place", "lang", "text")
-    got: dict[str, list] = {}
-    for r in sample.mapInArrow(run, "place double, lang string, features binary").toLocalIterator():
-        got.setdefault(r["lang"], []).append((r["place"], bytes(r["features"])))
-    chosen = [(lang, c) for lang in sorted(got) for _, c in sorted(got[lang])[:each]]
-    got.clear()
+    # one job over all partitions writes at most about 2 * rows + 20 a language; the first of each language come to the driver
+    drawn = cut_lineage(sample.mapInArrow(run, "place double, lang string, features binary"), "training")
+    first = Window.partitionBy("lang").orderBy("place", "features")
+    chosen = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).orderBy("lang", "k").select("lang", "features").collect()
     table = np.zeros((len(chosen), 1 << BITS), np.float32)
-    for k, (_, c) in enumerate(chosen):
-        table[k] = np.frombuffer(c, np.float16)
-    return fit([lang for lang, _ in chosen], table)
+    for k, r in enumerate(chosen):
+        table[k] = np.frombuffer(r["features"], np.float16)
+    return fit([r["lang"] for r in chosen], table)
 
 
 def predict(model: dict) -> object:
@@ -181,7 +182,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """`docs` without those whose language can't be told: no letter, or an ambiguous answer."""
+    """`docs` without those whose language can't be told: null or empty text, no letter, or an ambiguous answer.
+
+    Rows are judged one by one, so repeated ones stay or go together; an empty table stays one, other columns stay as they are. A table
+    without labels teaches nothing, and all its rows stay.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
+    if not model["languages"]:
+        return docs
     answer = predict(model)(F.col("text"))
     return docs.where(answer["score"] >= AMBIGUOUS)

@@ -31,6 +31,26 @@ def test_held_out_rows_teach_nothing(spark, sf):
     assert key(docs) == key(wrong)
 
 
+def test_signs_that_are_no_letters_have_no_language(spark, docs):
+    texts = ["½ ² ①", "Ⅷ ½ 12", "² a", "漢 ½", "\u0301", "½" * 50 + "é"]
+    assert [L.has_letter(t) for t in texts] == [any(c.isalpha() for c in t) for t in texts] == [False, False, True, True, False, True]
+    rows = [(k, t, None) for k, t in enumerate(texts)] + [(100 + k, "the words of this text", "en") for k in range(9)] + [(200 + k, "der Satz ist kurz", "de") for k in range(9)]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[k] == "und" for k in range(6)] == [True, True, False, False, True, False]
+
+
+def test_training_is_the_same_whatever_the_partitions(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    few, many = (L.train(t, rows=200) for t in (table.coalesce(1), table.repartition(40)))
+    assert few["languages"] == many["languages"] and (few["weights"] == many["weights"]).all()
+
+
+def test_tables_without_labels_stay_whole(spark):
+    table = spark.createDataFrame([(1, "some text", None), (2, None, None), (2, None, None)], "doc_id long, text string, lang string")
+    assert L.known_language(table).count() == 3
+    assert {r["lang_pred"] for r in L.identify(table).collect()} == {"und"}
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 12])
 def test_codewords_are_apart(n):
     code = L.codewords(n)
