@@ -45,26 +45,37 @@ def measure_counts(measures: DataFrame, heads: DataFrame | None = None) -> DataF
 # --- edits ------------------------------------------------------------------------
 
 
+GRAM = 3
+
+
+def _grams(text: str, size: Column) -> Column:
+    """Distinct substrings of this length of a column; none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, size)))
+
+
 def names_containing(names: DataFrame, needles: DataFrame) -> DataFrame:
     """(name, needle) wherever the needle is part of the name.
 
-    An equality join on substrings of the distinct names: no name is compared with a needle it does
-    not contain, and both inputs are vocabularies, not rows of the big tables. Only substrings as
-    long as some needle are made, those of one name and length at a time.
+    An inverted index of the names' short substrings: each needle looks up the one of its own substrings of
+    GRAM characters (all of it, if it is shorter) that the fewest names have, and is then looked for in these names. The index is
+    as long as the names times GRAM, no array is longer than a name, and both inputs are vocabularies, not rows of the big tables.
     """
-    needles = needles.select("needle").distinct()
-    lengths = needles.select(F.length("needle").alias("n")).distinct()
-    sized = (
+    needles = needles.select("needle").where(F.col("needle").isNotNull()).distinct()
+    sized = needles.withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
+    index = (
         names.select("name").where(F.col("name") != "").distinct()
-        .select("name", F.explode(F.sequence(F.lit(0), F.length("name"))).alias("n"))
-        .join(lengths, "n", "left_semi")
+        .join(F.broadcast(sized.select("size").distinct()), F.col("size") <= F.length("name"))  # at most GRAM + 1 sizes
+        .select("name", F.explode(_grams("name", F.col("size"))).alias("gram"))
     )
-    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
-    grams = F.transform(starts, lambda i: F.substring(F.col("name"), i, F.col("n")))
-    return (
-        sized.select("name", F.explode(F.array_distinct(grams)).alias("needle"))
-        .join(needles, "needle", "left_semi")
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = (
+        sized.select("needle", F.explode(_grams("needle", F.col("size"))).alias("gram"))
+        .join(held, "gram", "left")
+        .groupBy("needle").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("least"))
+        .where(F.col("least.names") > 0).select("needle", F.col("least.gram").alias("gram"))
     )
+    return index.join(rarest, "gram").where(F.contains("name", "needle")).select("name", "needle")
 
 
 def edits_of(diffs: DataFrame) -> DataFrame:

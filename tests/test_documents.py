@@ -314,3 +314,11 @@ def test_part_groups_keep_their_place_and_names_are_read(spark):
 def test_comments_cannot_break_the_document(spark):
     got = corrected(spark, edit("1", "too high -- a third --> lower ---"))
     ET.fromstring(got[("P2", "1")])
+
+
+def test_names_are_found_by_their_rarest_substring(spark):
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("ab c") for _ in range(rnd.randint(1, 12))) for _ in range(60)] + ["", "x" * 9_990 + "violin ii", "ünï漢字"]
+    needles = ["".join(rnd.choice("ab c") for _ in range(rnd.randint(1, 6))) for _ in range(40)] + ["", "violin", "n", "ii", "漢字", "zzz", "x" * 5_000, "much longer than any"]
+    got = D.names_containing(spark.createDataFrame([(n,) for n in names + names], "name string"), spark.createDataFrame([(n,) for n in needles + [None]], "needle string"))
+    assert sorted(map(tuple, got.collect())) == sorted({(n, x) for n in names for x in needles if n and x in n})
