@@ -65,7 +65,8 @@ def names_containing(names: DataFrame, needles: DataFrame) -> DataFrame:
     sized = needles.withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
     index = (
         names.select("name").where(F.col("name") != "").distinct()
-        .join(F.broadcast(sized.select("size").distinct()), F.col("size") <= F.length("name"))  # at most GRAM + 1 sizes
+        .select("name", F.explode(F.sequence(F.lit(0), F.least(F.length("name"), F.lit(GRAM)))).alias("size"))
+        .join(sized.select("size").distinct(), "size", "left_semi")
         .select("name", F.explode(_grams("name", F.col("size"))).alias("gram"))
     )
     held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
