@@ -814,12 +814,19 @@ BODIES["sqlite_tables"] = """
 """
 BODIES["stream_latest_decisions"] = BODIES["apply_decisions"]
 BODIES["stream_auto_accept"] = BODIES["auto_accept_semi"]
-CTES["all_patterns"] = _as_patterns("select * from analysis_all", AS_OF)
+# what is known after each of the three arrivals; a rule stays as first made, with the last count that qualified
+for _k in range(3):
+    CTES[f"analysis_until_{_k}"] = _analysis(f"(select * from diffs where measure_number % 3 <= {_k})")
+    CTES[f"patterns_until_{_k}"] = _as_patterns(f"select * from analysis_until_{_k}", AS_OF)
+_QUALIFIES = "occurrence_count >= 10 and accept_count / occurrence_count >= 0.8"
 BODIES["stream_learning"] = f"""
-    select sha256(concat('rule|', id)) as id, id as pattern_id, pattern_description as rule_description, instrument,
-      difference_type, 0.7::double as min_omr_confidence, 0.7::double as min_vision_confidence,
-      10::bigint as min_confirmations, occurrence_count as current_confirmations, true as is_active, {AS_OF} as created_at
-    from all_patterns where occurrence_count >= 10 and accept_count / occurrence_count >= 0.8
+    select sha256(concat('rule|', id)) as id, id as pattern_id, arg_min(pattern_description, k) as rule_description,
+      instrument, difference_type, 0.7::double as min_omr_confidence, 0.7::double as min_vision_confidence,
+      10::bigint as min_confirmations, arg_max(occurrence_count, k) filter ({_QUALIFIES}) as current_confirmations,
+      true as is_active, {AS_OF} as created_at
+    from (select 0 as k, * from patterns_until_0 union all select 1, * from patterns_until_1
+      union all select 2, * from patterns_until_2)
+    group by id, instrument, difference_type having count(*) filter ({_QUALIFIES}) > 0
 """
 BODIES["stream_settlement"] = f"""
     select 'payment' as kind, user_id, score_id, status, payment_intent from ({BODIES['reconcile_payments']})

@@ -544,15 +544,19 @@ def stream_latest_decisions(spark, sf_dir):
 
 @query
 def stream_learning(spark, sf_dir):
+    """Reviewed diffs arrive three times, by measure number; each arrival is one micro-batch, in however many files it comes.
+
+    A rule stays once it is made, so which batches there are matters: the SQL learns from the same three.
+    """
     root = scratch_path(spark, "stream-learning")
     lines = fx.table(spark, sf_dir, "lineitem")
     for k in range(3):
         lines.where(F.col("l_linenumber") % 3 == k).write.parquet(f"{root}/in/{k}")
-    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    reviewed = fx.diffs(spark, sf_dir, arriving).select("instrument", "difference_type", "human_decision")
-    learning_streams.start_learning(
-        reviewed, f"{root}/state", f"{root}/checkpoint", lambda batch_id: fx.as_of()
-    ).awaitTermination()
+        arriving = spark.readStream.schema(lines.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        reviewed = fx.diffs(spark, sf_dir, arriving).select("instrument", "difference_type", "human_decision")
+        learning_streams.start_learning(
+            reviewed, f"{root}/state", f"{root}/checkpoint", lambda batch_id: fx.as_of()
+        ).awaitTermination()
     return writers.read_snapshot(spark, f"{root}/state/rules")
 
 

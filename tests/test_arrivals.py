@@ -1,0 +1,36 @@
+"""The registered streams give the same however many files an arrival has, in one micro-batch an arrival."""
+
+import os
+import shutil
+
+import pytest
+
+from correctionlab.plans import queries as Q
+
+
+def in_files(spark, sf, folder, name, files):
+    """The test tables, the named one in so many files."""
+    os.makedirs(folder)
+    for table in os.listdir(sf):
+        if table != f"{name}.parquet":
+            shutil.copy(f"{sf}/{table}", f"{folder}/{table}")
+    spark.read.parquet(f"{sf}/{name}.parquet").repartition(files).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def run(spark, monkeypatch, name, tables, root):
+    monkeypatch.setattr(Q, "scratch_path", lambda _, what: f"{root}/{what}")
+    rows = sorted(map(str, Q.QUERIES[name](spark, tables).collect()))
+    checkpoint, = root.glob("*/checkpoint")
+    return rows, len([n for n in os.listdir(checkpoint / "commits") if n.isdigit()])
+
+
+def check(spark, monkeypatch, sf, tmp_path, name, table, batches):
+    many = in_files(spark, sf, tmp_path / "tables", table, 5)
+    one = run(spark, monkeypatch, name, sf, tmp_path / "a")
+    assert run(spark, monkeypatch, name, many, tmp_path / "b") == one
+    assert one[0] and one[1] == batches
+
+
+def test_learning(spark, monkeypatch, sf, tmp_path):
+    check(spark, monkeypatch, sf, tmp_path, "stream_learning", "lineitem", 3)
