@@ -34,3 +34,7 @@ def check(spark, monkeypatch, sf, tmp_path, name, table, batches):
 
 def test_learning(spark, monkeypatch, sf, tmp_path):
     check(spark, monkeypatch, sf, tmp_path, "stream_learning", "lineitem", 3)
+
+
+def test_latest_decisions(spark, monkeypatch, sf, tmp_path):
+    check(spark, monkeypatch, sf, tmp_path, "stream_latest_decisions", "events", 3)
