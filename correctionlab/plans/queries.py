@@ -564,13 +564,13 @@ def stream_learning(spark, sf_dir):
 
 @query
 def stream_auto_accept(spark, sf_dir):
-    """Rules are promoted while diffs arrive: none at first, then those of every other type, then all."""
+    """Rules are promoted while diffs arrive: none at first, then those of every other type, then all. An arrival is one micro-batch."""
     root = scratch_path(spark, "stream-accept")
     all_rules = _candidates(spark, sf_dir)
     lines = fx.table(spark, sf_dir, "lineitem")
 
     def match():
-        arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(lines.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
         waiting = fx.diffs(spark, sf_dir, arriving).where("human_decision is null").select(
             "id", "instrument", "difference_type", "omr_confidence", "vision_confidence"
         )
@@ -592,20 +592,19 @@ def stream_settlement(spark, sf_dir):
     root = scratch_path(spark, "stream-settlement")
     state = f"{root}/state"
     access_streams.start_books(fx.payments(spark, sf_dir), fx.score_access(spark, sf_dir), state)
-    # three files in an order of their own, so that completions come weeks after later ones, and repeats in other batches;
-    # the books are folded before the last
+    # three arrivals in an order of their own, each a micro-batch, so that completions come weeks after later ones, and repeats in other
+    # batches; the books are folded before the last
     events = fx.table(spark, sf_dir, "events")
 
     def settle():
-        arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        arrived = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
         access_streams.start_settlement(fx.webhook_payloads(arrived), state, f"{root}/checkpoint").awaitTermination()
 
     for k, part in enumerate((events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), events.where("event_id % 5 = 0"))):
         if k == 2:
-            settle()
             access_streams.compact_books(spark, state)
         part.write.parquet(f"{root}/in/{k}")
-    settle()
+        settle()
     paid, granted = access_streams.payments_now(spark, state), access_streams.score_access_now(spark, state)
     return paid.select(
         F.lit("payment").alias("kind"), "user_id", "score_id", "status", "payment_intent"

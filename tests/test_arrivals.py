@@ -38,3 +38,8 @@ def test_learning(spark, monkeypatch, sf, tmp_path):
 
 def test_latest_decisions(spark, monkeypatch, sf, tmp_path):
     check(spark, monkeypatch, sf, tmp_path, "stream_latest_decisions", "events", 3)
+
+
+@pytest.mark.parametrize("name, table", [("stream_auto_accept", "lineitem"), ("stream_settlement", "events")])
+def test_other_streams(spark, monkeypatch, sf, tmp_path, name, table):
+    check(spark, monkeypatch, sf, tmp_path, name, table, 3)
