@@ -426,8 +426,8 @@ def apply_edits(spark, sf_dir):
     return _corrected(spark, sf_dir).select("score_id", "part_id", "measure_seq", "measure_number", "xml", "edited")
 
 
-def _shredded(spark, sf_dir):
-    return readers.shred(fx.documents(spark, sf_dir))
+def _shredded(spark, sf_dir, *kinds):
+    return readers.shred(fx.documents(spark, sf_dir), kinds or None)
 
 
 @query
@@ -438,17 +438,17 @@ def documents_of_files(spark, sf_dir):
 
 @query
 def shred_parts(spark, sf_dir):
-    return readers.parts_of(_shredded(spark, sf_dir)).drop("groups_before", "groups_after")
+    return readers.parts_of(_shredded(spark, sf_dir, "part")).drop("groups_before", "groups_after")
 
 
 @query
 def shred_measures(spark, sf_dir):
-    return readers.measures_of(_shredded(spark, sf_dir))
+    return readers.measures_of(_shredded(spark, sf_dir, "measure"))
 
 
 @query
 def malformed_documents(spark, sf_dir):
-    return readers.errors_of(_shredded(spark, sf_dir)).select("score_id")
+    return readers.errors_of(_shredded(spark, sf_dir, "error")).select("score_id")
 
 
 @query

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,17 +113,27 @@ def _unpack(content: bytes) -> tuple[bytes | None, str | None]:
         return None, f"unreadable archive: {exc}"
 
 
+def _batches_of(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose second value is the big one, bounded by its length."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if len(held) >= PIECES_PER_BATCH or size >= CHARS_PER_BATCH:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
 def unpack_archives(files: DataFrame) -> DataFrame:
     """Replace the content of zip containers by the document inside; failures become error rows.
 
     Only archives pass through Python workers; other files keep their content inside the JVM.
     """
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                document, error = _unpack(content.as_py())
-                row = {"path": path.as_py(), "content": document, "error": error}
-                yield pa.RecordBatch.from_pylist([row], ARCHIVE_ARROW)
+        rows = ((path.as_py(), *_unpack(content.as_py())) for b in batches for path, content in zip(b["path"], b["content"]))
+        yield from _batches_of(rows, ARCHIVE_ARROW)
 
     archive = F.coalesce(is_archive(F.col("content"), F.col("path")), F.lit(False))
     plain = files.where(~archive).select("path", "content", F.lit(None).cast("string").alias("error"))
@@ -157,11 +168,13 @@ def documents_from_files(files: DataFrame) -> DataFrame:
     files = files.select(name.alias("score_id"), "content", F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for score_id, content, error in zip(*(batch[c] for c in ("score_id", "content", "error"))):
-                xml, wrong = _decode(content.as_py())
-                row = {"score_id": score_id.as_py(), "xml": xml, "error": error.as_py() or wrong}
-                yield pa.RecordBatch.from_pylist([row], DOCUMENT_ARROW)
+        def rows():
+            for batch in batches:
+                for score_id, content, error in zip(*(batch[c] for c in ("score_id", "content", "error"))):
+                    xml, wrong = _decode(content.as_py())
+                    yield score_id.as_py(), xml, error.as_py() or wrong
+
+        yield from _batches_of(rows(), DOCUMENT_ARROW)
 
     return files.mapInArrow(run, DOCUMENT_SCHEMA)
 
@@ -183,12 +196,21 @@ PIECE_ARROW = pa.schema([
 PIECES_PER_BATCH, CHARS_PER_BATCH = 20_000, 32_000_000
 
 # tags that structure a score, and whatever may hold text that only looks like a tag
-_TAGS = re.compile(
-    r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>"""
-    r"""|<(?P<end>/?)(?P<name>(?:[\w.\-]+:)?(?:part-list|part-group|score-part|part-name|part|measure))(?=[\s/>])"""
-    r"""(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>""",
-    re.DOTALL,
-)
+_ATTRS = r"""(?P<attrs>[^>"'/]*+(?:(?:"[^"]*+"|'[^']*+'|/(?!>))[^>"'/]*+)*+)"""
+
+
+def _tags(prefix: str, names: str = "part-list|part-group|score-part|part-name|part|measure") -> re.Pattern[str]:
+    return re.compile(
+        rf"""<(?:(?P<end>/?)(?P<name>{prefix}(?:{names}))(?=[\s/>])"""
+        rf"""{_ATTRS}(?P<empty>/?)>"""
+        r"""|!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>|!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)""",
+        re.DOTALL,
+    )
+
+
+_TAGS, _PREFIXED_TAGS = _tags(""), _tags(r"(?:[\w.\-]+:)?")
+_PART_TAGS = _tags("", "part-list|part-group|score-part|part-name|part")
+_MEASURE = re.compile(rf"(<measure(?=[\s>]){_ATTRS}>.*?</measure>)", re.DOTALL)
 _ROOT = re.compile(
     r"""\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)\s*)*"""
     r"""(?P<open><(?P<name>[^\s/>]+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>)""",
@@ -227,27 +249,52 @@ class _Element:
         self.children: list[_Element] = []
 
 
-def _structure(xml: str, start: int, end: int) -> list[_Element]:
+def _plain_structure(xml: str, start: int, end: int, whole: bool) -> tuple[list[_Element], dict[int, list]] | None:
+    """(`_structure` without measures, measures (number, text) by the place of their part) of an ordinary partwise document.
+
+    None where that could differ from `_structure`: with text that only looks like a tag, prefixes, parts in parts, and measures that are
+    empty, nested or outside of parts. Unless `whole`, measures are left out.
+    """
+    if any(mark in xml for mark in (":part", ":score-part", ":measure")) or xml.find("<!", start) >= 0 or xml.find("<?", start) >= 0:
+        return None
+    elements = _structure(xml, start, end, _PART_TAGS)
+    parts = [el for el in elements if el.name == "part"]
+    if any(el.children for el in parts):
+        return None
+    measures: dict[int, list] = {}
+    if whole:
+        for el in parts:
+            measures[el.begin] = [(_attribute(attrs, "number"), text) for text, attrs in _MEASURE.findall(xml, el.inner, el.inner_end)]
+        ends = xml.count("</measure>")
+        if not (sum(map(len, measures.values())) == ends == xml.count("</measure") - xml.count("</measure-")
+                == xml.count("<measure") - xml.count("<measure-")):
+            return None
+    return elements, measures
+
+
+def _structure(xml: str, start: int, end: int, tags: re.Pattern[str] | None = None) -> list[_Element]:
     """Structuring elements below the root of a well-formed document whose content is xml[start:end]."""
     top = _Element("", "", start, start)
     open_elements = [top]
-    for tag in _TAGS.finditer(xml, start, end):
-        closing, name, attrs, empty = tag.group("end", "name", "attrs", "empty")
+    # looking for prefixes takes most of the time, and most documents have none
+    prefixed = tags is None and any(name in xml for name in (":part", ":score-part", ":measure"))
+    for tag in (tags or (_PREFIXED_TAGS if prefixed else _TAGS)).finditer(xml, start, end):
+        closing, name, attrs, empty = tag.groups()
         if name is None:
             continue
         if closing:
             done = open_elements.pop()
             done.inner_end, done.over = tag.span()
         else:
-            element = _Element(name.rpartition(":")[2], attrs, *tag.span())
+            element = _Element(name.rpartition(":")[2] if prefixed else name, attrs, *tag.span())
             open_elements[-1].children.append(element)
             if not empty:
                 open_elements.append(element)
     return top.children
 
 
-def _error_row(score_id: str, error: str) -> list[tuple]:
-    return [(score_id, "error", None, None, None, None, None, None, error, None, None, None, None, None)]
+def _error_row(score_id: str, error: str) -> tuple[list[tuple], list[tuple]]:
+    return [(score_id, "error", None, None, None, None, None, None, error, None, None, None, None, None)], []
 
 
 _MARKED = re.compile(r"<!\[CDATA\[(?P<raw>.*?)\]\]>|<!--.*?-->|<\?.*?\?>", re.DOTALL)
@@ -258,8 +305,10 @@ def _text(inner: str) -> str:
     return html.unescape(_MARKED.sub(lambda m: html.escape(m["raw"] or "", quote=False), inner)).strip()
 
 
-def _pieces(score_id: str, xml: str) -> list[tuple]:
-    """Rows of one document: its head, its parts and its measures, cut out of the text as they are.
+def _pieces(score_id: str, xml: str, kinds: tuple[str, ...] | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Rows of one document, cut out of the text as they are: its head and its parts, and a run of measures for each part.
+
+    Kinds that are not among the given ones may be left out.
 
     A document that isn't well-formed, or that lists or has a part twice, is one error row.
     """
@@ -281,7 +330,9 @@ def _pieces(score_id: str, xml: str) -> list[tuple]:
     body: dict[str, list[tuple[str | None, str]]] = {}
     timed: list[tuple[str, dict[str, list[str]]]] = []
     head, at = [], root.end()
-    for el in _structure(xml, root.end(), stop):
+    whole = kinds is None or not {"measure", "head"}.isdisjoint(kinds)
+    plain = None if timewise else _plain_structure(xml, root.end(), stop, whole)
+    for el in plain[0] if plain else _structure(xml, root.end(), stop):
         if el.name not in ("part-list", "part", "measure"):
             continue
         head.append(xml[at:el.begin])
@@ -299,8 +350,8 @@ def _pieces(score_id: str, xml: str) -> list[tuple]:
                 elif entry.name == "part-group":
                     entries.append((None, text))
         elif el.name == "part" and not timewise:
-            found = [(_attribute(m.attrs, "number"), xml[m.begin:m.over])
-                     for m in el.children if m.name == "measure"]
+            found = plain[1].get(el.begin, []) if plain else [
+                (_attribute(m.attrs, "number"), xml[m.begin:m.over]) for m in el.children if m.name == "measure"]
             part_id = _attribute(el.attrs, "id", "")
             if part_id in body:
                 return _error_row(score_id, f"part {part_id} occurs twice")
@@ -333,13 +384,11 @@ def _pieces(score_id: str, xml: str) -> list[tuple]:
         label, entry = listed.get(part_id, (None, None))
         rows.append((score_id, "part", sequence.get(part_id), part_id, label, order.get(part_id),
                      None, None, entry, None, None, None, *_groups_beside(entries, sequence.get(part_id))))
-    for part_id, measures in body.items():
-        seq, body_seq, label = sequence.get(part_id), order[part_id], listed.get(part_id, (None,))[0]
-        rows.extend(
-            (score_id, "measure", seq, part_id, label, body_seq, i, number, text, None, None, None, None, None)
-            for i, (number, text) in enumerate(measures)
-        )
-    return rows
+    runs = [
+        (score_id, sequence.get(part_id), part_id, listed.get(part_id, (None,))[0], order[part_id], measures)
+        for part_id, measures in body.items()
+    ]
+    return rows, runs
 
 
 def _groups_beside(entries: list[tuple[str | None, str]], at: int | None) -> tuple[str, str]:
@@ -354,25 +403,55 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def shred(documents: DataFrame) -> DataFrame:
-    """All pieces of the documents (score_id, xml), one pass of Arrow batches over them.
+def _measure_batch(runs: list[tuple]) -> pa.RecordBatch:
+    """Runs of measures as rows; what a run's measures share is made once and repeated in Arrow."""
+    counts = np.array([len(r[5]) for r in runs])
+    places = np.repeat(np.arange(len(runs)), counts)
+    numbers, texts = zip(*(m for r in runs for m in r[5]))
+    shared = dict(zip(("score_id", "part_seq", "part_id", "part_name", "body_seq"), zip(*(r[:5] for r in runs))))
+    columns = []
+    for field in PIECE_ARROW:
+        if field.name in shared:
+            columns.append(pa.array(shared[field.name], field.type).take(pa.array(places)))
+        elif field.name == "kind":
+            columns.append(pa.repeat("measure", len(texts)))
+        elif field.name == "measure_seq":
+            columns.append(pa.array(np.arange(len(texts)) - np.repeat(np.cumsum(counts) - counts, counts), field.type))
+        elif field.name in ("measure_number", "xml"):
+            columns.append(pa.array(numbers if field.name == "measure_number" else texts, field.type))
+        else:
+            columns.append(pa.nulls(len(texts), field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=PIECE_ARROW)
+
+
+def shred(documents: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """All pieces of the documents (score_id, xml), or those of some kinds, one pass of Arrow batches over them.
 
     A document is parsed by the task that holds its row, so the biggest file, not the table, sets
     the memory a task needs. The parser only checks the text; pieces are slices of it, so
     what an edit does not touch comes out byte for byte.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, chars = [], 0
+        rows, runs, held, chars = [], [], 0, 0
         for batch in batches:
             for score_id, xml in zip(batch["score_id"], batch["xml"]):
                 text = xml.as_py() or ""
-                rows.extend(_pieces(score_id.as_py(), text))
+                mine, measures = _pieces(score_id.as_py(), text, kinds)
+                rows.extend(mine if kinds is None else [r for r in mine if r[1] in kinds])
+                if kinds is None or "measure" in kinds:
+                    runs.extend(r for r in measures if r[5])
+                    held += sum(len(r[5]) for r in measures)
                 chars += len(text)
-                if len(rows) >= PIECES_PER_BATCH or chars >= CHARS_PER_BATCH:
-                    yield _batch(rows, PIECE_ARROW)
-                    rows, chars = [], 0
+                if len(rows) + held >= PIECES_PER_BATCH or chars >= CHARS_PER_BATCH:
+                    yield from batches_of(rows, runs)
+                    rows, runs, held, chars = [], [], 0, 0
+        yield from batches_of(rows, runs)
+
+    def batches_of(rows: list[tuple], runs: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield _batch(rows, PIECE_ARROW)
+        if runs:
+            yield _measure_batch(runs)
 
     return documents.select("score_id", "xml").mapInArrow(run, PIECE_SCHEMA)
 
@@ -429,16 +508,27 @@ def _inspect(score_id: str, xml: str) -> tuple:
     except ET.ParseError:
         return (score_id, False, None, None, None, None, None, None)
 
-    def text(path: str) -> str | None:
-        return (root.findtext(path) or "").strip() or None
+    first: dict[str, str] = {}  # of each field the first element, with a text or not
+    creators, identified = {}, set()
+    for child in root:
+        name = child.tag.rpartition("}")[2]
+        if name == "work":
+            for c in child:
+                first.setdefault(c.tag.rpartition("}")[2], c.text or "")
+        elif name == "movement-title":
+            first.setdefault("/movement-title", child.text or "")
+        elif name == "identification" and child.tag not in identified:
+            identified.add(child.tag)
+            for c in child:
+                if c.text and c.tag.rpartition("}")[2] == "creator":
+                    creators[(c.get("type") or "").lower()] = c.text.strip()
+
+    def text(field: str) -> str | None:
+        return first.get(field, "").strip() or None
 
-    creators = {
-        (c.get("type") or "").lower(): c.text.strip()
-        for c in root.iterfind("{*}identification[1]/{*}creator") if c.text
-    }
     return (
-        score_id, True, root.tag, text("{*}work/{*}work-title"), text("{*}work/{*}work-number"),
-        text("{*}movement-title"), creators.get("composer"), creators.get("arranger"),
+        score_id, True, root.tag, text("work-title"), text("work-number"), text("/movement-title"),
+        creators.get("composer"), creators.get("arranger"),
     )
 
 

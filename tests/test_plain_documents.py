@@ -1,0 +1,45 @@
+"""Ordinary documents are cut by a shorter way, which must give what the general one gives."""
+
+import random
+
+from correctionlab.sources import readers as R
+
+
+def random_document(rnd):
+    measure = lambda n: rnd.choice([
+        f'<measure number="{n}"><note/></measure>', f"<measure  number='{n}' width=\"3>1\"><attributes><measure-style/></attributes>a</measure>",
+        f'<measure number="{n}"/>' if rnd.random() < 0.1 else f"<measure\n implicit='a/b' number=\"{n}\"></measure>",
+        f'<measure number="{n}">x</measure >' if rnd.random() < 0.1 else "<measure>y</measure>",
+        f'<measure number="{n}"><measure/><measure>z</measure></measure>' if rnd.random() < 0.1 else "",
+        f'<measure number="{n}"><part id="in"/></measure>' if rnd.random() < 0.1 else "text", "<measures/>" if rnd.random() < 0.1 else "",
+        "<!-- <measure>q</measure> -->" if rnd.random() < 0.1 else "", "<![CDATA[</measure>]]>" if rnd.random() < 0.1 else ""])
+    parts = "".join(f'<part id="P{k}">{"".join(measure(n) for n in range(rnd.randrange(5)))}</part>' for k in range(3))
+    listed = "".join(f'<score-part id="P{k}"><part-name>N{k}</part-name></score-part><part-group number="1"/>' for k in range(3))
+    outside = '<measure number="9">out</measure>' if rnd.random() < 0.1 else ""
+    return f"<score-partwise><work/><part-list>{listed}</part-list>{outside}{parts}</score-partwise>"
+
+
+def test_same_as_the_general_way(monkeypatch):
+    rnd = random.Random(3)
+    texts = [random_document(rnd) for _ in range(3_000)]
+    short = [R._pieces("s", t) for t in texts]
+    some = [R._pieces("s", t, ("part",)) for t in texts]
+    used = sum(R._plain_structure(t, 0, len(t), True) is not None for t in texts)
+    monkeypatch.setattr(R, "_plain_structure", lambda *_: None)
+    general = [R._pieces("s", t) for t in texts]
+    assert short == general and 500 < used < 3_000
+    assert [[r for r in rows if r[1] in ("part", "error")] for rows, _ in some] == [[r for r in rows if r[1] in ("part", "error")] for rows, _ in general]
+
+
+def test_measures_share_columns():
+    rows = R._measure_batch([("s", 0, "P1", "flute", 0, [("1", "<a/>"), (None, "<b/>")]), ("t", None, "P2", None, 1, [("3", "<c/>")])]).to_pylist()
+    assert [(r["score_id"], r["part_id"], r["part_seq"], r["measure_seq"], r["measure_number"], r["xml"]) for r in rows] == [
+        ("s", "P1", 0, 0, "1", "<a/>"), ("s", "P1", 0, 1, None, "<b/>"), ("t", "P2", None, 0, "3", "<c/>")]
+
+
+def test_files_come_in_batches():
+    rows = [(f"{k}", b"x" * 1_000, None) for k in range(50_000)]
+    sizes = [len(b) for b in R._batches_of(iter(rows), R.ARCHIVE_ARROW)]
+    assert sum(sizes) == 50_000 and len(sizes) == 3
+    big = [(f"{k}", b"x" * R.CHARS_PER_BATCH, None) for k in range(2)]
+    assert [len(b) for b in R._batches_of(iter(big), R.ARCHIVE_ARROW)] == [1, 1]
