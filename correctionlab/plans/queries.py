@@ -506,12 +506,16 @@ def inject_headers(spark, sf_dir):
     return injected.select("doc_id", "injected", F.md5("content").alias("content_md5"))
 
 
+SQLITE_ROWS = 500_000  # at most in a file, about: a task writes one, so more rows make more files
+
+
 @query
 def sqlite_tables(spark, sf_dir):
     """Diffs written to SQLite files and read back in ranges of row ids; conditions run in SQLite."""
     folder = scratch_path(spark, "sqlite")
     kept = ("id", "score_id", "measure_number", "difference_type", "omr_confidence", "auto_accepted", "human_decision", "human_reviewed_at")
-    sqlite.write_sqlite(fx.diffs(spark, sf_dir).select(*kept).repartition(8), folder, "diffs")
+    files = max(8, -(-fx.table(spark, sf_dir, "lineitem").count() // SQLITE_ROWS))
+    sqlite.write_sqlite(fx.diffs(spark, sf_dir).select(*kept).repartition(files), folder, "diffs")
     where = [("measure_number", ">=", 2), ("difference_type", "in", ["note", "rhythm", "slur"]), ("human_decision", "not null")]
     return sqlite.load_sqlite(spark, folder, "diffs", where=where, rowsPerPartition="20000")
 
