@@ -1,17 +1,19 @@
 """Near copies by SimHash and pivot distance tables, at a similarity of 4/5 of five-word shingles.
 
 Each set of shingles has a fingerprint of 256 bits, the majorities over its shingles' hashes, and a row of the pivot table: the
-fingerprint's Hamming distances to `PIVOTS` reference fingerprints. Both are made once, as a written column. A candidate pair is
-discarded where some coordinate of its two rows differs by more than `APART`, survivors where their fingerprints differ in more than
-`RADIUS` bits, and what is left is verified on whole sets.
-
-Sets with a similarity of 4/5 differ in about 39 of the 256 bits (at most 48 for the smallest sets), each of which moves a coordinate up or
-down by one; a coordinate then differs by more than `APART` once in 10,000 times or less, while unrelated rows nearly
-always have one that does. A bound that never errs (`RADIUS` itself) would discard nothing, as distances of unrelated fingerprints
-only spread by 11.
-
-Bits alone would need hundreds of keys a document, and more with every tenfold corpus, to bring such pairs together. They meet under
-keys of least shingle hashes instead: one pair in 17,000 at a similarity of exactly 4/5 has none in common, fewer above.
+fingerprint's Hamming distances to `PIVOTS` reference fingerprints. Both are made once, as a written column.
+
+Pairs meet by pivot distances too. A set's distance to a pivot is the mean Hamming distance of its shingles' hashes, which the votes
+behind the majorities tell. Each of `TABLES` tables has 256 pivots in `GROUPS` groups; a key of a table names one pivot of each group
+that is among the nearest or the farthest, and which of both it is. Each set has the `CHOICES` keys of each table whose distances stand
+out most. Near sets have nearly the same votes and so the same outstanding pivots; two unrelated ones share one key of a table with odds
+of one to some millions. Votes tell much more than bits: blocks of bits would need hundreds of keys a set at this similarity.
+
+A candidate pair is discarded where some coordinate of its two rows differs by more than `APART`, survivors where their fingerprints
+differ in more than `RADIUS` bits, and what is left is verified on whole sets. Sets with a similarity of 4/5 differ in about 39 of
+the 256 bits (at most 48 for the smallest sets), each of which moves a coordinate up or down by one; a coordinate then differs by more
+than `APART` once in 10,000 times or less, while unrelated rows nearly always have one that does. A bound that never errs (`RADIUS`
+itself) would discard nothing, as distances of unrelated fingerprints only spread by 11.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from correctionlab.llm.circulant import band_keys, signature
 from correctionlab.llm.near_sets import Nearness, described, near_groups
 from correctionlab.plans.sizing import broadcast_within, cut_lineage
 
@@ -28,12 +29,13 @@ WORDS = 4  # of 64 bits
 PIVOTS = 128
 APART = 28
 RADIUS = 80
-BANDS, ROWS = 32, 6
+TABLES, GROUPS, CHOICES = 16, 4, 8
+OUTSTANDING = 4  # of a group, that keys are made of
 TOKENS_AT_ONCE = 2_048
 
 
-def fingerprint(tokens):
-    """256 bits, as four words, of a set of 64-bit shingle hashes: each bit is 1 if set in over half of them."""
+def votes(tokens):
+    """For each of 256 bits, how many more of the 64-bit shingle hashes of a set have it than not."""
     import numpy as np
 
     counts = np.zeros(64 * WORDS, np.int64)
@@ -44,7 +46,57 @@ def fingerprint(tokens):
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(tokens)).view(np.uint64)
+    return 2 * counts - len(tokens)
+
+
+def majorities(leads):
+    """The fingerprint of votes: each bit is 1 if set in over half of the hashes."""
+    import numpy as np
+
+    return np.packbits(leads > 0).view(np.uint64)
+
+
+def fingerprint(tokens):
+    """256 bits, as four words, of a set of 64-bit shingle hashes."""
+    return majorities(votes(tokens))
+
+
+def table_signs(tables: int = TABLES):
+    """For each table 256 signs; they and the 256 patterns of a Hadamard matrix (as 16 by 16 patterns, `halves`) make its pivots."""
+    import numpy as np
+
+    bits = np.unpackbits(references(tables).view(np.uint8), axis=1)
+    half = np.ones((1, 1))
+    for _ in range(4):
+        half = np.block([[half, half], [half, -half]])
+    return 1.0 - 2.0 * bits, half
+
+
+def pivot_sums(leads, signs, halves):
+    """(table, pivot): votes for a pivot's bits less those against them. The mean distance of n hashes to it is half of 256 - this / n."""
+    first = ((leads * signs).reshape(-1, 16) @ halves).reshape(len(signs), 16, 16)
+    return (first.transpose(0, 2, 1).reshape(-1, 16) @ halves).reshape(len(signs), 256)
+
+
+def pivot_keys(leads, signs, halves):
+    """The keys (64 bit, unsigned) of a set's votes, `CHOICES` of each table."""
+    import numpy as np
+
+    tables = len(signs)
+    sums = pivot_sums(leads, signs, halves).reshape(tables, GROUPS, -1)
+    left = np.abs(sums)
+    t, g = np.ogrid[:tables, :GROUPS]
+    codes, stand = np.zeros((2, OUTSTANDING, tables, GROUPS), np.int64)
+    for k in range(OUTSTANDING):
+        at = left.argmax(axis=2)
+        codes[k], stand[k] = 2 * at + (sums[t, g, at] > 0), left[t, g, at]
+        left[t, g, at] = -1
+    keys, total = np.arange(tables)[:, None], np.zeros((tables, 1), np.int64)
+    for group in range(GROUPS):
+        keys = (keys[:, :, None] * (512 // GROUPS) + codes[:, :, group].T[:, None]).reshape(tables, -1)
+        total = (total[:, :, None] + stand[:, :, group].T[:, None]).reshape(tables, -1)
+    most = np.argsort(-total, axis=1, kind="stable")[:, :CHOICES]
+    return np.take_along_axis(keys, most, axis=1).ravel().astype(np.uint64)
 
 
 def references(n: int = PIVOTS):
@@ -75,13 +127,14 @@ def survivors(x, y, apart: int = APART, radius: int = RADIUS):
 
 
 def nearness(least: int = 4, of: int = 5, shingle: int = SHINGLE, pivots: int = PIVOTS) -> Nearness:
-    table: list = []
+    made: list = []
 
     def describe(tokens):
-        if not table:
-            table.append(references(pivots))
-        bits = fingerprint(tokens)
-        return band_keys(signature(tokens, BANDS * ROWS), BANDS, ROWS), bits.tobytes() + pivot_row(bits, table[0]).tobytes()
+        if not made:
+            made.extend((references(pivots), *table_signs()))
+        leads = votes(tokens)
+        bits = majorities(leads)
+        return pivot_keys(leads, *made[1:]), bits.tobytes() + pivot_row(bits, made[0]).tobytes()
 
     return Nearness(least, of, shingle, describe, survivors)
 

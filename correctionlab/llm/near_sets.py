@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from correctionlab.llm.common import tidy
@@ -296,9 +296,15 @@ def _open_links(left: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
 
 def near_roots(docs: DataFrame, rows: DataFrame, how: Nearness, cell: int = CELL) -> DataFrame:
     """(node, root) of the nodes that are linked with others; `rows` is `described(docs, how)`, written."""
-    held = rows.select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.first("n").alias("n"))
-    keys = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select("key", "hub")
-    members = cut_lineage(held.join(keys, "key"), "members")
+    # one shuffle of all keys, as two numbers a row; what is shared gets its nodes afterwards. Two nodes of one number would only be compared too
+    number, key = F.xxhash64("node"), Window.partitionBy("key")
+    held = rows.select(number.alias("number"), F.explode("keys").alias("key"))
+    ends = held.select("key", "number", F.min("number").over(key).alias("least"), F.max("number").over(key).alias("most"))
+    shared = cut_lineage(ends.where("least <> most").select("key", "number", "least").distinct(), "shared")
+    wanted = shared.select("number").distinct()
+    nodes = cut_lineage(rows.groupBy("node").agg(F.first("n").alias("n")).withColumn("number", number).join(wanted, "number", "left_semi"), "numbers")
+    hubs = nodes.groupBy(F.col("number").alias("least")).agg(F.min(F.struct("node", "n")).alias("hub"))
+    members = cut_lineage(shared.join(nodes, "number").join(hubs, "least").select("key", "node", "n", "hub"), "members")
     first = members.where((F.col("node") != F.col("hub.node")) & how.sizes_fit(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("hub"), "node").distinct()
     links = _hub_links(_likely_pairs(cut_lineage(first, "pairs"), rows, how), docs, rows, how, cell)
     star = cut_lineage(stars(links), "star")
