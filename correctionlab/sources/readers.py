@@ -194,6 +194,15 @@ PIECE_ARROW = pa.schema([
     for name, kind in (column.split() for column in PIECE_SCHEMA.split(", "))
 ])
 PIECES_PER_BATCH, CHARS_PER_BATCH = 20_000, 32_000_000
+# what each kind has; other columns are null, and left out where no kind asked for has them
+_PLACED = {"score_id", "kind", "part_seq", "part_id", "part_name", "body_seq", "xml"}
+KIND_COLUMNS = {
+    "head": {"score_id", "kind", "part_name", "xml", "root_open", "root_close", "layout"},
+    "part": _PLACED | {"groups_before", "groups_after"},
+    "measure": _PLACED | {"measure_seq", "measure_number"},
+    "group": {"score_id", "kind", "part_seq", "xml"},
+    "error": {"score_id", "kind", "xml"},
+}
 
 # tags that structure a score, and whatever may hold text that only looks like a tag
 _ATTRS = r"""(?P<attrs>[^>"'/]*+(?:(?:"[^"]*+"|'[^']*+'|/(?!>))[^>"'/]*+)*+)"""
@@ -278,6 +287,7 @@ def _structure(xml: str, start: int, end: int, tags: re.Pattern[str] | None = No
     open_elements = [top]
     # looking for prefixes takes most of the time, and most documents have none
     prefixed = tags is None and any(name in xml for name in (":part", ":score-part", ":measure"))
+    inside = top.children
     for tag in (tags or (_PREFIXED_TAGS if prefixed else _TAGS)).finditer(xml, start, end):
         closing, name, attrs, empty = tag.groups()
         if name is None:
@@ -285,11 +295,13 @@ def _structure(xml: str, start: int, end: int, tags: re.Pattern[str] | None = No
         if closing:
             done = open_elements.pop()
             done.inner_end, done.over = tag.span()
+            inside = open_elements[-1].children
         else:
             element = _Element(name.rpartition(":")[2] if prefixed else name, attrs, *tag.span())
-            open_elements[-1].children.append(element)
+            inside.append(element)
             if not empty:
                 open_elements.append(element)
+                inside = element.children
     return top.children
 
 
@@ -363,11 +375,12 @@ def _pieces(score_id: str, xml: str, kinds: tuple[str, ...] | None = None) -> tu
                     inside.setdefault(_attribute(p.attrs, "id", ""), []).append(xml[p.inner:p.inner_end])
             timed.append((el.attrs, inside))
     head.append(xml[at:stop])
+    wanted = kinds is None or "measure" in kinds
+    numbers = [_attribute(attrs, "number") for attrs, _ in timed] if wanted else []
     for part_id in dict.fromkeys(p for _, inside in timed for p in inside):
         body[part_id] = [
-            (_attribute(attrs, "number"),
-             f"<{prefix}measure{attrs}>{''.join(inside.get(part_id, ()))}</{prefix}measure>")
-            for attrs, inside in timed
+            (number, f"<{prefix}measure{attrs}>{''.join(inside.get(part_id, ()))}</{prefix}measure>")
+            for number, (attrs, inside) in zip(numbers, timed)
         ]
 
     rows = [(
@@ -393,7 +406,7 @@ def _pieces(score_id: str, xml: str, kinds: tuple[str, ...] | None = None) -> tu
 
 def _groups_beside(entries: list[tuple[str | None, str]], at: int | None) -> tuple[str, str]:
     """Texts of the groups before and after an entry of the part list."""
-    if at is None:
+    if at is None or all(part_id is not None for part_id, _ in entries):
         return "", ""
     return tuple("".join(text for part_id, text in side if part_id is None) for side in (entries[:at], entries[at:]))
 
@@ -403,14 +416,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _measure_batch(runs: list[tuple]) -> pa.RecordBatch:
+def _measure_batch(runs: list[tuple], schema: pa.Schema = PIECE_ARROW) -> pa.RecordBatch:
     """Runs of measures as rows; what a run's measures share is made once and repeated in Arrow."""
     counts = np.array([len(r[5]) for r in runs])
     places = np.repeat(np.arange(len(runs)), counts)
-    numbers, texts = zip(*(m for r in runs for m in r[5]))
+    numbers, texts = [m[0] for r in runs for m in r[5]], [m[1] for r in runs for m in r[5]]
     shared = dict(zip(("score_id", "part_seq", "part_id", "part_name", "body_seq"), zip(*(r[:5] for r in runs))))
     columns = []
-    for field in PIECE_ARROW:
+    for field in schema:
         if field.name in shared:
             columns.append(pa.array(shared[field.name], field.type).take(pa.array(places)))
         elif field.name == "kind":
@@ -421,11 +434,11 @@ def _measure_batch(runs: list[tuple]) -> pa.RecordBatch:
             columns.append(pa.array(numbers if field.name == "measure_number" else texts, field.type))
         else:
             columns.append(pa.nulls(len(texts), field.type))
-    return pa.RecordBatch.from_arrays(columns, schema=PIECE_ARROW)
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def shred(documents: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """All pieces of the documents (score_id, xml), or those of some kinds, one pass of Arrow batches over them.
+    """All pieces of the documents (score_id, xml), or those of some kinds with their columns alone, one pass of Arrow batches over them.
 
     A document is parsed by the task that holds its row, so the biggest file, not the table, sets
     the memory a task needs. The parser only checks the text; pieces are slices of it, so
@@ -447,13 +460,18 @@ def shred(documents: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFra
                     rows, runs, held, chars = [], [], 0, 0
         yield from batches_of(rows, runs)
 
+    some = [c for c in PIECE_COLUMNS if kinds is None or any(c in KIND_COLUMNS[k] for k in kinds)]
+    places, arrow = [PIECE_COLUMNS.index(c) for c in some], pa.schema([PIECE_ARROW.field(c) for c in some])
+
     def batches_of(rows: list[tuple], runs: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            yield _batch(rows, PIECE_ARROW)
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[k], f.type) for k, f in zip(places, arrow)], schema=arrow)
         if runs:
-            yield _measure_batch(runs)
+            yield _measure_batch(runs, arrow)
 
-    return documents.select("score_id", "xml").mapInArrow(run, PIECE_SCHEMA)
+    schema = ", ".join(c for c in PIECE_SCHEMA.split(", ") if c.split()[0] in some)
+    return documents.select("score_id", "xml").mapInArrow(run, schema)
 
 
 def heads_of(pieces: DataFrame) -> DataFrame:
