@@ -459,9 +459,13 @@ def corrected_lines(spark, sf_dir):
 
 @query
 def document_containers(spark, sf_dir):
-    """The whole export in container files, each document read back by its stretches of bytes."""
+    """The whole export in container files, each document read back by its stretches of bytes.
+
+    The lines are written first: the range sort draws its sample from them, and would make them all once more for it.
+    """
     folder = scratch_path(spark, "containers")
-    index = containers.write_containers(corrected_lines(spark, sf_dir), folder, ["score_id"], ["section", "seq"])
+    lines = cut_lineage(corrected_lines(spark, sf_dir), "lines")
+    index = containers.write_containers(lines, folder, ["score_id"], ["section", "seq"])
     pieces = containers.read_pieces(index, folder).groupBy("score_id").agg(
         F.array_sort(F.collect_list(F.struct("file", "content"))).alias("pieces"), F.sum("length").alias("bytes"))
     return pieces.select("score_id", "bytes", F.md5(F.array_join("pieces.content", "")).alias("content_md5"))
