@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from correctionlab.functions import fixed_values as V
+from correctionlab.plans.sizing import dealt
 
 
 def decided_diffs(diffs: DataFrame) -> DataFrame:
@@ -110,19 +111,21 @@ def bulk_decide(diffs: DataFrame, requests: DataFrame, as_of: Column) -> DataFra
 
 
 def delete_scores(
-    scores: DataFrame, diffs: DataFrame, training: DataFrame, ids: DataFrame
+    scores: DataFrame, diffs: DataFrame, training: DataFrame, ids: DataFrame, tasks: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remove scores with their diffs and the training rows of those diffs.
 
-    Training rows are found through the diffs that go, not the ones that stay: the small side.
+    Training rows are found through the diffs that go, not the ones that stay: the small side. The big sides are dealt into `tasks`
+    partitions, if given, so that what a task sorts stays bounded.
     """
     gone = ids.select("score_id").distinct()
-    gone_diffs = diffs.join(gone, diffs.score_id == gone.score_id, "left_semi").select(
+    diffs_by_score, training = dealt(diffs, tasks, "score_id"), dealt(training, tasks, "flagged_diff_id")
+    gone_diffs = diffs_by_score.join(gone, diffs.score_id == gone.score_id, "left_semi").select(
         F.col("id").alias("flagged_diff_id")
     )
     return (
-        scores.join(gone, scores.id == gone.score_id, "left_anti"),
-        diffs.join(gone, diffs.score_id == gone.score_id, "left_anti"),
+        dealt(scores, tasks, "id").join(gone, scores.id == gone.score_id, "left_anti"),
+        diffs_by_score.join(gone, diffs.score_id == gone.score_id, "left_anti"),
         training.join(gone_diffs, training.flagged_diff_id == gone_diffs.flagged_diff_id, "left_anti"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from correctionlab.functions import fixed_values as V
 from correctionlab.functions import xml as X
 from correctionlab.functions.expressions import blank_to_null, safe_file_name, strip
+from correctionlab.plans.sizing import dealt
 
 MEASURE_KEY = ("score_id", "part_id", "measure_seq")
 
@@ -86,12 +87,12 @@ def edits_of(diffs: DataFrame) -> DataFrame:
     )
 
 
-def place_edits(edits: DataFrame, parts: DataFrame) -> DataFrame:
+def place_edits(edits: DataFrame, parts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Target part of every edit: the first listed one, present in the document, whose name contains
     the instrument, else the first part of the document."""
     edits = edits.withColumn("needle", F.lower("instrument"))
     edited = edits.select("score_id").distinct()
-    present = parts.where(F.col("body_seq").isNotNull()).join(edited, "score_id", "left_semi")
+    present = dealt(parts.where(F.col("body_seq").isNotNull()), tasks, "score_id").join(edited, "score_id", "left_semi")
     named = present.where(F.col("part_name").isNotNull()).select(
         "score_id", "part_seq", "part_id", F.lower("part_name").alias("name")
     )
@@ -112,11 +113,12 @@ def place_edits(edits: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def find_measures(placed: DataFrame, measures: DataFrame) -> DataFrame:
+def find_measures(placed: DataFrame, measures: DataFrame, tasks: int | None = None) -> DataFrame:
     """Target measure of every placed edit: the part's first with the edit's number.
 
     `measure_seq` is null where there is none, and such edits change nothing. Of the measures only
-    keys are read, and only those some edit names are grouped.
+    keys are read, and only those some edit names are grouped. `tasks`, here and in the other steps, is the number of partitions
+    that the measures or parts are dealt into.
     """
     key = ["score_id", "part_id", "number"]
     placed = placed.withColumn("number", F.col("measure_number").cast("string"))
@@ -124,7 +126,7 @@ def find_measures(placed: DataFrame, measures: DataFrame) -> DataFrame:
         "score_id", "part_id", F.col("measure_number").alias("number"), "measure_seq"
     )
     positions = (
-        numbered.join(placed.select(*key).distinct(), key, "left_semi")
+        dealt(numbered, tasks, *key).join(placed.select(*key).distinct(), key, "left_semi")
         .groupBy(*key)
         .agg(F.min("measure_seq").alias("measure_seq"))
     )
@@ -177,7 +179,7 @@ def measure_changes(located: DataFrame, comment_label: str = "edit") -> DataFram
     )
 
 
-def apply_edits(measures: DataFrame, located: DataFrame, comment_label: str = "edit") -> DataFrame:
+def apply_edits(measures: DataFrame, located: DataFrame, comment_label: str = "edit", tasks: int | None = None) -> DataFrame:
     """Measures with the located edits applied; `edited` marks the ones that changed."""
     changes = measure_changes(located, comment_label)
     head, inner, end = X.element_parts(F.col("xml"))
@@ -185,7 +187,7 @@ def apply_edits(measures: DataFrame, located: DataFrame, comment_label: str = "e
         head, F.lit(">"), F.coalesce("new_content", inner), F.col("comments"), end
     )
     hit = F.col("comments").isNotNull()
-    joined = measures.join(changes, list(MEASURE_KEY), "left")
+    joined = dealt(measures, tasks, *MEASURE_KEY).join(changes, list(MEASURE_KEY), "left")
     return joined.select(
         *[F.when(hit, changed).otherwise(F.col("xml")).alias("xml") if c == "xml" else F.col(c)
           for c in measures.columns],

@@ -11,15 +11,15 @@ from correctionlab.sources import readers, writers
 from correctionlab.sources.containers import write_containers
 
 
-def located_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
+def located_edits(diffs: DataFrame, parts: DataFrame, measures: DataFrame, tasks: int | None = None) -> DataFrame:
     """`locate_edits` with its steps written out: the edits, a small share of the diffs, are read
     from the diffs once, and the plans stay short."""
-    return place_written(cut_lineage(D.edits_of(diffs), "edits"), parts, measures)
+    return place_written(cut_lineage(D.edits_of(diffs), "edits"), parts, measures, tasks)
 
 
-def place_written(edits: DataFrame, parts: DataFrame, measures: DataFrame) -> DataFrame:
-    placed = cut_lineage(D.place_edits(edits, parts), "placed")
-    return cut_lineage(D.find_measures(placed, measures), "located")
+def place_written(edits: DataFrame, parts: DataFrame, measures: DataFrame, tasks: int | None = None) -> DataFrame:
+    placed = cut_lineage(D.place_edits(edits, parts, tasks), "placed")
+    return cut_lineage(D.find_measures(placed, measures, tasks), "located")
 
 
 def corrected_documents(

@@ -11,7 +11,7 @@ from correctionlab.functions import fixed_values as V
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
 from correctionlab.plans.export import corrected_documents, located_edits
-from correctionlab.plans.sizing import broadcast_within, cut_lineage, scratch_path
+from correctionlab.plans.sizing import broadcast_within, cut_lineage, dealt, scratch_path, tasks_for
 from correctionlab.sources import fixtures as fx
 from correctionlab.sources import containers, readers, sqlite, writers
 from correctionlab.streaming import access as access_streams
@@ -223,10 +223,12 @@ def bulk_updated_counts(spark, sf_dir):
 
 @query
 def cascade_delete(spark, sf_dir):
-    scores, diffs = fx.scores(spark, sf_dir), fx.diffs(spark, sf_dir)
+    lines = fx.table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(spark, lines.count())
+    scores, diffs = fx.scores(spark, sf_dir), fx.diffs(spark, sf_dir, dealt(lines, tasks, "l_partkey"))
     dataset = training.eligible(diffs).select(F.col("id").alias("flagged_diff_id"))
     gone = scores.where("status = 'processing'").select(F.col("id").alias("score_id"))
-    kept = decisions.delete_scores(scores, diffs, dataset, gone)
+    kept = decisions.delete_scores(scores, diffs, dataset, gone, tasks)
     keys = ("id", "id", "flagged_diff_id")
     named = [
         df.select(F.lit(name).alias("table_name"), F.col(key).alias("id"))
@@ -408,17 +410,22 @@ def measures_per_part(spark, sf_dir):
     return documents.measures_per_part(fx.measures(spark, sf_dir))
 
 
+def _measure_tasks(spark, sf_dir):
+    return tasks_for(spark, 18 * fx.table(spark, sf_dir, "orders").count())
+
+
 @query
 def locate_edits(spark, sf_dir):
     return located_edits(
-        fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), fx.measures(spark, sf_dir)
+        fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), fx.measures(spark, sf_dir), _measure_tasks(spark, sf_dir)
     ).select("id", "score_id", "part_id", "matched_by_name", "measure_seq")
 
 
 def _corrected(spark, sf_dir):
     measures = fx.measures(spark, sf_dir)
-    located = located_edits(fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), measures)
-    return documents.apply_edits(measures, located)
+    tasks = _measure_tasks(spark, sf_dir)
+    located = located_edits(fx.diffs(spark, sf_dir), fx.parts(spark, sf_dir), measures, tasks)
+    return documents.apply_edits(measures, located, tasks=tasks)
 
 
 @query

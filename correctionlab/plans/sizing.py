@@ -53,3 +53,20 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     Counting stops one row past the bound. Call it on written tables, not on long plans.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+ROWS_PER_TASK = 1_000_000  # a few hundred MB to sort
+
+
+def tasks_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) -> int | None:
+    """Into how many partitions to deal this many rows for a sort, so that a task's share does not grow with the table.
+
+    None where the session's number of shuffle partitions is enough: the plan is left to Spark then.
+    """
+    tasks = -(-rows // per_task)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """`df` dealt by keys that the next join or grouping has, into `tasks` partitions; as it is for None."""
+    return df if tasks is None else df.repartition(tasks, *keys)
