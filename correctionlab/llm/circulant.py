@@ -65,16 +65,16 @@ def band_keys(coordinates, bands: int, rows: int):
 def nearness(least: int = LEAST, of: int = OF, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> Nearness:
     n = bands * rows
     share = least / of
-    bar = n * share - 5 * (n * share * (1 - share)) ** 0.5
 
     def describe(tokens):
         coordinates = signature(tokens, n)
         return band_keys(coordinates, bands, rows), coordinates.astype("u1").tobytes()
 
     def likely(x, y):
-        return (x == y).sum(axis=1) >= bar
+        width = x.shape[1]
+        return (x == y).sum(axis=1) >= width * share - 5 * (width * share * (1 - share)) ** 0.5
 
-    return Nearness(least, of, shingle, describe, likely)
+    return Nearness(least, of, shingle, describe, likely, n // 4)
 
 
 def minhash_groups(docs: DataFrame, how: Nearness | None = None) -> DataFrame:

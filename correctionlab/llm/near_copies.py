@@ -10,10 +10,15 @@ out most. Near sets have nearly the same votes and so the same outstanding pivot
 of one to some millions. Votes tell much more than bits: blocks of bits would need hundreds of keys a set at this similarity.
 
 A candidate pair is discarded where some coordinate of its two rows differs by more than `APART`, survivors where their fingerprints
-differ in more than `RADIUS` bits, and what is left is verified on whole sets. Sets with a similarity of 4/5 differ in about 39 of
+differ in more than `RADIUS` bits, then those whose votes are too far apart, and what is left is verified on whole sets. Sets with a similarity of 4/5 differ in about 39 of
 the 256 bits (at most 48 for the smallest sets), each of which moves a coordinate up or down by one; a coordinate then differs by more
 than `APART` once in 10,000 times or less, while unrelated rows nearly always have one that does. A bound that never errs (`RADIUS`
 itself) would discard nothing, as distances of unrelated fingerprints only spread by 11.
+
+The votes themselves tell how much sets have apart: the votes of two sets differ by those of the hashes that only one has, d of them, so
+the mean square of 256 differences is about d, with a deviation of an eleventh. A pair goes where that is `SPREAD` deviations above the
+most d that its sizes allow, which a near pair is once in 200,000 times at most; pairs below a similarity of about 0.7 go nearly
+always, while fingerprints leave those down to 0.4. Votes are kept as signed bytes, large ones without their last bits.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ WORDS = 4  # of 64 bits
 PIVOTS = 128
 APART = 28
 RADIUS = 80
+SPREAD = 5
+TAIL = 5 + 64 * WORDS  # of a sketch: size, how many last bits are left out, votes
 TABLES, GROUPS, CHOICES = 16, 4, 8
 OUTSTANDING = 4  # of a group, that keys are made of
 TOKENS_AT_ONCE = 2_048
@@ -114,15 +121,41 @@ def pivot_row(bits, pivots):
     return np.minimum(np.bitwise_count(pivots ^ bits).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
 
 
-def survivors(x, y, apart: int = APART, radius: int = RADIUS):
-    """For rows of (fingerprint, pivot row): which pairs neither a coordinate nor the fingerprints discard."""
+def vote_row(leads, size: int) -> bytes:
+    """Size, bits left out, and votes of a set."""
+    import numpy as np
+
+    out = max(int(np.abs(leads).max()).bit_length() - 7, 0)
+    short = np.clip((leads + ((1 << out) >> 1)) >> out, -127, 127).astype(np.int8)
+    return np.array([size], "<u4").tobytes() + bytes([out]) + short.tobytes()
+
+
+def votes_apart(x, y):
+    """For tails of sketches, pair by pair: the sizes together, and about how many hashes only one of both sets has."""
+    import numpy as np
+
+    def whole(t):
+        t = np.ascontiguousarray(t)
+        return t[:, 5:].view(np.int8).astype(np.int64) << t[:, 4:5].astype(np.int64)
+
+    sizes = sum(np.ascontiguousarray(t[:, :4]).view("<u4").ravel().astype(np.int64) for t in (x, y))
+    return sizes, ((whole(x) - whole(y)) ** 2).mean(axis=1)
+
+
+def survivors(x, y, apart: int = APART, radius: int = RADIUS, least: int = 4, of: int = 5):
+    """For rows of (fingerprint, pivot row, votes): which pairs neither a coordinate nor the fingerprints nor the votes discard. For fingerprints alone, those."""
     import numpy as np
 
     head = 8 * WORDS
-    u, v = x[:, head:], y[:, head:]
+    if x.shape[1] == head:
+        return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= radius
+    u, v = x[:, head:-TAIL], y[:, head:-TAIL]
     keep = (np.maximum(u, v) - np.minimum(u, v)).max(axis=1, initial=0) <= apart
     left = np.flatnonzero(keep)
     keep[left] = np.bitwise_count(x[left, :head] ^ y[left, :head]).sum(axis=1, dtype=np.int64) <= radius
+    left = np.flatnonzero(keep)
+    sizes, differ = votes_apart(x[left, -TAIL:], y[left, -TAIL:])
+    keep[left] = differ * (of + least) <= sizes * (of - least) * (1 + SPREAD * (2 / (64 * WORDS)) ** 0.5)
     return keep
 
 
@@ -134,9 +167,12 @@ def nearness(least: int = 4, of: int = 5, shingle: int = SHINGLE, pivots: int =
             made.extend((references(pivots), *table_signs()))
         leads = votes(tokens)
         bits = majorities(leads)
-        return pivot_keys(leads, *made[1:]), bits.tobytes() + pivot_row(bits, made[0]).tobytes()
+        return pivot_keys(leads, *made[1:]), bits.tobytes() + pivot_row(bits, made[0]).tobytes() + vote_row(leads, len(tokens))
+
+    def likely(x, y):
+        return survivors(x, y, least=least, of=of)
 
-    return Nearness(least, of, shingle, describe, survivors)
+    return Nearness(least, of, shingle, describe, likely, 8 * WORDS)
 
 
 def near_copy_groups(docs: DataFrame, how: Nearness | None = None) -> DataFrame:

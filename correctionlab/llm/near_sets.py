@@ -3,13 +3,16 @@
 A caller gives each text's set some keys and a sketch. Equal sets are one node; nodes under one key are candidates. The links that
 come out connect all candidates that chains of near pairs connect:
 
-1. Each node is compared with the smallest node of each of its keys (its hub). Hubs with many others are dealt over cells, the
-   hub's set going to each.
-2. What a key's nodes have not been joined by then is compared within the key, across what is joined only. A key of more than `CELL`
-   nodes is cut into parts, and each pair of parts is a cell. First sketches alone meet, and only nodes that they leave a
-   partner go on with their sets.
-
-A cell gives fewer links than it has nodes. No pair of sets is ever a row.
+1. Keys with the same nodes are one. The smallest node of a key is its hub.
+2. Each node is compared with one hub, the one it shares the most keys with; then any two groups that have come out and share a key,
+   by one pair of hub and node. Hubs with many others are dealt over cells, the hub's set going to each.
+3. What a key's nodes have not been joined by then is compared within the key, across what is joined only. A key of more than `CELL`
+   nodes is cut into parts, and each pair of parts is a cell. First the heads of sketches meet, which drop what meets by chance, then
+   whole sketches. What they leave of a cell goes on as pairs of nodes, once for all cells, or, where there are over `PAIRS` for
+   each node, as the cell.
+
+Step 2 only spares step 3 work: a node is in no more than one of its pairs for itself, however many keys a large group has. A cell gives
+fewer links than it has nodes. No pair of sets is ever a row, and pairs of nodes are rows in proportion to the nodes only.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from pyspark.sql import functions as F
 
 from correctionlab.llm.common import tidy
 from correctionlab.llm.components import stars
-from correctionlab.plans.sizing import cut_lineage
+from correctionlab.plans.sizing import broadcast_within, cut_lineage
 
 CELL = 1_024
+PAIRS = 8
 ROWS_AT_ONCE = 2_048
 FREQUENT_NODES = 10_000
 ROWS = "doc_id long, h long, node binary, n int, keys array<long>, sketch binary"
@@ -33,13 +37,14 @@ ROWS = "doc_id long, h long, node binary, n int, keys array<long>, sketch binary
 @dataclass(frozen=True)
 class Nearness:
     """Sets are near where `of` * common >= `least` * union. `describe` gives a set's keys (64 bit, unsigned) and sketch (bytes of one length);
-    `likely` tells of rows of two sketch tables, pair by pair, which may be near."""
+    `likely` tells of rows of two sketch tables, pair by pair, which may be near; it takes the first `head` bytes of sketches too."""
 
     least: int
     of: int
     shingle: int
     describe: Callable
     likely: Callable
+    head: int
 
     def sizes_fit(self, m, n):
         """Whether two sizes leave room for near sets; for columns and arrays."""
@@ -108,8 +113,11 @@ def described(docs: DataFrame, how: Nearness) -> DataFrame:
     return _identified(docs).mapInArrow(tidy(run), ROWS)
 
 
-def _sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    return cut_lineage(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
+def _sketches(rows: DataFrame, wanted: DataFrame, width: int | None = None) -> DataFrame:
+    """(node, sketch) of the wanted nodes: whole sketches, or their first bytes."""
+    wanted = broadcast_within(cut_lineage(wanted, "wanted"))
+    some = rows.select("node", F.substring("sketch", 1, width).alias("sketch") if width else "sketch").join(wanted, "node", "left_semi")
+    return cut_lineage(some.groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, how: Nearness) -> DataFrame:
@@ -124,8 +132,9 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, how: Nearness) ->
                 sets = [shingle_set(t.as_py() or b"", how.shingle) for t in texts.slice(lo, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
 
+    wanted = broadcast_within(cut_lineage(wanted, "wanted"))
     one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r"))
-    one = cut_lineage(one.select(F.col("r.doc_id").alias("of"), F.col("r.h").alias("oh")), "wanted")
+    one = broadcast_within(cut_lineage(one.select(F.col("r.doc_id").alias("of"), F.col("r.h").alias("oh")), "wanted"))
     texts = _identified(docs).join(one, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")), "left_semi").select("text")
     return cut_lineage(texts.mapInArrow(tidy(run), "node binary, tokens array<long>").dropDuplicates(["node"]), "sets")
 
@@ -142,9 +151,11 @@ def _likely_pairs(pairs: DataFrame, rows: DataFrame, how: Nearness) -> DataFrame
             if len(batch):
                 yield batch.select(["hub", "node"]).filter(pa.array(how.likely(x, y)))
 
-    sketches = _sketches(rows, pairs.select("node").union(pairs.select("hub")).distinct())
-    both = pairs.join(sketches.select("node", F.col("sketch").alias("y")), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("x")), "hub")
-    return cut_lineage(both.select("hub", "node", "x", "y").mapInArrow(tidy(run), "hub binary, node binary"), "pairs")
+    for width in (how.head, None):
+        sketches = _sketches(rows, pairs.select("node").union(pairs.select("hub")).distinct(), width)
+        both = pairs.join(sketches.select("node", F.col("sketch").alias("y")), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("x")), "hub")
+        pairs = cut_lineage(both.select("hub", "node", "x", "y").mapInArrow(tidy(run), "hub binary, node binary"), "pairs")
+    return pairs
 
 
 def _hub_links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness, cell: int) -> DataFrame:
@@ -173,7 +184,7 @@ def _hub_links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    held = work.join(_sets(docs, rows, work.select("node").distinct(), how), "node").withColumn("other", F.col("hub") != F.col("node"))
+    held = _sets(docs, rows, work.select("node").distinct(), how).join(broadcast_within(work), "node").withColumn("other", F.col("hub") != F.col("node"))
     cells = held.repartition("hub", "part").sortWithinPartitions("hub", "part", "other", "node").select("hub", "node", "tokens")
     return cut_lineage(cells.mapInArrow(tidy(run), "a binary, b binary"), "links")
 
@@ -243,8 +254,9 @@ def _open_links(left: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
         .select("key", "node", "n", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "n", "root")
     )
-    columns = [*CELL_KEYS, "node", "n", "root", "sketch"]
-    schema = "key long, lo int, hi int, node binary, n int, root binary, sketch binary"
+    plain = [*CELL_KEYS, "node", "n", "root"]
+    columns = [*plain, "sketch"]
+    schema = "key long, lo int, hi int, node binary, n int, root binary"
 
     def keep(batches):
         import numpy as np
@@ -255,7 +267,29 @@ def _open_links(left: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
             alive = np.zeros(len(group), bool)
             for i, j in likely_places(group, root, sizes, sketches, how):
                 alive[i] = alive[j] = True
-            yield from cells.filter(pa.array(alive)).to_batches()
+            yield from cells.select(plain).filter(pa.array(alive)).to_batches()
+
+    def pair(batches):
+        """Pairs (hub, node), or rows of cells, where hub is null."""
+        import numpy as np
+        import pyarrow as pa
+
+        for cells in _cells_of(batches, columns):
+            group, root, sizes, sketches = _arrays(cells)
+            rows_, found = np.bincount(group), np.zeros(group[-1] + 1, np.int64)
+            alive, pairs = np.zeros(len(group), bool), []
+            for i, j in likely_places(group, root, sizes, sketches, how):
+                alive[i] = alive[j] = True
+                found += np.bincount(group[i], minlength=len(found))
+                few = found[group[i]] <= PAIRS * rows_[group[i]]
+                pairs.append((i[few], j[few]))
+            nodes, few = cells["node"].to_pylist(), found <= PAIRS * rows_
+            two = {(min(nodes[p], nodes[q]), max(nodes[p], nodes[q])) for i, j in pairs for p, q in zip(i.tolist(), j.tolist()) if few[group[p]]}
+            some = cells.select(plain).filter(pa.array(alive & ~few[group]))
+            yield from some.append_column("hub", pa.nulls(len(some), pa.binary())).to_batches()
+            if two:
+                hub, node = (pa.array(x, pa.binary()) for x in zip(*sorted(two)))
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(two), t) for t in (pa.int64(), pa.int32(), pa.int32())), node, pa.nulls(len(two), pa.int32()), pa.nulls(len(two), pa.binary()), hub], names=[*plain, "hub"])
 
     def link(batches):
         import numpy as np
@@ -288,31 +322,59 @@ def _open_links(left: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness
     def in_cells(rows_: DataFrame) -> DataFrame:
         return rows_.repartition(*CELL_KEYS).sortWithinPartitions(*CELL_KEYS, "node")
 
-    sketched = dealt.join(_sketches(rows, left.select("node").distinct()), "node").select(*columns)
-    alive = cut_lineage(in_cells(sketched).mapInArrow(tidy(keep), schema), "cells")
-    full = alive.join(_sets(docs, rows, alive.select("node").distinct(), how), "node").select(*columns, "tokens")
-    return cut_lineage(in_cells(full).mapInArrow(tidy(link), "a binary, b binary"), "links")
+    heads = _sketches(rows, left.select("node").distinct(), how.head)
+    alive = cut_lineage(in_cells(dealt.join(heads, "node").select(*columns)).mapInArrow(tidy(keep), schema), "cells")
+    sketches = _sketches(rows, alive.select("node").distinct())
+    cells = cut_lineage(in_cells(alive.join(sketches, "node").select(*columns)).mapInArrow(tidy(pair), schema + ", hub binary").distinct(), "cells")
+    links = _hub_links(cells.where("hub is not null").select("hub", "node"), docs, rows, how, cell)
+    many = cells.where("hub is null").select(*plain)
+    if many.isEmpty():
+        return links
+    sets = _sets(docs, rows, many.select("node").distinct(), how).join(sketches, "node")
+    full = many.join(sets, "node").select(*columns, "tokens")
+    return links.union(cut_lineage(in_cells(full).mapInArrow(tidy(link), "a binary, b binary"), "links"))
 
 
 def near_roots(docs: DataFrame, rows: DataFrame, how: Nearness, cell: int = CELL) -> DataFrame:
     """(node, root) of the nodes that are linked with others; `rows` is `described(docs, how)`, written."""
     # one shuffle of all keys, as two numbers a row; what is shared gets its nodes afterwards. Two nodes of one number would only be compared too
     number, key = F.xxhash64("node"), Window.partitionBy("key")
-    held = rows.select(number.alias("number"), F.explode("keys").alias("key"))
-    ends = held.select("key", "number", F.min("number").over(key).alias("least"), F.max("number").over(key).alias("most"))
-    shared = cut_lineage(ends.where("least <> most").select("key", "number", "least").distinct(), "shared")
+    held = rows.select(number.alias("number"), F.explode("keys").alias("key")).repartition("key")  # before the halves are made, else they are shuffled too
+    halves = (F.sum(half).over(key) for half in (F.col("number").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("number", 32)))
+    ends = held.select("key", "number", F.min("number").over(key).alias("least"), F.max("number").over(key).alias("most"), *(h.alias(f"half_{k}") for k, h in enumerate(halves)))
+    # keys with the same nodes are one, named by them; keys of other nodes that got one name would only be compared too
+    same = F.xxhash64("least", "most", "half_0", "half_1").alias("key")
+    shared = cut_lineage(ends.where("least <> most").select(same, "number", "least").groupBy("key", "number", "least").agg(F.count("*").alias("times")), "shared")
     wanted = shared.select("number").distinct()
     nodes = cut_lineage(rows.groupBy("node").agg(F.first("n").alias("n")).withColumn("number", number).join(wanted, "number", "left_semi"), "numbers")
-    hubs = nodes.groupBy(F.col("number").alias("least")).agg(F.min(F.struct("node", "n")).alias("hub"))
-    members = cut_lineage(shared.join(nodes, "number").join(hubs, "least").select("key", "node", "n", "hub"), "members")
-    first = members.where((F.col("node") != F.col("hub.node")) & how.sizes_fit(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("hub"), "node").distinct()
+    hubs = shared.select("key", "least").distinct().join(nodes.groupBy(F.col("number").alias("least")).agg(F.min(F.struct("node", "n")).alias("hub")), "least")
+    members = cut_lineage(shared.select("key", "number", "times").join(nodes, "number").join(hubs.select("key", "hub"), "key").select("key", "node", "n", "times", "hub"), "members")
+    fit = (F.col("node") != F.col("hub.node")) & how.sizes_fit(F.col("n"), F.col("hub.n"))
+    pairs = cut_lineage(members.where(fit).groupBy("node", F.col("hub.node").alias("hub")).agg(F.sum("times").alias("times")), "pairs")
+    best = F.max(F.struct("times", "hub", "node")).alias("best")
+    first = pairs.groupBy("node").agg(best).select("best.hub", "best.node")
     links = _hub_links(_likely_pairs(cut_lineage(first, "pairs"), rows, how), docs, rows, how, cell)
     star = cut_lineage(stars(links), "star")
-    named = cut_lineage(members.join(star, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    apart = _rooted(_rooted(pairs, star, "node", "p"), star, "hub", "q").where("p <> q")
+    second = apart.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(best).select("best.hub", "best.node")
+    second = cut_lineage(second.join(first, ["hub", "node"], "left_anti"), "pairs")
+    links = _hub_links(_likely_pairs(second, rows, how), docs, rows, how, cell)
+    star = cut_lineage(stars(_edges(star).union(links)), "star")
+    named = cut_lineage(_rooted(members.select("key", "node", "n"), star, "node", "root"), "members")
     open_keys = named.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
     left = cut_lineage(named.join(open_keys, "key", "left_semi"), "members")
     more = _open_links(left, docs, rows, how, cell)
-    return cut_lineage(stars(star.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "star")
+    return cut_lineage(stars(_edges(star).union(more)), "star")
+
+
+def _edges(star: DataFrame) -> DataFrame:
+    return star.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
+def _rooted(table: DataFrame, star: DataFrame, column: str, root: str) -> DataFrame:
+    """`table` with the root of the node in `column`: the node itself where it is linked with none."""
+    named = star.select(F.col("node").alias("_of"), F.col("root").alias("_root"))
+    return table.join(named, F.col(column) == F.col("_of"), "left").withColumn(root, F.coalesce("_root", column)).drop("_of", "_root")
 
 
 def near_groups(docs: DataFrame, rows: DataFrame, how: Nearness, cell: int = CELL) -> DataFrame:
