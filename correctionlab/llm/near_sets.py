@@ -6,10 +6,11 @@ come out connect all candidates that chains of near pairs connect:
 1. Keys with the same nodes are one. The smallest node of a key is its hub.
 2. Each node is compared with one hub, the one it shares the most keys with; then any two groups that have come out and share a key,
    by one pair of hub and node. Hubs with many others are dealt over cells, the hub's set going to each.
-3. What a key's nodes have not been joined by then is compared within the key, across what is joined only. A key of more than `CELL`
-   nodes is cut into parts, and each pair of parts is a cell. First the heads of sketches meet, which drop what meets by chance, then
-   whole sketches. What they leave of a cell goes on as pairs of nodes, once for all cells, or, where there are over `PAIRS` for
-   each node, as the cell.
+3. What a key's nodes have not been joined by then is compared within the key, across what is joined only. Keys that one group leads
+   are one where that makes no more pairs, so a node of a large group is a row for the group instead of one for each of its keys. A key of
+   more than `CELL` nodes is cut into parts, and pairs of parts are cells; parts of the group that leads it meet the other parts only.
+   First the heads of sketches meet, which drop what meets by chance, then whole sketches. What they leave of a cell goes on as pairs of
+   nodes, once for all cells, or, where there are over `PAIRS` for each node, as the cell.
 
 Step 2 only spares step 3 work: a node is in no more than one of its pairs for itself, however many keys a large group has. A cell gives
 fewer links than it has nodes. No pair of sets is ever a row, and pairs of nodes are rows in proportion to the nodes only.
@@ -245,16 +246,45 @@ def _arrays(cells):
     return group, root, cells["n"].to_numpy().astype(np.int64), sketches
 
 
+def _open_keys(named: DataFrame) -> DataFrame:
+    """(key, node, n, root) of the keys whose nodes have several roots; `named` has all keys.
+
+    Keys that one root leads, by its number of nodes, are one key where its nodes together make no more pairs than theirs do one by one.
+    """
+    counts = named.groupBy("key", "root").agg(F.count("*").alias("m"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("lead"), F.sum("m").cast("double").alias("m"), F.count("*").alias("roots"))
+    keys = cut_lineage(keys.where("roots > 1").select("key", F.col("lead.root").alias("lead"), "m"), "open")
+    left = named.join(keys.select("key", "lead"), "key")
+    together = left.select("lead", "node").distinct().groupBy("lead").agg(F.count("*").cast("double").alias("m"))
+    alone = keys.groupBy("lead").agg(F.sum(F.col("m") * F.col("m")).alias("alone"), F.count("*").alias("times")).where("times > 1")
+    one = together.join(alone, "lead").where("m * m <= alone").select("lead", F.xxhash64("lead").alias("whole"))
+    one = broadcast_within(cut_lineage(one, "open"))
+    return cut_lineage(left.join(one, "lead", "left").select(F.coalesce("whole", "key").alias("key"), "node", "n", "root").distinct(), "members")
+
+
+def _dealt(left: DataFrame, cell: int) -> DataFrame:
+    """`left` (key, node, n, root) with the cells (lo, hi) of each node.
+
+    Nodes of the key's leading root have parts of their own. They are joined, so these parts meet those of the others only.
+    """
+    counts = left.groupBy("key", "root").agg(F.count("*").alias("m"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("lead"), F.sum("m").alias("m"))
+    joined = F.when(F.col("m") > cell, F.ceil(F.col("lead.m") / cell)).otherwise(0).cast("int")
+    others = F.when(F.col("m") > cell, F.ceil((F.col("m") - F.col("lead.m")) / cell)).otherwise(1).cast("int")
+    keys = keys.select("key", F.col("lead.root").alias("lead"), joined.alias("joined"), others.alias("others"))
+    leads, number = (F.col("joined") > 0) & (F.col("root") == F.col("lead")), F.xxhash64("node")
+    part = F.when(leads, F.col("others") + F.pmod(number, F.greatest("joined", F.lit(1)))).otherwise(F.pmod(number, "others")).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(leads, 0).otherwise(F.col("joined"))))
+    dealt = left.join(keys, "key").select("key", "node", "n", "root", "joined", "others", part.alias("part"), meets.alias("other"))
+    # a part meets itself in every cell it has
+    dealt = dealt.where((F.col("part") != F.col("other")) | (F.col("joined") + F.col("others") == 1))
+    return dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "n", "root")
+
+
 def _open_links(left: DataFrame, docs: DataFrame, rows: DataFrame, how: Nearness, cell: int) -> DataFrame:
     """Links (a, b) within the keys of `left` (key, node, n, root), between nodes of different roots."""
-    parts = left.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = (
-        left.join(parts, "key").withColumn("part", part)
-        .select("key", "node", "n", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "n", "root")
-    )
     plain = [*CELL_KEYS, "node", "n", "root"]
+    dealt = _dealt(left, cell).select(*plain)
     columns = [*plain, "sketch"]
     schema = "key long, lo int, hi int, node binary, n int, root binary"
 
@@ -360,9 +390,7 @@ def near_roots(docs: DataFrame, rows: DataFrame, how: Nearness, cell: int = CELL
     second = cut_lineage(second.join(first, ["hub", "node"], "left_anti"), "pairs")
     links = _hub_links(_likely_pairs(second, rows, how), docs, rows, how, cell)
     star = cut_lineage(stars(_edges(star).union(links)), "star")
-    named = cut_lineage(_rooted(members.select("key", "node", "n"), star, "node", "root"), "members")
-    open_keys = named.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    left = cut_lineage(named.join(open_keys, "key", "left_semi"), "members")
+    left = _open_keys(cut_lineage(_rooted(members.select("key", "node", "n"), star, "node", "root"), "members"))
     more = _open_links(left, docs, rows, how, cell)
     return cut_lineage(stars(_edges(star).union(more)), "star")
 

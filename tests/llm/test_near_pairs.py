@@ -52,3 +52,40 @@ def test_pairs_and_whole_cells_give_the_same(spark, docs, monkeypatch):
         monkeypatch.setattr(S, "PAIRS", pairs)
         with_words = {x["first"] for x in S.near_groups(table, rows, how, cell=7).where("n > 0").collect()}
         assert with_words == {d for d in want if (texts[d] or "").split()}
+
+
+def test_a_large_group_goes_into_cells_once(spark, docs, monkeypatch):
+    """However many of its keys have a text that isn't linked with it."""
+    r, seen = random.Random(11), []
+    base = [f"w{r.randint(0, 9_999)}" for _ in range(120)]
+    apart = [{r.randint(5 * k, 5 * k + 3): f"z{j}" for k in r.sample(range(24), 5)} for j in range(40)]
+    texts = [" ".join(base[:k] + [f"y{k}"] + base[k + 1:]) for k in range(100)] + [" ".join(a.get(k, w) for k, w in enumerate(base)) for a in apart]
+    how, table, real = N.nearness(), docs(texts), S._open_links
+    monkeypatch.setattr(S, "_open_links", lambda left, *more: seen.append(left.count()) or real(left, *more))
+    rows = cut_lineage(S.described(table, how), "described")
+    got = {x["first"] for x in S.near_groups(table, rows, how, cell=16).collect()}
+    assert got == brute(list(enumerate(texts))) and len(got) > 20 and seen[0] < 5 * len(texts)
+
+
+def test_keys_of_one_group_are_one_where_that_makes_no_more_pairs(spark):
+    key = "key long, node binary, n int, root binary"
+    group = [(k, b"g%d" % j, 9, b"g0") for k in range(30) for j in range(20)] + [(k, b"s%d" % k, 9, b"s%d" % k) for k in range(30)]
+    chain = [(100 + k, b"c%d" % j, 9, b"c0") for k in range(30) for j in (2 * k, 2 * k + 1)] + [(100 + k, b"t%d" % k, 9, b"t%d" % k) for k in range(30)]
+    shut = [(200, b"h%d" % j, 9, b"h0") for j in range(5)]
+    got = S._open_keys(spark.createDataFrame(group + chain + shut, key)).collect()
+    of = lambda first: [x for x in got if bytes(x["node"])[:1] in first]
+    assert len(of(b"gs")) == 20 + 30 and len({x["key"] for x in of(b"gs")}) == 1
+    assert len(of(b"ct")) == len(chain) and not of(b"h")
+
+
+def test_parts_of_the_leading_group_meet_the_others_only(spark):
+    big = [(1, b"g%d" % j, 9, b"g0") for j in range(400)] + [(1, b"s%d" % j, 9, b"s%d" % (j // 2)) for j in range(25)]
+    small = [(2, b"g%d" % j, 9, b"g%d" % j) for j in range(8)]
+    rows = S._dealt(spark.createDataFrame(big + small, "key long, node binary, n int, root binary"), 10).collect()
+    cells = {}
+    for x in rows:
+        cells.setdefault((x["key"], x["lo"], x["hi"]), []).append((bytes(x["node"]), bytes(x["root"])))
+    met = {(k[0], *sorted((a, b))) for k, c in cells.items() for a, p in c for b, q in c if p != q}
+    want = {(t[0][0], *sorted((a[1], b[1]))) for t in (big, small) for a in t for b in t if a[3] != b[3]}
+    assert met == want and max(map(len, cells.values())) < 60
+    assert len(rows) <= 8 + 400 * 3 + 25 * 43 and len(cells) <= 1 + 3 * 40 + 3
