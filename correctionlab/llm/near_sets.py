@@ -7,7 +7,7 @@ come out connect all candidates that chains of near pairs connect:
 2. Each node is compared with one hub, the one it shares the most keys with; then any two groups that have come out and share a key,
    by one pair of hub and node. Hubs with many others are dealt over cells, the hub's set going to each.
 3. What a key's nodes have not been joined by then is compared within the key, across what is joined only. Keys that one group leads
-   are one where that makes no more pairs, so a node of a large group is a row for the group instead of one for each of its keys. A key of
+   are one where that makes fewer pairs, so a node of a large group is a row for the group instead of one for each of its keys. A key of
    more than `CELL` nodes is cut into parts, and pairs of parts are cells; parts of the group that leads it meet the other parts only.
    First the heads of sketches meet, which drop what meets by chance, then whole sketches. What they leave of a cell goes on as pairs of
    nodes, once for all cells, or, where there are over `PAIRS` for each node, as the cell.
@@ -249,17 +249,18 @@ def _arrays(cells):
 def _open_keys(named: DataFrame) -> DataFrame:
     """(key, node, n, root) of the keys whose nodes have several roots; `named` has all keys.
 
-    Keys that one root leads, by its number of nodes, are one key where its nodes together make no more pairs than theirs do one by one.
+    Keys that one root leads, by its number of nodes, are one key where its nodes together make fewer pairs than theirs do one by one.
     """
-    counts = named.groupBy("key", "root").agg(F.count("*").alias("m"))
-    keys = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("lead"), F.sum("m").cast("double").alias("m"), F.count("*").alias("roots"))
-    keys = cut_lineage(keys.where("roots > 1").select("key", F.col("lead.root").alias("lead"), "m"), "open")
-    left = named.join(keys.select("key", "lead"), "key")
-    together = left.select("lead", "node").distinct().groupBy("lead").agg(F.count("*").cast("double").alias("m"))
-    alone = keys.groupBy("lead").agg(F.sum(F.col("m") * F.col("m")).alias("alone"), F.count("*").alias("times")).where("times > 1")
-    one = together.join(alone, "lead").where("m * m <= alone").select("lead", F.xxhash64("lead").alias("whole"))
-    one = broadcast_within(cut_lineage(one, "open"))
-    return cut_lineage(left.join(one, "lead", "left").select(F.coalesce("whole", "key").alias("key"), "node", "n", "root").distinct(), "members")
+    key, count = Window.partitionBy("key"), F.count("*")
+    seen = named.repartition("key").withColumn("times", count.over(Window.partitionBy("key", "root"))).withColumn("m", count.over(key))
+    seen = seen.withColumn("lead", F.max(F.struct("times", "root")).over(key)).where("times < m").withColumn("lead", F.col("lead.root"))
+    left = cut_lineage(seen.select("key", "node", "n", "root", "lead", "m"), "open")
+    # the squares of the keys' sizes are the sum of these sizes over all rows
+    nodes = cut_lineage(left.groupBy("lead", "node", "n", "root").agg(F.sum("m").cast("double").alias("alone")), "open")
+    one = nodes.groupBy("lead").agg(F.count("*").cast("double").alias("together"), F.sum("alone").alias("alone")).where("together * together < alone")
+    one = broadcast_within(cut_lineage(one.select("lead"), "open"))
+    plain = left.join(one, "lead", "left_anti").select("key", "node", "n", "root")
+    return cut_lineage(plain.unionByName(nodes.join(one, "lead", "left_semi").select(F.xxhash64("lead").alias("key"), "node", "n", "root")), "members")
 
 
 def _dealt(left: DataFrame, cell: int) -> DataFrame:
