@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from correctionlab.operators import documents as D
-from correctionlab.plans.sizing import cut_lineage
+from correctionlab.plans.sizing import cut_lineage, hashed
 from correctionlab.sources import readers, writers
 from correctionlab.sources.containers import write_containers
 
@@ -22,28 +22,39 @@ def place_written(edits: DataFrame, parts: DataFrame, measures: DataFrame, tasks
     return cut_lineage(D.find_measures(placed, measures, tasks), "located")
 
 
-def corrected_documents(
+def edited_and_whole(
     documents: DataFrame, diffs: DataFrame, comment_label: str = "edit"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, located edits, pieces of the edited documents) of all documents (score_id, xml).
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines of edited documents, all others as one line each, located edits, pieces of the documents named by edits) of all documents (score_id, xml).
 
     Only documents that some edit names are shredded, and only those in which an edit has a target are
-    laid out anew, partwise. All others come out as the one line they are: `status` tells edited,
-    unchanged and malformed (named by an edit, but not to be taken apart) ones.
+    laid out anew, partwise. All others come out as the one line they are. Texts of documents meet tables of ids alone and are not sorted for it;
+    documents that are dealt by `score_id` are not shuffled either.
     """
     edits = cut_lineage(D.edits_of(diffs), "edits")
-    named = edits.select("score_id").distinct()
+    named = hashed(cut_lineage(edits.select("score_id").distinct(), "named"))
     pieces = cut_lineage(readers.shred(documents.join(named, "score_id", "left_semi")), "pieces", "kind")
     located = place_written(edits, readers.parts_of(pieces), readers.measures_of(pieces))
-    changed = cut_lineage(located.where("measure_seq is not null").select("score_id").distinct(), "changed")
+    changed = hashed(cut_lineage(located.where("measure_seq is not null").select("score_id").distinct(), "changed"))
 
     def of(table: DataFrame) -> DataFrame:
         return table.join(changed, "score_id", "left_semi")
 
     corrected = D.apply_edits(of(readers.measures_of(pieces)), located, comment_label)
     lines = D.document_lines(of(readers.heads_of(pieces)), of(readers.parts_of(pieces)), corrected, of(readers.groups_of(pieces)))
-    broken = readers.errors_of(pieces).select("score_id", F.lit("malformed").alias("status"))
-    whole = D.verbatim_lines(documents.join(changed, "score_id", "left_anti")).join(broken, "score_id", "left")
+    return lines, D.verbatim_lines(documents.join(changed, "score_id", "left_anti")), located, pieces
+
+
+def corrected_documents(
+    documents: DataFrame, diffs: DataFrame, comment_label: str = "edit"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, located edits, pieces of the edited documents) of all documents (score_id, xml), as in `edited_and_whole`.
+
+    `status` tells edited, unchanged and malformed (named by an edit, but not to be taken apart) ones.
+    """
+    lines, whole, located, pieces = edited_and_whole(documents, diffs, comment_label)
+    broken = hashed(cut_lineage(readers.errors_of(pieces).select("score_id", F.lit("malformed").alias("status")), "broken"))
+    whole = whole.join(broken, "score_id", "left")
     every = lines.withColumn("status", F.lit("edited")).unionByName(whole.withColumn("status", F.coalesce("status", F.lit("unchanged"))).select(*lines.columns, "status"))
     return every, located, pieces
 
@@ -60,12 +71,11 @@ def export_scores(
     Returns the edits that had no target measure. Part documents are made of every document that can be
     taken apart, so they need all pieces.
     """
-    lines, located, pieces = corrected_documents(documents, diffs, comment_label)
-    lines = cut_lineage(lines, "lines")
+    lines, whole, located, pieces = edited_and_whole(documents, diffs, comment_label)
     if in_containers:
-        write_containers(lines, f"{path}/scores", ["score_id"], ["section", "seq"])
+        write_containers(cut_lineage(lines, "lines"), f"{path}/scores", ["score_id"], ["section", "seq"], whole)
     else:
-        writers.write_corrected(lines, f"{path}/scores")
+        writers.write_corrected(cut_lineage(lines.unionByName(whole), "lines"), f"{path}/scores")
     if with_parts:
         pieces = cut_lineage(readers.shred(documents), "pieces", "kind")
         corrected = D.apply_edits(readers.measures_of(pieces), located, comment_label)

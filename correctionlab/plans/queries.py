@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from correctionlab.functions import fixed_values as V
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
-from correctionlab.plans.export import corrected_documents, located_edits
+from correctionlab.plans.export import corrected_documents, edited_and_whole, located_edits
 from correctionlab.plans.sizing import broadcast_within, cut_lineage, dealt, scratch_path, tasks_for
 from correctionlab.sources import fixtures as fx
 from correctionlab.sources import containers, readers, sqlite, writers
@@ -466,16 +466,19 @@ def corrected_lines(spark, sf_dir):
 
 @query
 def document_containers(spark, sf_dir):
-    """The whole export in container files, each document read back by its stretches of bytes.
+    """The whole export in container files, each document read back by its stretches of text.
 
-    The lines are written first: the range sort draws its sample from them, and would make them all once more for it.
+    Only the lines of edited documents are sorted. They are written first: the range sort draws its sample from them, and would make them
+    all once more for it. A document in one piece, as nearly all are, is read and digested by the task that has its index row.
     """
-    folder = scratch_path(spark, "containers")
-    lines = cut_lineage(corrected_lines(spark, sf_dir), "lines")
-    index = containers.write_containers(lines, folder, ["score_id"], ["section", "seq"])
-    pieces = containers.read_pieces(index, folder).groupBy("score_id").agg(
-        F.array_sort(F.collect_list(F.struct("file", "content"))).alias("pieces"), F.sum("length").alias("bytes"))
-    return pieces.select("score_id", "bytes", F.md5(F.array_join("pieces.content", "")).alias("content_md5"))
+    folder, key = scratch_path(spark, "containers"), ["score_id"]
+    lines, whole, _, _ = edited_and_whole(fx.documents(spark, sf_dir), fx.diffs(spark, sf_dir))
+    index = containers.write_containers(cut_lineage(lines, "lines"), folder, key, ["section", "seq"], whole, compressed=True)
+    alone = containers.read_pieces(index.where("not joined"), folder).select(
+        *key, F.col("length").alias("bytes"), F.md5("content").alias("content_md5"))
+    pieces = containers.read_pieces(index.where("joined"), folder).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct(*containers.PLACE, "content"))).alias("pieces"), F.sum("length").alias("bytes"))
+    return alone.unionByName(pieces.select(*key, "bytes", F.md5(F.array_join("pieces.content", "")).alias("content_md5")))
 
 
 @query

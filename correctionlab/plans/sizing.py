@@ -55,6 +55,14 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def hashed(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a written table of distinct keys, as the side that a join looks up: broadcast within the bound, else a hash table of each partition's share.
+
+    A sort-merge join would sort the other side, and write what of it doesn't fit in memory to disk; for texts that is most of them.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("shuffle_hash")
+
+
 ROWS_PER_TASK = 1_000_000  # a few hundred MB to sort
 
 

@@ -57,3 +57,66 @@ def test_export_in_containers_equals_folders(spark, sf, tmp_path):
         assert C.read_document(spark, str(tmp_path / "b" / "scores"), score_id=folder.name.split("=")[1]) == text
     parts = list((tmp_path / "a" / "parts").glob("score_id=*/file_name=*"))
     assert C.read_index(spark, str(tmp_path / "b" / "parts")).select("score_id", "file_name").distinct().count() == len(parts)
+
+
+def test_compressed_files_hold_the_same_documents_in_less_space(spark, tmp_path):
+    r = random.Random(7)
+    texts = {f"s{k:04d}": [f"<measure number=\"{j}\"/> é {r.random()}" if j % 5 else None for j in range(r.choice([1, 2, 9, 40]))] for k in range(3000)}
+    texts["s0500a"] = [f"row {j} " + "x" * 90 for j in range(60_000)]  # longer than frames, in the midst of its file
+    single = {f"w{k:04d}": "<score>" + "<note/>" * 150 + f"{k}</score>" for k in range(2000)} | {"wide": "y" * 3_000_000, "null": None}
+    rows = [(s, 0, j, line) for s, lines in texts.items() for j, line in enumerate(lines)]
+    r.shuffle(rows)
+    lines = spark.createDataFrame(rows, "score_id string, section int, seq int, line string").repartition(3)
+    whole = spark.createDataFrame(list(single.items()), "score_id string, line string").repartition(3)
+    path = str(tmp_path / "out")
+    index = C.write_containers(lines, path, ["score_id"], ["section", "seq"], whole, compressed=True)
+    want = {s: "".join(f"{x or ''}\n" for x in lines) for s, lines in texts.items()} | {s: f"{x or ''}\n" for s, x in single.items()}
+    found = C.read_pieces(index, path).orderBy("score_id", *C.PLACE).collect()
+    got, pieces, joined = {}, {}, set()
+    for row in found:
+        got[row.score_id] = got.get(row.score_id, "") + row.content
+        pieces[row.score_id] = pieces.get(row.score_id, 0) + 1
+        assert row.length == len(row.content.encode()) and row.lines == row.content.count("\n")
+        if row.joined:
+            joined.add(row.score_id)
+    assert got == want
+    assert pieces["s0500a"] > 2 and pieces["wide"] == 1
+    assert {s for s, n in pieces.items() if n > 1} <= joined and len(joined) < 40  # what is not joined is alone, and nearly all is
+    files = [f for f in (tmp_path / "out" / "files").iterdir() if f.suffix == ".zst"]
+    assert sum(f.stat().st_size for f in files) < sum(len(x.encode()) for x in want.values()) / 5
+    assert C.read_document(spark, path, score_id="s0500a") == want["s0500a"]
+
+
+def test_a_cut_at_the_end_of_a_document_leaves_no_empty_piece(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "FRAME_BYTES", 1)  # each document fills a frame
+    lines = spark.createDataFrame([(s, 0, 0, "abc" * 4) for s in "abcdef"], "score_id string, section int, seq int, line string")
+    for compressed in (False, True):
+        path = str(tmp_path / str(compressed))
+        index = C.write_containers(lines.coalesce(1), path, ["score_id"], ["section", "seq"], compressed=compressed)
+        assert sorted((r.score_id, r.content) for r in C.read_pieces(index, path).collect()) == [(s, "abc" * 4 + "\n") for s in "abcdef"]
+
+
+def test_export_needs_little_disk(spark, sf):
+    """Texts of documents are neither sorted nor shuffled by ids, container files are compressed, and reading them back shuffles no documents."""
+    from pathlib import Path
+
+    from correctionlab.plans import sizing
+    from correctionlab.plans.queries import QUERIES
+    from correctionlab.sources import fixtures as fx
+
+    before = set(Path(sizing.shared_dir(spark)).glob("containers-*"))
+    frame = QUERIES["document_containers"](spark, sf)
+    (folder,) = set(Path(sizing.shared_dir(spark)).glob("containers-*")) - before
+    held = sum(f.stat().st_size for f in (folder / "files").iterdir())
+    assert held < frame.agg(F.sum("bytes")).first()[0] / 5
+    assert frame.where("bytes is null or content_md5 is null").count() == 0
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "(joined" in plan  # of the few pieces that belong together
+
+    documents = fx.documents(spark, sf)
+    ids = sizing.hashed(sizing.cut_lineage(documents.select("score_id").where("score_id like '%3'")), 0)
+    for how in ("left_semi", "left_anti"):
+        plan = documents.join(ids, "score_id", how)._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+        assert "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_NUM")[0]  # the side of the texts is dealt once, before they are made
+    assert sizing.hashed(sizing.cut_lineage(documents.select("score_id")))._jdf.queryExecution().analyzed().toString().find("broadcast") > 0
