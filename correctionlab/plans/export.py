@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from correctionlab.operators import documents as D
-from correctionlab.plans.sizing import cut_lineage, hashed
+from correctionlab.plans.sizing import cut_lineage, hashed, tasks_for
 from correctionlab.sources import readers, writers
 from correctionlab.sources.containers import write_containers
 
@@ -34,13 +34,15 @@ def edited_and_whole(
     edits = cut_lineage(D.edits_of(diffs), "edits")
     named = hashed(cut_lineage(edits.select("score_id").distinct(), "named"))
     pieces = cut_lineage(readers.shred(documents.join(named, "score_id", "left_semi")), "pieces", "kind")
-    located = place_written(edits, readers.parts_of(pieces), readers.measures_of(pieces))
+    measures = readers.measures_of(pieces)
+    tasks = tasks_for(documents.sparkSession, measures.count())
+    located = place_written(edits, readers.parts_of(pieces), measures, tasks)
     changed = hashed(cut_lineage(located.where("measure_seq is not null").select("score_id").distinct(), "changed"))
 
     def of(table: DataFrame) -> DataFrame:
         return table.join(changed, "score_id", "left_semi")
 
-    corrected = D.apply_edits(of(readers.measures_of(pieces)), located, comment_label)
+    corrected = D.apply_edits(of(measures), located, comment_label, tasks)
     lines = D.document_lines(of(readers.heads_of(pieces)), of(readers.parts_of(pieces)), corrected, of(readers.groups_of(pieces)))
     return lines, D.verbatim_lines(documents.join(changed, "score_id", "left_anti")), located, pieces
 
@@ -73,7 +75,9 @@ def export_scores(
     """
     lines, whole, located, pieces = edited_and_whole(documents, diffs, comment_label)
     if in_containers:
-        write_containers(cut_lineage(lines, "lines"), f"{path}/scores", ["score_id"], ["section", "seq"], whole)
+        lines = cut_lineage(lines, "lines")
+        tasks = tasks_for(documents.sparkSession, lines.count())
+        write_containers(lines, f"{path}/scores", ["score_id"], ["section", "seq"], whole, tasks=tasks)
     else:
         writers.write_corrected(cut_lineage(lines.unionByName(whole), "lines"), f"{path}/scores")
     if with_parts:

@@ -11,7 +11,7 @@ from correctionlab.functions import fixed_values as V
 from correctionlab.operators import access, catalogue, decisions, documents, patterns, reports
 from correctionlab.operators import responses, rules, training
 from correctionlab.plans.export import corrected_documents, edited_and_whole, located_edits
-from correctionlab.plans.sizing import broadcast_within, cut_lineage, dealt, scratch_path, tasks_for
+from correctionlab.plans.sizing import broadcast_within, cut_lineage, dealt, scratch_path, shuffles_cleared, tasks_for
 from correctionlab.sources import fixtures as fx
 from correctionlab.sources import containers, readers, sqlite, writers
 from correctionlab.streaming import access as access_streams
@@ -470,10 +470,14 @@ def document_containers(spark, sf_dir):
 
     Only the lines of edited documents are sorted. They are written first: the range sort draws its sample from them, and would make them
     all once more for it. A document in one piece, as nearly all are, is read and digested by the task that has its index row.
+    Shuffles of a step go when the step is written.
     """
     folder, key = scratch_path(spark, "containers"), ["score_id"]
-    lines, whole, _, _ = edited_and_whole(fx.documents(spark, sf_dir), fx.diffs(spark, sf_dir))
-    index = containers.write_containers(cut_lineage(lines, "lines"), folder, key, ["section", "seq"], whole, compressed=True)
+    with shuffles_cleared(spark):
+        lines, whole, _, _ = edited_and_whole(fx.documents(spark, sf_dir), fx.diffs(spark, sf_dir))
+        lines = cut_lineage(lines, "lines")
+        index = containers.write_containers(
+            lines, folder, key, ["section", "seq"], whole, compressed=True, tasks=tasks_for(spark, lines.count()))
     alone = containers.read_pieces(index.where("not joined"), folder).select(
         *key, F.col("length").alias("bytes"), F.md5("content").alias("content_md5"))
     pieces = containers.read_pieces(index.where("joined"), folder).groupBy(*key).agg(

@@ -33,11 +33,13 @@ def file_system(path: str):
 
 
 def write_containers(
-    lines: DataFrame, path: str, keys: list[str], order: list[str], whole: DataFrame | None = None, compressed: bool = False
+    lines: DataFrame, path: str, keys: list[str], order: list[str], whole: DataFrame | None = None, compressed: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Write the lines of documents, named by `keys`, in `order`; gives the index. A null line is empty.
 
     `whole` holds more documents, each of one row and in that alone: the keys and its line. They are neither shuffled nor sorted.
+    `tasks` is the number of ranges, the session's for None.
     """
     folder = f"{path}/files"
     kinds = dict(lines.dtypes)
@@ -124,7 +126,8 @@ def write_containers(
             out.close()
             yield rows()
 
-    dealt = lines.select(*keys, *order, "line").repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    ranges = [*keys, *order] if tasks is None else [tasks, *keys, *order]
+    dealt = lines.select(*keys, *order, "line").repartitionByRange(*ranges).sortWithinPartitions(*keys, *order)
     index = dealt.select(*keys, "line").mapInArrow(write, schema)
     if whole is not None:
         index = index.unionByName(whole.select(*keys, "line").mapInArrow(write, schema))

@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from correctionlab.sources import containers as C
@@ -96,6 +98,30 @@ def test_a_cut_at_the_end_of_a_document_leaves_no_empty_piece(spark, tmp_path, m
         assert sorted((r.score_id, r.content) for r in C.read_pieces(index, path).collect()) == [(s, "abc" * 4 + "\n") for s in "abcdef"]
 
 
+def shuffle_files(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+
+
+def test_shuffles_go_when_a_step_is_written(spark):
+    from correctionlab.plans import sizing
+
+    before, set_to = shuffle_files(spark), spark.conf.get(sizing.SHUFFLE_CLEANUP)
+    with pytest.raises(ValueError), sizing.shuffles_cleared(spark):
+        written = sizing.cut_lineage(spark.range(10_000).repartition(4, "id").groupBy((F.col("id") % 700).alias("k")).count())
+        raise ValueError
+    assert spark.conf.get(sizing.SHUFFLE_CLEANUP) == set_to
+    until = time.time() + 20
+    while shuffle_files(spark) > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before and written.count() == 700
+
+
+def test_ranges_are_as_many_as_asked_for(spark, tmp_path):
+    lines = spark.range(4000).select(F.col("id").cast("string").alias("score_id"), F.lit(0).alias("section"), F.lit(0).alias("seq"), F.lit("x").alias("line"))
+    index = C.write_containers(lines, str(tmp_path / "out"), ["score_id"], ["section", "seq"], tasks=11)
+    assert index.count() == 4000 and len([f for f in (tmp_path / "out" / "files").iterdir() if f.suffix == ".txt"]) == 11
+
+
 def test_export_needs_little_disk(spark, sf):
     """Texts of documents are neither sorted nor shuffled by ids, container files are compressed, and reading them back shuffles no documents."""
     from pathlib import Path
@@ -104,9 +130,13 @@ def test_export_needs_little_disk(spark, sf):
     from correctionlab.plans.queries import QUERIES
     from correctionlab.sources import fixtures as fx
 
-    before = set(Path(sizing.shared_dir(spark)).glob("containers-*"))
+    before, shuffles = set(Path(sizing.shared_dir(spark)).glob("containers-*")), shuffle_files(spark)
     frame = QUERIES["document_containers"](spark, sf)
     (folder,) = set(Path(sizing.shared_dir(spark)).glob("containers-*")) - before
+    until = time.time() + 20
+    while shuffle_files(spark) > shuffles and time.time() < until:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= shuffles
     held = sum(f.stat().st_size for f in (folder / "files").iterdir())
     assert held < frame.agg(F.sum("bytes")).first()[0] / 5
     assert frame.where("bytes is null or content_md5 is null").count() == 0
